@@ -9,12 +9,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.site_style_tree import page_texts
+
+    return page_texts(_table(spark, sf_dir, "pages"))
+
+
+def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.pii import span_report
+
+    return span_report(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.signature_tree import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.crf_language import language_report
+
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.secret_scan import secret_report
+
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op6_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.projection_forest import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.pairwise_quality import quality_report
+
+    return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pulsegrid.llm.packing import pack
 
@@ -27,7 +63,27 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard, op8_best_fit_packing, op9_decontamination)}
+def op10_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pulsegrid.llm.compression_toxicity import toxicity_report
+
+    return toxicity_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_site_style_tree,
+        op2_pii_sanitisation,
+        op3_ngram_jaccard,
+        op4_language_crf,
+        op5_secret_scan,
+        op6_projection_forest,
+        op7_pairwise_quality,
+        op8_best_fit_packing,
+        op9_decontamination,
+        op10_compression_toxicity,
+    )
+}
 
 #: Words as the contract has them; windows of ten words; a text of fewer is one window.
 OP9_SQL = r"""

@@ -29,7 +29,7 @@ from pulsegrid.llm.common import connected_components, text_batches, written
 WORDS, PERCENT = 3, 90
 #: Sets that one task holds of each side.
 BLOCK = 512
-#: Empty parts that a set may have before it gives keys for them too.
+#: Parts beyond those that can differ, at least; a set with more empty ones gives keys for these too.
 SPARE = 3
 BITS = 2048
 FILTER_BITS = 1 << 26
@@ -59,9 +59,19 @@ def _bounds(percent: int) -> np.ndarray:
     return np.array(out)
 
 
-def _parts(upper: int, percent: int) -> int:
-    largest = upper * 100 // percent
-    return (upper + largest) * (100 - percent) // (100 + percent) + 1 + SPARE
+def _parts(lower: int, upper: int, percent: int) -> tuple[int, int]:
+    """Parts for sets of ``lower`` to ``upper`` codes, and how many of them are spare: enough for the filled parts
+    of the smallest sets to outnumber, by four deviations, the parts that can differ. Keys of empty parts,
+    which tell nothing of a set, are then very rare at any size."""
+    differ = (upper + upper * 100 // percent) * (100 - percent) // (100 + percent)
+    spare = SPARE
+    while True:
+        p = differ + 1 + spare
+        one, two = (1 - 1 / p) ** lower, (1 - 2 / p) ** lower
+        deviation = max(0.0, p * (p - 1) * two + p * one - (p * one) ** 2) ** 0.5
+        if p * (1 - one) - 4 * deviation >= differ + 1 or p > 8 * upper + 64:
+            return p, spare
+        spare += 1 + spare // 16
 
 
 def keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +88,8 @@ def keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np
         for_class = np.flatnonzero(can)
         if not len(for_class):
             continue
-        parts = np.array([_parts(int(bounds[k]), percent) for k in c[for_class]], np.int64)
+        made = {k: _parts(int(bounds[k - 1]) + 1 if k else int(bounds[0]), int(bounds[k]), percent) for k in set(c[for_class].tolist())}
+        parts, spare = np.array([made[k] for k in c[for_class].tolist()], np.int64).T
         base = np.concatenate(([0], np.cumsum(parts)))
         every = np.concatenate([sets[i] for i in for_class])
         owner = np.repeat(np.arange(len(for_class)), size[for_class])
@@ -94,7 +105,7 @@ def keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np
         index = np.arange(base[-1]) - base[of]
         tag = tc.mix(c[for_class][of].astype(np.uint64) * np.uint64(1 << 40) + index.astype(np.uint64))
         key = tc.mix(tag + tc.mix(lo + (hi << np.uint64(32))) + filled.astype(np.uint64))
-        use = filled | (empty[of] > SPARE)
+        use = filled | (empty[of] > spare[of])
         which.append(for_class[of[use]])
         out.append(key[use])
     if not out:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import crf_language, packing, pii, signature_tree, suffix_decontamination
-from pulsegrid.llm.common import written
+from pulsegrid.llm.common import set_aside, written
 
+#: Words of a shingle and the similarity, in percent, from which documents are near copies.
+COPY_WORDS, COPY_PERCENT = 5, 80
 #: Documents whose likeliest language has less than this mean probability over their words are rejected.
 LEAST_SCORE = 0.3
 
@@ -18,13 +20,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = crf_language.fit(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
+    docs, own = set_aside(docs, ("lang_pred", "score"))
     scored = crf_language.with_languages(docs, model)
-    return scored.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return scored.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*own)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return signature_tree.keep_one(docs)
+    return signature_tree.keep_one(docs, words=COPY_WORDS, percent=COPY_PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

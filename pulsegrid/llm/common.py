@@ -76,6 +76,12 @@ def _as(column, kind):
     return column if column.type == kind else column.cast(kind)
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``df`` with columns of these names renamed, and the columns that give it back its own names and order."""
+    other = {c: f"__own_{c}" for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """Components of the undirected graph ``edges(a, b)`` as rows ``(node, root)``; root is the smallest node.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import text_batches, with_columns_from_batches, written
+from pulsegrid.llm.common import set_aside, text_batches, with_columns_from_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as near it.
@@ -254,23 +254,28 @@ def span_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return found.select("doc_id", *counts, F.sha2(_text("base"), 256).alias("base_sha256"), _text("found").alias("spans"))
 
 
+def generalised(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with each span replaced by its kind in brackets; one that begins inside another goes with it."""
+    out, at = [], 0
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if s >= at:
+            out += [text[at:s], f"[{kind.upper()}]"]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
 def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with each span of ``text`` generalised to its kind in brackets, and ``n_chars``, if there, anew."""
-    columns = docs.columns
+    """``docs`` with each span of ``text`` generalised to its kind in brackets, and ``n_chars``, if there, anew.
+    Null texts stay null; every row and every other column stays as it is, whatever its name."""
+    docs, own = set_aside(docs, ("base", "found"))
     found = find_spans(docs, text, **options)
-    order = F.array_sort("found", lambda a, b: F.when(a["start"] != b["start"], (a["start"] - b["start"]).cast("int")).otherwise((b["end"] - a["end"]).cast("int")))
-    # the spans from left to right; one that begins inside another goes with it
-    step = F.aggregate(
-        order,
-        F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.when(s["start"] < acc["at"], F.struct(acc["done"].alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))).otherwise(
-            F.struct(
-                F.concat(acc["done"], F.expr(f"`{text}`").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("done"),
-                s["end"].alias("at"),
-            )
-        ),
-        lambda acc: F.concat(acc["done"], F.expr(f"`{text}`").substr((acc["at"] + 1).cast("int"), F.length(F.expr(f"`{text}`")))),
-    )
-    out = found.withColumn(text, F.when(F.size("found") > 0, step).otherwise(F.col(text)))
-    out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
-    return out.select(*columns)
+
+    def make(batches):
+        for batch in batches:
+            texts, spans = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, "found"))
+            yield batch, [[generalised(t, [(x["kind"], x["start"], x["end"]) for x in f]) if t and f else t for t, f in zip(texts, spans, strict=True)]]
+
+    out = with_columns_from_batches(found, make, [T.StructField(text, T.StringType())])
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*own)

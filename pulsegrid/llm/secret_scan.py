@@ -103,7 +103,7 @@ def _uncompressed(raw: bytes) -> bytes | None:
         if raw[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)[:UNWRAPPED_BYTES]
+            return zstandard.ZstdDecompressor().stream_reader(raw).read(UNWRAPPED_BYTES)
     except (zlib.error, gzip.BadGzipFile, OSError, EOFError, lzma.LZMAError, ValueError):
         return None
     except Exception as e:  # zstandard's own error class

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import with_columns_from_batches
+from pulsegrid.llm.common import set_aside, with_columns_from_batches
 
 WINDOW = 10
 #: Benchmark text in one broadcast.
@@ -64,7 +64,8 @@ def find_matches(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no window of any benchmark item, unchanged."""
-    return find_matches(docs, benchmark, **options).where("n_hit = 0").select(*docs.columns)
+    docs, own = set_aside(docs, ("n_words", "n_hit", "matches"))
+    return find_matches(docs, benchmark, **options).where("n_hit = 0").select(*own)
 
 
 def _queries(items: list[tuple[str, str]], window: int) -> dict:

@@ -149,17 +149,10 @@ def train(rows: list[tuple[str, str]]) -> Model:
     transition = np.zeros((k, k))
     weights = np.zeros((SLOTS, k), np.float32)
     column = pa.array([t for t, _ in rows], pa.large_string())
-    slots, per_word, spans = [], [], []
-    total = 0
+    spans, total = [], 0
     for lo, hi, buf, at in tc.chunks(column):
-        start, end = tc.words(buf, _LETTER)
-        if not len(start):
-            spans += [(total, total)] * (hi - lo)
-            continue
+        start, _ = tc.words(buf, _LETTER)
         first = np.concatenate((np.searchsorted(start, at), [len(start)]))
-        s, f = word_features(buf, start, end, tc.codes(buf, start, end))
-        slots.append(s)
-        per_word.append(np.diff(f))
         spans += [(total + first[i], total + first[i + 1]) for i in range(hi - lo)]
         total += len(start)
     of_lang: dict[int, list[tuple[int, int]]] = {}
@@ -168,8 +161,6 @@ def train(rows: list[tuple[str, str]]) -> Model:
             of_lang.setdefault(langs.index(lang), []).append((a, b))
     if not of_lang:
         return Model([], weights, transition)
-    every = np.concatenate(slots)
-    begin = np.concatenate(([0], np.cumsum(np.concatenate(per_word))))
     rng = np.random.default_rng(5)
     words, gold = np.zeros((SEQUENCES, LENGTH), np.int64), np.zeros((SEQUENCES, LENGTH), np.int64)
     have = sorted(of_lang)
@@ -188,9 +179,18 @@ def train(rows: list[tuple[str, str]]) -> Model:
                 y = have[rng.integers(len(have))]
     used, where = np.unique(words, return_inverse=True)
     where = where.reshape(words.shape)
-    count = begin[used + 1] - begin[used]
+    # Features of the drawn words only, however long the texts are.
+    slots, count, total = [], [], 0
+    for _, _, buf, _ in tc.chunks(column):
+        start, end = tc.words(buf, _LETTER)
+        mine = used[np.searchsorted(used, total) : np.searchsorted(used, total + len(start))] - total
+        total += len(start)
+        if len(mine):
+            found, first = word_features(buf, start[mine], end[mine], tc.codes(buf, start[mine], end[mine]))
+            slots.append(found.astype(np.int32))
+            count.append(np.diff(first))
+    at, count = np.concatenate(slots), np.concatenate(count)
     head = np.concatenate(([0], np.cumsum(count)))
-    at = every[np.repeat(begin[used] - head[:-1], count) + np.arange(head[-1])]
     live, at = np.unique(at, return_inverse=True)
     w = np.zeros((len(live), k))
     m1, m2, t1, t2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(transition), np.zeros_like(transition)

@@ -6,16 +6,20 @@ toxic dictionary makes the windows is what a text is judged by, and a calibratio
 into a score.
 
 A toxic document is mostly ordinary text, so the toxic dictionary is trained on the words that toxic
-documents hold in more contexts than ordinary ones do (a word's contexts are the words before it: copies of
-one document add none). Both compressions share the ordinary dictionary, and where the toxic one would stand
-the other has bytes that no text holds, so that the difference comes from toxic text alone.
+documents hold in far more contexts than ordinary ones do, or whose beginning they so hold in longer words
+(contexts are pairs of the word before and the word: copies of one document add none). Of these the
+widespread ones count, as rare words seem telling by chance. Both
+compressions share the ordinary dictionary, and where the toxic one would stand the other has bytes that no
+text holds, so that the difference comes from toxic text alone. Texts are compared as their words, in lower
+case: signs between and around words would break the matches.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import zstandard as zstd
@@ -28,19 +32,24 @@ from pulsegrid.llm.learning import bounded_sample, fold, logistic, sigmoid
 
 #: Labelled rows that dictionaries and calibration learn from, of each class, and characters of each read in training.
 SAMPLE_ROWS = 4000
-WINDOW = 64
-ORDINARY_BYTES, TOXIC_BYTES = 32_768, 4_096
+WINDOW = 80
+ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
 MIN_MATCH = 5
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Contexts a word needs, and how many times as many as in ordinary text, a margin of two deviations aside.
-CONTEXTS, TIMES = 4, 3.0
+#: Letters of a word or beginning of one.
+SHORTEST, LONGEST = 4, 10
+#: Contexts it needs, how many times as many as in ordinary text, a margin of two deviations aside, and the
+#: share of the most widespread such word's contexts.
+CONTEXTS, TIMES, SHARE = 4, 10.0, 0.05
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def lowered(text: str | None) -> bytes:
-    return (text or "").lower().encode("utf-8", "replace")
+    """The words of a text in lower case, a blank on each side of every one."""
+    words = _WORD.findall((text or "").lower())
+    return f" {' '.join(words)} ".encode("utf-8", "replace") if words else b""
 
 
 def windows(raw: bytes, size: int = WINDOW) -> list[bytes]:
@@ -73,9 +82,12 @@ class Model:
         if self._made is None:
             filler = bytes(np.random.default_rng(7).integers(1, 8, len(self.toxic), dtype=np.uint8))
             made = []
-            for raw in (filler + self.ordinary, self.toxic + self.ordinary):
+            # what is told apart stands last, where offsets are short; every place of it can match
+            for raw in (self.ordinary + filler, self.ordinary + self.toxic):
                 d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                p = zstd.ZstdCompressionParameters.from_level(3, source_size=WINDOW, dict_size=len(raw), min_match=MIN_MATCH)
+                p = zstd.ZstdCompressionParameters.from_level(
+                    6, source_size=WINDOW, dict_size=len(raw), min_match=MIN_MATCH, strategy=zstd.STRATEGY_BTLAZY2, write_content_size=0
+                )
                 d.precompute_compress(compression_params=p)
                 made.append(zstd.ZstdCompressor(dict_data=d, compression_params=p).compress)
             self._made = made
@@ -111,6 +123,17 @@ def _wider(x: np.ndarray) -> np.ndarray:
     return np.column_stack((x, x[:, :5] * x[:, -1:], x[:, 8:9] * x[:, -1:], x[:, 1:2] * x[:, 7:8]))
 
 
+def units(word: str) -> list[str]:
+    """A word of enough letters, and its beginnings, marked as such, that more letters follow."""
+    return [f"{word[:n]}-" for n in range(SHORTEST, min(len(word), LONGEST + 1))] + ([word] if len(word) >= SHORTEST else [])
+
+
+def stem(word: str, telling: dict[str, int]) -> str:
+    """What is telling in a word: the longest of its telling units that is nearly as widespread as the shortest."""
+    found = [u for u in units(word) if u in telling]
+    return max((u for u in found if telling[u] >= 0.8 * telling[found[0]]), key=lambda u: len(u.rstrip("-")), default="").rstrip("-")
+
+
 def train(rows: list[tuple[str, int]]) -> Model:
     """Learn from (text, toxic) rows. With one class or none every text gets the share of toxic rows."""
     texts = {k: [t for t, y in rows if y == k] for k in (0, 1)}
@@ -119,27 +142,24 @@ def train(rows: list[tuple[str, int]]) -> Model:
     constant[-1] = math.log((share + 1e-3) / (1 - share + 1e-3))
     if len(texts[0]) < 10 or len(texts[1]) < 10:
         return Model(b"", b"", constant)
-    contexts: dict[int, dict[str, set]] = {0: defaultdict(set), 1: defaultdict(set)}
+    contexts: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for k, some in texts.items():
-        for t in some:
-            words = _WORD.findall(t.lower())
-            for a, b in zip(["", *words], words, strict=False):
-                contexts[k][b].add(a)
-    ratio = sum(map(len, contexts[1].values())) / max(1, sum(map(len, contexts[0].values())))
-    toxic_words = {
-        w
-        for w, c in contexts[1].items()
-        if len(w) >= 4 and len(c) >= CONTEXTS and len(c) - 2 * math.sqrt(len(c)) > TIMES * (len(contexts[0].get(w, ())) + 1) * ratio
-    }
+        pairs = {p for t in some for p in pairwise(["", *_WORD.findall(t.lower())])}
+        for word, n in Counter(b for _, b in pairs).items():
+            for unit in units(word):
+                contexts[k][unit] += n
+    ratio = contexts[1].total() / max(1, contexts[0].total())
+    telling = {u: n for u, n in contexts[1].items() if n >= CONTEXTS and n - 2 * math.sqrt(n) > TIMES * (contexts[0][u] + 1) * ratio}
+    telling = {u: n for u, n in telling.items() if n >= SHARE * max(telling.values())}
     samples = []
     for t in texts[1]:
-        words = [w for w in _WORD.findall(t.lower()) if w in toxic_words]
-        samples += [(" " + " ".join(words[i : i + 8]) + " ").encode() for i in range(0, len(words), 8)]
+        stems = [s for w in _WORD.findall(t.lower()) if (s := stem(w, telling))]
+        samples += [f" {' '.join(stems[i : i + 8])} ".encode() for i in range(0, len(stems), 8)]
     plain = [w for t in texts[0] for w in windows(lowered(t), 256)]
     model = Model(_dictionary(plain[:: max(1, len(plain) // 60_000)], ORDINARY_BYTES), _dictionary(samples, TOXIC_BYTES))
     x = np.array([model.features(t) for t, _ in rows])
     y = np.array([k for _, k in rows], float)
-    model.weights = logistic(_wider(x), y, ridge=1e-6)
+    model.weights = logistic(_wider(x), y, ridge=1e-4)
     return model
 
 

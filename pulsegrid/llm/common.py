@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,27 @@ def _as(column, kind):
     return column if column.type == kind else column.cast(kind)
 
 
+#: Bits of a bitmap of codes, whatever the input: 8 MB.
+BITMAP_BITS = 1 << 26
+
+
+def bitmap(df: DataFrame, column: str):
+    """Broadcast of a bitmap of fixed size that has a bit for each code in ``column`` (a long). It only spares
+    shuffling rows that cannot match; what passes it is for a join to decide."""
+    bit = (F.pmod(column, F.lit(BITMAP_BITS)) + 1).alias("bit")
+    maps = df.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")))
+    filled = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for bucket, bits in maps.collect():
+        filled[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
+    return df.sparkSession.sparkContext.broadcast(filled)
+
+
+def in_bitmap(filled: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each code (a signed 64-bit one) is set."""
+    at = codes.view(np.uint64) & np.uint64(BITMAP_BITS - 1)
+    return (filled[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
     """``df`` with columns of these names renamed, and the columns that give it back its own names and order."""
     other = {c: f"__own_{c}" for c in df.columns if c.lower() in names}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import set_aside, text_batches, with_columns_from_batches, written
+from pulsegrid.llm.common import bitmap, in_bitmap, set_aside, text_batches, with_columns_from_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as near it.
@@ -29,7 +29,6 @@ NEAR = 8
 SUPPORT = 3
 #: Normalised pointwise mutual information from which a word discloses an entity.
 DISCLOSURE = 0.95
-FILTER_BITS = 1 << 26
 #: Disclosing words that are broadcast (8 bytes each); more are joined to their texts.
 BROADCAST_WORDS = 1_000_000
 
@@ -141,20 +140,14 @@ def disclosing_words(docs: DataFrame, text: str = "text", support: int = SUPPORT
 
     pairs = slim.mapInArrow(near, "entity long, word long, of long").distinct()
     joint = written(pairs.groupBy("entity", "word").agg(F.count("*").alias("joint")).where(F.col("joint") >= support), "near")
-    bit = (F.pmod("word", F.lit(FILTER_BITS)) + 1).alias("bit")
-    maps = joint.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")))
-    filled = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, bits in maps.collect():
-        filled[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
-    wanted = docs.sparkSession.sparkContext.broadcast(filled)
+    wanted = bitmap(joint, "word")
 
     def places(batches):
         for batch in batches:
             for _, _, buf, at in tc.chunks(batch.column(0)):
                 whole = tc.codes(buf, at, np.append(at[1:], len(buf)) - 1)
                 word, first = tc.text_words(buf, at, tc.ALNUM)
-                place = (word % np.uint64(FILTER_BITS)).astype(np.int64) if len(word) else np.zeros(0, np.int64)
-                hit = np.flatnonzero(wanted.value[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                hit = np.flatnonzero(in_bitmap(wanted.value, word.view(np.int64)))
                 of = np.searchsorted(first, hit, "right") - 1
                 got = np.unique(np.stack([whole[of], word[hit]], 1), axis=0) if len(hit) else np.zeros((0, 2), np.uint64)
                 # one row for each text, whose word is 0, lets the texts be counted

@@ -19,12 +19,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import connected_components, text_batches, written
+from pulsegrid.llm.common import bitmap, connected_components, in_bitmap, text_batches, written
 
 WORDS, PERCENT = 3, 90
 #: Sets that one task holds of each side.
@@ -32,7 +33,6 @@ BLOCK = 512
 #: Parts beyond those that can differ, at least; a set with more empty ones gives keys for these too.
 SPARE = 3
 BITS = 2048
-FILTER_BITS = 1 << 26
 LEAF, FAN = 8, 8
 #: Ratio of the sizes that bound a class.
 STEP = 0.7
@@ -265,9 +265,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             )
 
     seen = written(slim.mapInArrow(describe, "doc_id long, n_shingles long, code long, keys array<long>"), "sets")
-    shown = seen.select(F.explode("keys").alias("key"), "code")
-    shared = shown.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high")
-    near = shown.join(shared.select("key", "low"), "key").where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).distinct()
+    near = _candidates(seen)
     groups = written(connected_components(near, "groups"), "groups")
     links = written(_links(slim, groups, words, percent), "links")
     root = connected_components(links, "links")
@@ -280,46 +278,52 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
+def _candidates(seen: DataFrame) -> DataFrame:
+    """Pairs (a, b) of set codes: each set that shares a key with other sets, and the smallest of the key's sets."""
+    shown = seen.select(F.explode("keys").alias("key"), "code")
+    shared = shown.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high")
+    shared = written(shared.select("key", "low"), "shared")
+    wanted = bitmap(shared, "key")
+
+    def likely(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            key = lists.flatten().to_numpy(zero_copy_only=False)
+            code = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            hit = in_bitmap(wanted.value, key) if len(key) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(key[hit], pa.int64()), pa.array(code[hit], pa.int64())], names=["key", "code"])
+
+    again = seen.select("code", "keys").mapInArrow(likely, "key long, code long")
+    return again.join(shared, "key").where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).distinct()
+
+
 def _links(slim: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """Links found in the groups, as pairs (a, b) of set codes."""
-
-    # A bit for each value of a code's hash that a group holds: a broadcast of FILTER_BITS whatever the input,
-    # so that few sets outside the groups leave the tasks; the join is what decides.
-    bit = (F.pmod("code", F.lit(FILTER_BITS)) + 1).alias("bit")
-    maps = groups.select(F.col("node").alias("code")).select(bit).groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-    filled = np.zeros(FILTER_BITS // 8, np.uint8)
-    for bucket, bits in maps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit"))).collect():
-        filled[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
-    wanted = slim.sparkSession.sparkContext.broadcast(filled)
+    wanted = bitmap(groups, "node")
 
     def members(batches):
         for batch in batches:
-            code, kept = [], []
-            for _, sets in _sets(batch.column(0), words):
-                for s in sets:
-                    c = set_code(s)
-                    at = c % FILTER_BITS
-                    if wanted.value[at >> 3] >> (at & 7) & 1:
-                        code.append(c)
-                        kept.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(kept, pa.binary())], names=["code", "codes"])
-
-    # The texts are read again rather than kept as sets, which are larger than the texts; only sets in a group go on.
-    member = slim.select("text").mapInArrow(members, "code long, codes binary")
-    member = member.join(groups.withColumnRenamed("node", "code").withColumnRenamed("root", "group"), "code")
-    member = written(member.groupBy("group", "code").agg(F.first("codes").alias("codes")), "members")
-    sizes = member.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = member.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
-    # A set goes to each pair of blocks that its own is in: once unless its group is large.
+            code = np.array([set_code(s) for _, sets in _sets(batch.column(0), words) for s in sets], np.int64)
+            hit = in_bitmap(wanted.value, code) if len(code) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(code[hit]), batch.column(0).filter(pa.array(hit))], names=["code", "text"])
+
+    # Which block pairs a set is part of is known from its code; a set goes to each pair of blocks that its own is
+    # in, once unless its group is large. Texts travel rather than sets, which are larger.
+    named = groups.select(F.col("node").alias("code"), F.col("root").alias("group"))
+    sizes = named.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = named.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = dealt.select("group", "code", "codes", "block", other).select(
-        "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "code", "codes"
+    places = dealt.select("group", "code", "block", other).select(
+        "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "code"
     )
+    texts = slim.select("text").mapInArrow(members, "code long, text string").groupBy("code").agg(F.first("text").alias("text"))
+    tasks = places.join(texts, "code")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         side = [pdf[pdf["block"] == k].sort_values("code") for k in ((i,) if i == j else (i, j))]
-        trees = [Tree([np.frombuffer(b, np.uint64) for b in s["codes"]]) if len(s) else None for s in side]
+        sets = [[x for _, some in _sets(pa.array(s["text"], pa.large_string()), words) for x in some] for s in side]
+        trees = [Tree(x) if x else None for x in sets]
         if None in trees:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         code = [s["code"].to_numpy() for s in side]

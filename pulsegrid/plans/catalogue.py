@@ -1,6 +1,303 @@
-"""Queries by name, each with SQL that says the same."""
+"""Queries by name, each with SQL that says the same.
+
+All run over whole tables. The events table spans thirty days of January 2024, so the grid here is an hour, the
+window a day, and the clock stands at midnight after the last day.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+import uuid
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.config import Config
+from pulsegrid.functions import columns as C
+from pulsegrid.operators import admission, alerts, buckets, reading, telemetry, validation
+from pulsegrid.sources import decoder, snapshots, tables
+from pulsegrid.streaming import jobs
+
+GRID = Config(bucket_s=3600, buckets=24, future_ms=3_600_000, max_limit=1000)
+WEEK = replace(GRID, buckets=24 * 7)
+MONTH = replace(GRID, buckets=24 * 31)
+#: 2024-01-31 and 2024-01-20, midnight.
+NOW, EARLIER = 1_706_659_200_000, 1_705_708_800_000
+PAGE = 40
+
+
+def _store(events: DataFrame, config: Config = GRID) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(registry, buckets, sketch) of a table of events."""
+    return events.select("name").distinct(), buckets.fold(events, config), buckets.sketch(events, config)
+
+
+def _tidy(df: DataFrame) -> DataFrame:
+    """Sums and quantiles to nine places of their scale: addition order and powers differ in the last ones."""
+    floats = [c for c, t in df.dtypes if t == "double"]
+    return df.withColumns({c: F.round(c, 6) for c in floats})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-pulsegrid-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/pulsegrid/{uuid.uuid4().hex}"
+
+
+def bucket_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(buckets.fold(tables.user_events(spark, sf_dir), GRID))
+
+
+def sketch_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.sketch(tables.service_events(spark, sf_dir), GRID)
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of both signs, and some near zero."""
+    value = F.when(F.col("event_id") % 7 == 0, F.col("value") * 1e-12).otherwise(F.col("value") - 30)
+    return tables.user_events(spark, sf_dir).withColumn("value", value)
+
+
+def sketch_negatives_zeros(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(buckets.quantiles(buckets.sketch(_signed(spark, sf_dir), MONTH), ["name"]))
+
+
+def sketch_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.sketch(tables.service_events(spark, sf_dir), replace(GRID, bucket_s=86_400, sketch_buckets=16))
+
+
+def _stats(spark, sf_dir, config=GRID, events=tables.user_events, now=NOW, **parameters) -> DataFrame:
+    req = reading.request(config=config, **parameters)
+    return _tidy(reading.stats(*_store(events(spark, sf_dir), config), req, now, config))
+
+
+def stats_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir, events=tables.service_events)
+
+
+def stats_short_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir, MONTH, window="90h30m", now=EARLIER)
+
+
+def stats_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir, MONTH, names=["user.7", "user.3", "user.7", "user.none"])
+
+
+def stats_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir, MONTH, prefix="user.1")
+
+
+def stats_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir, MONTH, prefix="user.", after="user.12", limit=str(PAGE))
+
+
+def stats_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = reading.request(prefix="user.", after="user.12", limit=str(PAGE), config=MONTH)
+    return reading.page(tables.user_events(spark, sf_dir).select("name"), req, NOW, MONTH)
+
+
+def quantiles_user_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir, MONTH, limit="10")
+
+
+def series_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    req = reading.request(names=["svc.click", "svc.purchase", "svc.view"], config=WEEK)
+    return _tidy(reading.series(*_store(tables.service_events(spark, sf_dir), WEEK), req, NOW, WEEK))
+
+
+def counter_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = buckets.live(buckets.fold(tables.user_events(spark, sf_dir), WEEK), buckets.cutoff(NOW, WEEK.window_s, WEEK))
+    whole = merged.groupBy("name").agg(F.min("min").alias("min"), F.max("max").alias("max"))
+    return _tidy(whole.select("name", buckets.increase().alias("increase")))
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events, some of which break a rule: by id, in turn."""
+    turn = F.col("event_id") % 11
+    return tables.service_events(spark, sf_dir).select(
+        "event_id",
+        F.floor(F.col("event_id") / 100).cast("long").alias("body"),
+        F.when(turn == 0, "").when(turn == 1, F.concat(F.lit(GRID.reserved_prefix), "name")).when(turn == 2, F.repeat("name", F.lit(60))).otherwise(F.col("name")).alias("name"),
+        "value",
+        F.when(turn == 3, 0).when(turn == 4, NOW + 3_600_001).when(turn == 5, NOW + 3_600_000).otherwise(F.col("ts")).cast("long").alias("ts"),
+    )
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.verdicts(_mixed(spark, sf_dir), NOW, WEEK)
+
+
+def validate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).groupBy(F.coalesce("error", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.batch_summary(_judged(spark, sf_dir), ["body"])
+
+
+def batch_first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.first_errors(_judged(spark, sf_dir), ["body"], "event_id")
+
+
+def shard_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = tables.user_events(spark, sf_dir).select("name").distinct()
+    return names.select("name", C.fnv1a(F.col("name")).alias("hash"), C.shard(F.col("name")).alias("shard"))
+
+
+SMALL = replace(GRID, names_per_shard=3, client_names=4, epoch_s=86_400)
+
+
+def cap_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tables.user_events(spark, sf_dir).select("event_id", "name")
+    registry = events.where("name in ('user.1', 'user.2', 'user.3')").select("name").distinct()
+    return admission.admit_by_cap(events, registry, "event_id", SMALL).groupBy("name").agg(
+        F.count("*").alias("events"), F.count_if(F.col("error").isNull()).alias("accepted")
+    )
+
+
+def admission_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both limits together; clients by kind of event."""
+    events = tables.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.concat(F.lit("user."), F.col("user_id").cast("string")).alias("name"),
+        F.col("event_type").alias("client"), F.unix_millis(F.col("ts").cast("timestamp")).alias("arrived"),
+    )
+    judged = admission.admit(events, events.select("name").limit(0), config=SMALL)
+    return judged.groupBy("client", F.coalesce("error", F.lit("accepted")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def client_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = tables.table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(F.struct("event_id", "event_type", "ts")).alias("f"))
+    made = first.select(F.col("f.event_type").alias("client"), F.unix_millis(F.col("f.ts").cast("timestamp")).alias("arrived"), F.col("f.event_id").alias("seq"))
+    return admission.client_rate(made, SMALL).select("client", "epoch", "seq", "allowed")
+
+
+def query_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = tables.table(spark, sf_dir, "events")
+    return events.select("event_id", admission.query_cost(F.col("user_id"), F.col("event_id")).alias("units"))
+
+
+def query_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = tables.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("client"), F.unix_millis(F.col("ts").cast("timestamp")).alias("arrived"), F.col("event_id").alias("seq"),
+        F.col("user_id").alias("units"),
+    )
+    return admission.query_budget(asked, replace(SMALL, client_units=1000)).select("client", "epoch", "seq", "units", "allowed")
+
+
+RULES = [
+    alerts.Rule("click-average", "svc.click", "avg", ">", 50.0, 0, 7_200_000),
+    alerts.Rule("click-count", "svc.click", "count", ">=", 60.0, 43_200_000),
+    alerts.Rule("purchase-p90", "svc.purchase", "p90", ">", 110.0, 86_400_000, 3_600_000),
+    alerts.Rule("view-low", "svc.view", "min", "<", 0.5),
+    alerts.Rule("view-rise", "svc.view", "increase", ">", 200.0, 21_600_000, 10_800_000),
+    alerts.Rule("nothing", "svc.none", "max", "<=", 1.0),
+]
+TICK_MS = 3_600_000
+
+
+def _outcomes(spark: SparkSession, sf_dir: str, ticks: DataFrame) -> DataFrame:
+    _, table, rows = _store(tables.service_events(spark, sf_dir))
+    return alerts.evaluate(alerts.rules_frame(spark, RULES), table, rows, ticks, GRID)
+
+
+def alerts_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = spark.createDataFrame([(NOW,)], "now_ms long")
+    return _tidy(_outcomes(spark, sf_dir, at).select("rule", "metric", "value", "outcome"))
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = spark.range(EARLIER, NOW + 1, TICK_MS).select(F.col("id").alias("now_ms"))
+    return alerts.replay(_outcomes(spark, sf_dir, ticks), EARLIER)
+
+
+def alerts_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replayed(spark, sf_dir).select("rule", "now_ms", "state", "since", "announce")
+
+
+def alerts_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _replayed(spark, sf_dir).where(F.col("now_ms") == NOW)
+    return alerts.listing(states, "ok", "a", 2).select("rule", "metric", "state", "since")
+
+
+def alerts_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _replayed(spark, sf_dir).where(F.col("now_ms") == NOW).select("rule", "metric", "state", "value", "since")
+    changed = [replace(r, value=r.value + 1) if r.name == "view-low" else r for r in RULES if r.name != "nothing"]
+    new = [*changed, alerts.Rule("fresh", "svc.click", "max", ">", 1.0)]
+    return alerts.reload(alerts.rules_frame(spark, RULES), alerts.rules_frame(spark, new), states, NOW).select("rule", "metric", "state", "since")
+
+
+def sweep_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry, table, _ = _store(tables.user_events(spark, sf_dir), WEEK)
+    names, kept = buckets.sweep(registry, table, NOW, WEEK)
+    both = names.agg(F.count("*").alias("names")).join(kept.agg(F.count("*").alias("buckets")))
+    return both.join(registry.agg(F.count("*").alias("names_before"))).join(table.agg(F.count("*").alias("buckets_before")))
+
+
+def size_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return buckets.gauges(*_store(tables.user_events(spark, sf_dir)))
+
+
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, table, rows = _store(tables.user_events(spark, sf_dir), MONTH)
+    folder = shared_folder(spark)
+    snapshots.write(table, rows, folder, NOW, MONTH)
+    return _tidy(snapshots.restore(spark, folder, NOW, MONTH)[0])
+
+
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fold by a stream of the table's files, in as many batches as there are files."""
+    schema = tables.table(spark, sf_dir, "events").schema
+    # A stream reads folders; the filter leaves the one table of this folder.
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet")
+    events = tables._named(raw, F.concat(F.lit("user."), F.col("user_id").cast("string")))
+    folder = shared_folder(spark)
+    jobs.ingest(events, f"{folder}/store", f"{folder}/checkpoint", lambda _: NOW, MONTH).awaitTermination()
+    return _tidy(jobs.stored(spark, f"{folder}/store")[0])
+
+
+def reading_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(tables.user_events(spark, sf_dir), MONTH)
+    bad = telemetry.stats_violations(reading.stats(*store, reading.request(config=MONTH), NOW, MONTH)).agg(F.count("*").alias("stats"))
+    names = [f"user.{i}" for i in range(20)]
+    points = reading.series(*store, reading.request(names=names, config=MONTH), NOW, MONTH)
+    return bad.join(telemetry.series_violations(points, NOW, MONTH).agg(F.count("*").alias("series")))
+
+
+def exactness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = _judged(spark, sf_dir)
+    return telemetry.exactness(judged, buckets.fold(judged.where("error is null"), WEEK))
+
+
+def self_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.counters(_judged(spark, sf_dir))
+
+
+def decode_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of a hundred events each, one of which breaks off: decoded and folded."""
+    events = tables.service_events(spark, sf_dir)
+    text = F.format_string('{"NAME":"%s", "value":%s,\n "ts":%d, "x":[1,{"y":null}]}', "name", F.col("value").cast("string"), "ts")
+    text = F.when(F.col("event_id") % 1000 == 550, '{"name":').otherwise(text)
+    rows = events.select(F.floor(F.col("event_id") / 100).cast("long").alias("b"), F.struct("event_id", text.alias("text")).alias("e"))
+    bodies = rows.groupBy("b").agg(F.sort_array(F.collect_list("e")).alias("l"))
+    bodies = bodies.select(F.col("b").cast("string").alias("body_id"), F.concat_ws("\n", F.transform("l", lambda e: e["text"])).alias("body"))
+    return decoder.decode_bodies(bodies).groupBy("body_id").agg(
+        F.count_if(~F.col("fatal")).alias("events"), F.count_if("fatal").alias("broken"), F.round(F.sum("value"), 6).alias("total")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bucket_fold, sketch_index_counts, sketch_negatives_zeros, sketch_collapse, stats_window, stats_short_window, stats_by_name,
+        stats_by_prefix, stats_page_after, stats_meta, quantiles_user_topk, series_by_name, counter_increase, validate_reasons,
+        batch_summary, batch_first_errors, shard_assignment, cap_admission, admission_fold, client_rate, query_cost, query_budget,
+        alerts_eval, alerts_replay, alerts_filter_page, alerts_reload, sweep_effect, size_gauges, snapshot_roundtrip,
+        stream_equals_batch, reading_invariants, exactness, self_counters, decode_batch,
+    )
+}
+
+from pulsegrid.plans.catalogue_sql import ORACLE_SQL  # noqa: E402, F401

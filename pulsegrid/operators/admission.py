@@ -96,7 +96,7 @@ def admit(events: DataFrame, registry: DataFrame, seq: str = "seq", time_ms: str
         at = pdf["seq"].to_numpy()
         return pd.DataFrame({"name": list(made), "created": [int(at[i]) for i in made.values()]})
 
-    created = attempts.withColumn("shard", shard_of).groupBy(F.lit(0)).applyInPandas(run, "name string, created long")
+    created = attempts.withColumn("shard", shard_of).groupBy(F.lit("all").alias("fold")).applyInPandas(run, "name string, created long")
     known = registry.select("name", F.lit(-1).cast("long").alias("created")).distinct()
     seen = events.join(created.unionByName(known), "name", "left")
     full = attempts_full(created, held, config)

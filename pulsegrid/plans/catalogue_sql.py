@@ -30,7 +30,7 @@ q AS (SELECT {keys}, {", ".join(f"min_by(v, ord) FILTER (cum > least(CAST(trunc(
 def _stats(events: str, cut: int, names: str = "true", keys: str = "name", shown: str = "") -> str:
     return f"""WITH {_sketch(events, keys, f"bucket_start >= {cut} AND ({names})")},
 m AS (SELECT {keys}, count(*) AS count, avg(value) AS avg, min(value) AS min, max(value) AS max FROM e GROUP BY ALL)
-SELECT {shown or keys}, CAST(m.count AS BIGINT) AS count, {", ".join(f"round({t}.{a}, 6) AS {a}" for t, a in (("m", "avg"), ("m", "min"), ("m", "max"), ("q", "p50"), ("q", "p90"), ("q", "p99")))}
+SELECT {shown or keys}, CAST(m.count AS BIGINT) AS count, {", ".join(f"round({t}.{a} + 1e-9, 6) AS {a}" for t, a in (("m", "avg"), ("m", "min"), ("m", "max"), ("q", "p50"), ("q", "p90"), ("q", "p99")))}
 FROM m JOIN q USING ({keys})"""
 
 
@@ -51,7 +51,7 @@ JUDGED = f"""SELECT *, CASE WHEN strlen(name) = 0 THEN 'name is required'
   WHEN ts > {NOW + 3_600_000} THEN 'ts too far in the future (after now+1h0m0s)' END AS error FROM ({MIXED})"""
 
 FNV = """CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), [CAST(('0x' || hex(encode(c))) AS BIGINT) FOR c IN string_split(name, '')]),
-  (h, b) -> (xor(h, b) * 16777619) % 4294967296) AS BIGINT)"""
+  lambda h, b: (xor(h, b) * 16777619) % 4294967296) AS BIGINT)"""
 
 #: Rules: name, metric, stat, op, limit, window in ms, wait in ms.
 RULES = """(VALUES ('click-average', 'svc.click', 'avg', '>', 50.0, 86400000, 7200000), ('click-count', 'svc.click', 'count', '>=', 60.0, 43200000, 0),
@@ -65,9 +65,9 @@ def _outcomes(ticks: str) -> str:
     return f"""a AS (SELECT rule, metric, stat, op, lim, wait, now_ms, ((now_ms - win) - (now_ms - win) % {HOUR * 1000}) // 1000 AS cut FROM {RULES}, ({ticks}) t),
 {_sketch(joined, "rule, now_ms").strip()},
 m AS (SELECT rule, now_ms, count(*) AS cnt, avg(value) AS av, min(value) AS mn, max(value) AS mx FROM e GROUP BY ALL),
-val AS (SELECT a.*, m.cnt, CASE WHEN cnt IS NULL THEN 0.0 ELSE CASE stat WHEN 'count' THEN CAST(cnt AS DOUBLE) WHEN 'avg' THEN av WHEN 'min' THEN mn WHEN 'max' THEN mx
+val AS (SELECT a.*, m.cnt, CASE WHEN cnt IS NULL THEN CAST(0 AS DOUBLE) ELSE CASE stat WHEN 'count' THEN CAST(cnt AS DOUBLE) WHEN 'avg' THEN av WHEN 'min' THEN mn WHEN 'max' THEN mx
   WHEN 'p50' THEN p50 WHEN 'p90' THEN p90 WHEN 'p99' THEN p99 ELSE mx - mn END END AS value FROM a LEFT JOIN m USING (rule, now_ms) LEFT JOIN q USING (rule, now_ms)),
-oc AS (SELECT rule, metric, now_ms, wait, value, CASE WHEN cnt IS NULL THEN 'nodata'
+oc AS MATERIALIZED (SELECT rule, metric, now_ms, wait, value, CASE WHEN cnt IS NULL THEN 'nodata'
   WHEN CASE op WHEN '>' THEN value > lim WHEN '>=' THEN value >= lim WHEN '<' THEN value < lim ELSE value <= lim END THEN 'firing' ELSE 'ok' END AS outcome FROM val)"""
 
 
@@ -78,13 +78,13 @@ def _replayed() -> str:
     after = f"CASE WHEN oc.outcome = 'firing' AND st.state <> 'firing' AND oc.now_ms - {began} < oc.wait THEN 'pending' ELSE oc.outcome END"
     return f"""RECURSIVE {_outcomes(ticks)},
 st(rule, metric, now_ms, value, prev, state, since) AS (
-  SELECT rule, metric, CAST({EARLIER - 3_600_000} AS BIGINT), 0.0, 'nodata', 'nodata', CAST({EARLIER} AS BIGINT) FROM {RULES}
+  SELECT rule, metric, CAST({EARLIER - 3_600_000} AS BIGINT), CAST(0 AS DOUBLE), 'nodata', 'nodata', CAST({EARLIER} AS BIGINT) FROM {RULES}
   UNION ALL
   SELECT st.rule, st.metric, oc.now_ms, oc.value, st.state, {after}, CASE WHEN {after} = st.state THEN st.since ELSE oc.now_ms END
   FROM st JOIN oc ON oc.rule = st.rule AND oc.now_ms = st.now_ms + 3600000)"""
 
 
-ROUNDED = "CAST(count(*) AS BIGINT) AS count, round(sum(value), 6) AS sum, round(min(value), 6) AS min, round(max(value), 6) AS max"
+ROUNDED = "CAST(count(*) AS BIGINT) AS count, round(sum(value) + 1e-9, 6) AS sum, round(min(value) + 1e-9, 6) AS min, round(max(value) + 1e-9, 6) AS max"
 FOLD = f"SELECT name, {_bucket()} AS bucket_start, {ROUNDED} FROM ({USER}) GROUP BY ALL"
 MONTHLY = _cut(NOW, MONTH)
 
@@ -92,7 +92,7 @@ ORACLE_SQL = {
     "bucket_fold": FOLD,
     "sketch_index_counts": f"WITH {_sketch(SVC, 'name, bucket_start')} SELECT name, bucket_start, sign, idx, CAST(n AS BIGINT) AS n FROM s",
     "sketch_negatives_zeros": f"""WITH {_sketch(f"SELECT name, ts, CASE WHEN event_id % 7 = 0 THEN value * 1e-12 ELSE value - 30 END AS value FROM ({USER})", "name")}
-SELECT name, round(p50, 6) AS p50, round(p90, 6) AS p90, round(p99, 6) AS p99 FROM q""",
+SELECT name, round(p50 + 1e-9, 6) AS p50, round(p90 + 1e-9, 6) AS p90, round(p99 + 1e-9, 6) AS p99 FROM q""",
     "sketch_collapse": f"""WITH y AS (SELECT name, {_bucket(86_400)} AS bucket_start, CASE WHEN value >= 1e-9 THEN 1 WHEN value <= -1e-9 THEN -1 ELSE 0 END AS sign,
   CASE WHEN abs(value) >= 1e-9 THEN CAST(ceil(ln(abs(value)) / {LOG}) AS INTEGER) ELSE 0 END AS idx FROM ({SVC})),
 g AS (SELECT name, bucket_start, sign, idx, count(*) AS n, row_number() OVER (PARTITION BY name, bucket_start, sign ORDER BY idx DESC) AS r FROM y GROUP BY 1, 2, 3, 4),
@@ -109,7 +109,7 @@ SELECT CAST((SELECT count(*) FROM n) AS BIGINT) AS matched, (SELECT count(*) FRO
   CAST((SELECT count(*) FROM r) AS BIGINT) AS walked, CAST((SELECT count(*) FROM p) AS BIGINT) AS names""",
     "quantiles_user_topk": _stats(USER, MONTHLY, f"name IN (SELECT DISTINCT name FROM ({USER}) ORDER BY name LIMIT 10)"),
     "series_by_name": _stats(SVC, _cut(NOW, WEEK), "name IN ('svc.click', 'svc.purchase', 'svc.view')", "name, bucket_start", "name, bucket_start AS start"),
-    "counter_increase": f"SELECT name, round(max(value) - min(value), 6) AS increase FROM ({USER}) WHERE {_bucket()} >= {_cut(NOW, WEEK)} GROUP BY name",
+    "counter_increase": f"SELECT name, round(max(value) - min(value) + 1e-9, 6) AS increase FROM ({USER}) WHERE {_bucket()} >= {_cut(NOW, WEEK)} GROUP BY name",
     "validate_reasons": f"SELECT coalesce(error, 'accepted') AS reason, CAST(count(*) AS BIGINT) AS n FROM ({JUDGED}) GROUP BY 1",
     "batch_summary": f"""SELECT body, CAST(count(*) FILTER (error IS NULL) AS BIGINT) AS accepted, CAST(count(*) FILTER (error IS NOT NULL) AS BIGINT) AS rejected,
   CASE WHEN count(*) FILTER (error IS NULL) > 0 THEN 200 ELSE 400 END AS status FROM ({JUDGED}) GROUP BY body""",
@@ -120,12 +120,12 @@ QUALIFY row_number() OVER (PARTITION BY body ORDER BY event_id) <= 10""",
 h AS (SELECT *, {FNV} % 32 AS shard, name IN ('user.1', 'user.2', 'user.3') AS known FROM f),
 r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY known DESC, seq, name) AS rank FROM h)
 SELECT name, CAST(events AS BIGINT) AS events, CAST(CASE WHEN known OR rank <= 3 THEN events ELSE 0 END AS BIGINT) AS accepted FROM r""",
-    "client_rate": """WITH f AS (SELECT min(event_id) AS seq, arg_min(event_type, event_id) AS client, epoch_ms(arg_min(ts, event_id)) AS at FROM events GROUP BY user_id)
-SELECT client, CAST(at // 86400000 AS BIGINT) AS epoch, seq, row_number() OVER (PARTITION BY client, at // 86400000 ORDER BY seq) <= 4 AS allowed FROM f""",
+    "client_rate": """WITH f AS (SELECT min(event_id) AS seq, arg_min(event_type, event_id) AS client, epoch_ms(arg_min(ts, event_id)) AS came FROM events GROUP BY user_id)
+SELECT client, CAST(came // 86400000 AS BIGINT) AS epoch, seq, row_number() OVER (PARTITION BY client, came // 86400000 ORDER BY seq) <= 4 AS allowed FROM f""",
     "query_cost": "SELECT event_id, CAST(user_id + (event_id + 324) // 325 AS BIGINT) AS units FROM events",
     "query_budget": """SELECT event_type AS client, CAST(epoch_ms(ts) // 86400000 AS BIGINT) AS epoch, event_id AS seq, user_id AS units,
   coalesce(sum(user_id) OVER (PARTITION BY event_type, epoch_ms(ts) // 86400000 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1000 AS allowed FROM events""",
-    "alerts_eval": f"WITH {_outcomes(f'SELECT CAST({NOW} AS BIGINT) AS now_ms')} SELECT rule, metric, round(value, 6) AS value, outcome FROM oc",
+    "alerts_eval": f"WITH {_outcomes(f'SELECT CAST({NOW} AS BIGINT) AS now_ms')} SELECT rule, metric, round(value + 1e-9, 6) AS value, outcome FROM oc",
     "alerts_replay": f"""WITH {_replayed()} SELECT rule, now_ms, state, since,
   prev <> state AND state <> 'pending' AND NOT (prev = 'pending' AND state IN ('ok', 'nodata')) AS announce FROM st WHERE now_ms >= {EARLIER}""",
     "alerts_filter_page": f"WITH {_replayed()} SELECT rule, metric, state, since FROM st WHERE now_ms = {NOW} AND state = 'ok' AND rule > 'a' ORDER BY rule LIMIT 2",

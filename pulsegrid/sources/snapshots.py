@@ -45,8 +45,8 @@ def write(buckets: DataFrame, sketch: DataFrame, folder: str, now_ms: int, confi
 def generations(spark: SparkSession, folder: str) -> list[str]:
     """Finished generations, the newest first."""
     try:
-        found = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option("recursiveFileLookup", "true").load(folder)
-        paths = found.where(F.col("path").rlike("generation=[0-9]+/manifest/_SUCCESS$"))
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+        paths = found.where(F.col("path").rlike("generation=[0-9]+/manifest/[^/]+$"))
         rows = paths.select(F.regexp_extract("path", "generation=([0-9]+)/", 1).cast("long").alias("at")).distinct().orderBy(F.desc("at")).collect()
     except AnalysisException:
         return []

@@ -196,7 +196,7 @@ def test_bodies(spark):
     good = b'{"name":"a","ts":1}\n\n {"name":"b",\n"ts":2}'
     bodies = spark.createDataFrame([("x", good), ("y", good + b'{"name":'), ("z", None), ("e", b"")], "body_id string, body binary")
     got = decoder.decode_bodies(bodies)
-    assert sorted((r.body_id, r.index, r.fatal) for r in got.collect()) == [("x", 0, False), ("x", 1, False), ("y", 0, False), ("y", 1, False), ("y", 2, True)]
+    assert sorted((r.body_id, r["index"], r.fatal) for r in got.collect()) == [("x", 0, False), ("x", 1, False), ("y", 0, False), ("y", 1, False), ("y", 2, True)]
     assert [(r.body_id, r.status) for r in decoder.failure_status(got, ["body_id"]).collect()] == [("y", 400)]
 
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -253,19 +252,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def describe(batches):
         for batch in batches:
-            n, code, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            n, code = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for lo, sets in _sets(batch.column(1), words):
                 for i, s in enumerate(sets):
                     n[lo + i], code[lo + i] = len(s), set_code(s)
-                row, k = keys(sets, percent)
-                for i, part in zip(*(lambda u, f: (u, np.split(k, f[1:])))(*np.unique(row, return_index=True)), strict=True) if len(row) else ():
-                    key[lo + i] = part.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(code), pa.array(key, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "code", "keys"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(code)], names=["doc_id", "n_shingles", "code"])
 
-    seen = written(slim.mapInArrow(describe, "doc_id long, n_shingles long, code long, keys array<long>"), "sets")
-    near = _candidates(seen)
+    seen = written(slim.mapInArrow(describe, "doc_id long, n_shingles long, code long"), "sets")
+    near = _candidates(slim, words, percent)
     groups = written(connected_components(near, "groups"), "groups")
     links = written(_links(slim, groups, words, percent), "links")
     root = connected_components(links, "links")
@@ -278,22 +272,36 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
-def _candidates(seen: DataFrame) -> DataFrame:
+def _keyed(slim: DataFrame, words: int, percent: int, wanted=None) -> DataFrame:
+    """Rows (key, code) of all sets, each set once in a task; with a bitmap, only keys whose bit is set. Keys are made
+    from the texts each time, as they would take more room on disk than the texts."""
+
+    def show(batches):
+        done = set()
+        for batch in batches:
+            for _, sets in _sets(batch.column(0), words):
+                new = []
+                for s in sets:
+                    if len(s) and (code := set_code(s)) not in done:
+                        done.add(code)
+                        new.append((code, s))
+                row, key = keys([s for _, s in new], percent)
+                code = np.array([c for c, _ in new], np.int64)[row]
+                key = key.view(np.int64)
+                if wanted is not None and len(key):
+                    hit = in_bitmap(wanted.value, key)
+                    key, code = key[hit], code[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(code, pa.int64())], names=["key", "code"])
+
+    return slim.select("text").mapInArrow(show, "key long, code long")
+
+
+def _candidates(slim: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of set codes: each set that shares a key with other sets, and the smallest of the key's sets."""
-    shown = seen.select(F.explode("keys").alias("key"), "code")
+    shown = _keyed(slim, words, percent)
     shared = shown.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high")
     shared = written(shared.select("key", "low"), "shared")
-    wanted = bitmap(shared, "key")
-
-    def likely(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            key = lists.flatten().to_numpy(zero_copy_only=False)
-            code = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            hit = in_bitmap(wanted.value, key) if len(key) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(key[hit], pa.int64()), pa.array(code[hit], pa.int64())], names=["key", "code"])
-
-    again = seen.select("code", "keys").mapInArrow(likely, "key long, code long")
+    again = _keyed(slim, words, percent, bitmap(shared, "key"))
     return again.join(shared, "key").where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).distinct()
 
 

@@ -3,10 +3,10 @@
 1. Every text becomes the set of its shingles' codes; equal sets are one class.
 2. A set's codes are dealt into P parts by a hash. Sets with J >= t differ in at most (a + b)(1 - t)/(1 + t)
    codes, so with more parts than that some part is equal in both. Each set gives one key per part, with
-   P fixed for a class of sizes; sets near a border give the keys of both classes. A passage that many
-   documents share makes no common key, as a part is drawn from the whole set.
+   P fixed for a class of sizes; sets near a border give the keys of both classes.
 3. Keys that two sets share make the candidate graph (each set to the smallest set of its key), whose
-   components are the groups that can hold a link: no link crosses groups.
+   components are the groups that can hold a link: no link crosses groups. Sets that share fewer keys than a
+   link takes are left out of it, such as those with only a passage in common.
 4. Each set is sent once to its group; a group larger than ``BLOCK`` sets is cut into blocks and joined block
    by block. In a task, a tree's nodes hold the OR of their sets' bitmaps and their range of sizes; a dual
    traversal drops node pairs whose largest possible overlap is too small, or that are joined already, and
@@ -31,6 +31,8 @@ WORDS, PERCENT = 3, 90
 BLOCK = 512
 #: Parts beyond those that can differ, at least; a set with more empty ones gives keys for these too.
 SPARE = 3
+#: Times that sets with too few shared keys are taken out; more rounds only spare work.
+ROUNDS = 2
 BITS = 2048
 LEAF, FAN = 8, 8
 #: Ratio of the sizes that bound a class.
@@ -75,9 +77,16 @@ def _parts(lower: int, upper: int, percent: int) -> tuple[int, int]:
 
 def keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """``(set, key)`` pairs: two sets of a similarity of ``percent`` or more have a key in common or are equal."""
+    return keys_and_needs(sets, percent)[:2]
+
+
+def keys_and_needs(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(set, key, below, need)``: ``below`` tells keys of the class below the set's own. If the set links with
+    another set by a class, at least ``need`` of its keys of this class are keys of that set too: of its filled
+    parts, no more can differ than codes can."""
     bounds = _bounds(percent)
     size = np.array([len(s) for s in sets], np.int64)
-    which, out = [], []
+    which, out, lower, needs = [], [], [], []
     own = np.searchsorted(bounds, size)
     for level in (0, -1):
         c = own + level
@@ -105,11 +114,17 @@ def keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np
         tag = tc.mix(c[for_class][of].astype(np.uint64) * np.uint64(1 << 40) + index.astype(np.uint64))
         key = tc.mix(tag + tc.mix(lo + (hi << np.uint64(32))) + filled.astype(np.uint64))
         use = filled | (empty[of] > spare[of])
+        mine = size[for_class]
+        partner = bounds[c[for_class]] if level else mine * 100 // percent
+        differ = (mine + partner) * (100 - percent) // (100 + percent)
+        need = np.maximum(1, np.bincount(of, filled, len(for_class)).astype(np.int64) - differ)
         which.append(for_class[of[use]])
         out.append(key[use])
+        lower.append(np.full(use.sum(), level, np.int8))
+        needs.append(need[of[use]].astype(np.int32))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(which), np.concatenate(out)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int32)
+    return np.concatenate(which), np.concatenate(out), np.concatenate(lower), np.concatenate(needs)
 
 
 def _sets(column, words: int):
@@ -273,8 +288,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def _keyed(slim: DataFrame, words: int, percent: int, wanted=None) -> DataFrame:
-    """Rows (key, code) of all sets, each set once in a task; with a bitmap, only keys whose bit is set. Keys are made
-    from the texts each time, as they would take more room on disk than the texts."""
+    """Rows (key, code) of all sets, each set once in a task; with a bitmap, rows (key, code, below, need) of the keys
+    whose bit is set. Keys are made from the texts each time, as they would take more room on disk than the texts."""
 
     def show(batches):
         done = set()
@@ -285,24 +300,35 @@ def _keyed(slim: DataFrame, words: int, percent: int, wanted=None) -> DataFrame:
                     if len(s) and (code := set_code(s)) not in done:
                         done.add(code)
                         new.append((code, s))
-                row, key = keys([s for _, s in new], percent)
+                row, key, below, need = keys_and_needs([s for _, s in new], percent)
                 code = np.array([c for c, _ in new], np.int64)[row]
-                key = key.view(np.int64)
-                if wanted is not None and len(key):
-                    hit = in_bitmap(wanted.value, key)
-                    key, code = key[hit], code[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(code, pa.int64())], names=["key", "code"])
+                out = {"key": key.view(np.int64), "code": code}
+                if wanted is not None:
+                    out |= {"below": below, "need": need}
+                    hit = in_bitmap(wanted.value, out["key"])
+                    out = {k: v[hit] for k, v in out.items()}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
 
-    return slim.select("text").mapInArrow(show, "key long, code long")
+    return slim.select("text").mapInArrow(show, "key long, code long" + (", below byte, need int" if wanted is not None else ""))
 
 
 def _candidates(slim: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of set codes: each set that shares a key with other sets, and the smallest of the key's sets."""
+    """Pairs (a, b) of set codes: each set that shares a key with other sets, and the smallest of the key's sets.
+
+    A set with fewer shared keys than it needs for any link leaves, which may leave keys unshared, and so again:
+    sets that have only a passage in common do not chain groups together.
+    """
     shown = _keyed(slim, words, percent)
     shared = shown.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high")
-    shared = written(shared.select("key", "low"), "shared")
-    again = _keyed(slim, words, percent, bitmap(shared, "key"))
-    return again.join(shared, "key").where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).distinct()
+    shared = written(shared.select("key"), "shared")
+    left = written(_keyed(slim, words, percent, bitmap(shared, "key")).join(shared, "key", "left_semi").distinct(), "shown")
+    for _ in range(ROUNDS):
+        able = left.groupBy("code", "below", "need").count().where("count >= need").select("code", "below")
+        left = left.join(able, ["code", "below"], "left_semi")
+        both = left.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high")
+        left = written(left.join(both.select("key", "low"), "key").select("key", "code", "below", "need", "low"), "shown")
+        edges, left = left.where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")), left.drop("low")
+    return edges.distinct()
 
 
 def _links(slim: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,6 +42,14 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers are used again, and two share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def with_columns_from_batches(
     df: DataFrame,
     make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]],
@@ -68,6 +77,7 @@ def with_columns_from_batches(
                 [_as(c, f.type) for c, f in zip([*old, *columns], arrow, strict=True)],
                 names=arrow.names,
             )
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import text_batches, written
+from pulsegrid.llm.common import give_back, text_batches, written
 from pulsegrid.llm.tokens import default_path, ids_of
 
 CAPACITY = 1024
@@ -66,6 +66,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                 out += [pa.array(c, pa.int64()) for c in (start, length, crc)]
                 out += [pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
+            give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 

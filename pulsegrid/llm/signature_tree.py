@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import bitmap, connected_components, in_bitmap, text_batches, written
+from pulsegrid.llm.common import bitmap, connected_components, give_back, in_bitmap, text_batches, written
 
 WORDS, PERCENT = 3, 90
 #: Sets that one task holds of each side.
@@ -308,6 +308,7 @@ def _keyed(slim: DataFrame, words: int, percent: int, wanted=None) -> DataFrame:
                     hit = in_bitmap(wanted.value, out["key"])
                     out = {k: v[hit] for k, v in out.items()}
                 yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
+            give_back()
 
     return slim.select("text").mapInArrow(show, "key long, code long" + (", below byte, need int" if wanted is not None else ""))
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer text is worked on alone.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 300_000
 
 _rng = np.random.default_rng(20240131)
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

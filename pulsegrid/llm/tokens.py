@@ -15,9 +15,9 @@ from pulsegrid.llm import textcodes as tc
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
-_SLOTS = 1 << 22
+_SLOTS = 1 << 19
 #: Ids kept; beyond it the table starts anew.
-_KEPT_IDS = 24_000_000
+_KEPT_IDS = 2_000_000
 
 _SPACE, _LETTER, _DIGIT, _OTHER, _END = range(5)
 _class = np.full(256, _OTHER, np.uint8)
@@ -51,7 +51,7 @@ class Ids:
         self.used = 0
 
     def _look(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot = (code >> np.uint64(42)).astype(np.int64)
+        slot = (code >> np.uint64(45)).astype(np.int64)
         return slot, self.key[slot] == code
 
     def _add(self, code: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ class Ids:
             self.ids[self.used : self.used + len(flat)] = flat
         at = self.used + np.concatenate(([0], np.cumsum(n)[:-1]))
         self.used += len(flat)
-        slot = (code >> np.uint64(42)).astype(np.int64)
+        slot = (code >> np.uint64(45)).astype(np.int64)
         self.key[slot], self.at[slot], self.n[slot] = code, at, n
         return at, n
 

@@ -152,12 +152,13 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start, then kind as listed, then end."""
     base = base_spans(text)
     found = set(base)
-    work, seen = [Layer(text)], {text}
+    # equal layers of different places are each read
+    work, seen = [Layer(text)], {(text, 0, len(text))}
     while work:
         for below in unwrap(work.pop()):
-            if below.text in seen:
+            if not below.text or (key := (below.text, *below.span(0, len(below.text)))) in seen:
                 continue
-            seen.add(below.text)
+            seen.add(key)
             for kind, s, e in base_spans(below.text):
                 found.add((kind, *below.span(s, e)))
             work.append(below)

@@ -152,6 +152,15 @@ def test_cycles_end():
     assert secret_scan.all_spans(text)[1] == secret_scan.all_spans(text)[1]
 
 
+def test_each_place_of_an_encoded_secret_is_found():
+    secret = "password = hunter2hunter2"
+    one, packed = base64.b64encode(secret.encode()).decode(), base64.b64encode(gzip.compress(secret.encode())).decode()
+    text = f"a {one} b {one}\nc {packed} d"
+    at = [text.index(one), text.rindex(one), text.index(packed)]
+    want = [("assign", s, s + n) for s, n in zip(at, (len(one), len(one), len(packed)), strict=True)]
+    assert secret_scan.all_spans(text)[1] == want
+
+
 # Languages
 
 

@@ -1,8 +1,10 @@
 """Extraction, personal data, secrets, languages, quality and toxicity on small tables, against plain versions."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -161,6 +163,33 @@ def test_each_place_of_an_encoded_secret_is_found():
     assert secret_scan.all_spans(text)[1] == want
 
 
+def layers_of_a_long_secret():
+    rng = random.Random(3)
+    whole = ("".join(rng.choice("abcdefgh ijk\n") for _ in range(310)) + "password = hunter2hunter2").encode()
+    out = {"lines": base64.encodebytes(whole).decode(), "strings": base64.encodebytes(whole).decode().replace("\n", "\\n")}
+    for name, pack in (("gzip", gzip.compress), ("zlib", zlib.compress), ("bzip2", bz2.compress), ("xz", lzma.compress)):
+        packed = pack(whole)
+        out |= {f"{name} lines": base64.encodebytes(packed).decode(), f"{name} url": quote(packed), f"{name} string": repr(packed)}
+        out |= {f"{name} escapes": "".join(f"\\u{c:04x}" for c in packed), f"{name} members": base64.b64encode(pack(b"none") + packed).decode()}
+    return out
+
+
+@pytest.mark.parametrize("name", list(layers_of_a_long_secret()))
+def test_layers_are_read_whole(name):
+    layer = layers_of_a_long_secret()[name]
+    found = secret_scan.all_spans(f"see\n{layer}\nthere")[1]
+    assert any(k == "assign" and 4 <= s < e <= 4 + len(layer) for k, s, e in found), (name, found)
+
+
+@pytest.mark.parametrize("before", range(20))
+def test_pieces_of_long_contents_overlap(monkeypatch, before):
+    monkeypatch.setattr(secret_scan, "PIECE", 1000)
+    secret = b"password = hunter2hunter2"
+    for inside in (secret, quote(secret.decode(), safe="").encode(), base64.encodebytes(b"~" * 2000 + secret), b"password" + b" " * 3000 + b"= hunter2hunter2"):
+        whole = b"\0" * (2980 + before) + inside + b"\xff"
+        assert [k for k, _, _ in secret_scan.all_spans(base64.b64encode(gzip.compress(whole)).decode())[1]] == ["assign"], inside[:30]
+
+
 # Languages
 
 

@@ -260,10 +260,12 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reading_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = _store(tables.user_events(spark, sf_dir), MONTH)
-    bad = telemetry.stats_violations(reading.stats(*store, reading.request(config=MONTH), NOW, MONTH)).agg(F.count("*").alias("stats"))
-    names = [f"user.{i}" for i in range(20)]
-    points = reading.series(*store, reading.request(names=names, config=MONTH), NOW, MONTH)
+    """Violations over all live names and all their points, however many a request may hold."""
+    _, *store = _store(tables.user_events(spark, sf_dir), MONTH)
+    table, rows = (buckets.live(t, reading.cutoff(reading.request(config=MONTH), NOW, MONTH)) for t in store)
+    bad = telemetry.stats_violations(buckets.statistics(table, rows, ["name"])).agg(F.count("*").alias("stats"))
+    start = ("bucket_start", "start")
+    points = buckets.statistics(table.withColumnRenamed(*start), rows.withColumnRenamed(*start), ["name", "start"])
     return bad.join(telemetry.series_violations(points, NOW, MONTH).agg(F.count("*").alias("series")))
 
 

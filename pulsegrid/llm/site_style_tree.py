@@ -7,10 +7,11 @@ blocks stand in few pages: both are entropies to the base of the number of pages
 are removed from each page of the host. Pages that are copies of one another count once.
 
 Entropies need several pages. What tags and class names say by themselves (menus, forms, adverts, reader
-comments and so on) is removed from any page, and what stands in an article or main element is kept
-whatever its entropy, so that an article which many pages repeat is still one.
+comments and so on) is removed from any page. An article or main element goes before the text around it
+unless the tree finds more outside, and is kept if its whole is of low importance, so that an article which
+many pages repeat is still one; branches of low importance go from within other ones.
 
-The tree is a table keyed by host and path. Pages meet their host's list of low branches in one join, which
+The tree is a table keyed by host and path. Pages meet their host's list of branches in one join, which
 Spark broadcasts if the table is small and splits by AQE if a host is large.
 """
 
@@ -19,7 +20,8 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -177,22 +179,37 @@ def _noise_words(attributes: str, inline: bool) -> bool:
     return bool(set(_words(_names(attributes))) & NOISE_WORDS)
 
 
-def main_text(page: str | None, low: set[int] = frozenset()) -> str:
-    """The main text of a page; ``low``: codes of paths that the host's tree finds unimportant.
+def main_text(page: str | None, tree: Mapping[int, float] = MappingProxyType({}), low: float = LOW) -> str:
+    """The main text of a page; ``tree``: importance by code of the paths that the host's tree judges.
 
-    Null, empty and markup-only pages have an empty one. Where the page has article or main elements with
-    text, it is the text in them."""
+    Null, empty and markup-only pages have an empty one. Branches of low importance go, in article and main
+    elements as well, unless the whole element is of low importance (an article that many pages repeat). Where
+    article or main elements have text, it is the text in them; text outside stays with it if the tree judges
+    it and finds more there, by characters times importance."""
     if not page:
         return ""
-    kept, main = [], []
+    every, main, outside = [], [], []
+    weight = {True: 0.0, False: 0.0}
     for stack, text in blocks(page):
         if text is None or any(x.noise for x in stack):
             continue
-        if stack[-1].main:
-            main.append(text)
-        elif not low or not any(path_code(x.path) in low for x in stack[1:]):
-            kept.append(text)
-    return " ".join(main or kept)
+        inside = stack[-1].main
+        of = [tree.get(path_code(x.path)) for x in stack[1:]] if tree else []
+        judged = of
+        if inside and of:
+            # below its outermost element, if that one is not low itself
+            first = next(k for k, x in enumerate(stack[1:]) if x.main)
+            judged = of[first + 1 :] if of[first] is None or of[first] >= low else []
+        if any(x is not None and x < low for x in judged):
+            continue
+        known = [x for x in of if x is not None]
+        (main if inside else outside).append(text)
+        if inside or known:
+            weight[inside] += len(text) * (known[-1] if known else 1.0)
+            every.append(text)
+    if main:
+        return " ".join(every if weight[False] > weight[True] else main)
+    return " ".join(outside)
 
 
 _codes: dict[str, int] = {}
@@ -277,19 +294,20 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", min_pages: i
     the other pages without a host; repeated rows each get their text; very long pages are read whole; an
     empty table gives no rows; columns of these names are replaced."""
     tree = style_tree(pages, url, html)
-    branches = tree.where((F.col("pages") >= min_pages) & (F.col("importance") < low))
+    branches = tree.where(F.col("pages") >= min_pages)
     # A host's list is as long as its templates have elements, not its pages.
-    lists = written(branches.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("__low")), "branches")
+    lists = written(branches.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("__tree")), "branches")
     joined = pages.withColumn("__host", host_of(url)).join(lists, F.col("__host") == lists["host"], "left").drop(lists["host"])
 
     def make(batches):
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
-            text = [main_text(p, set(x) if x else frozenset()) for p, x in zip(column(html), column("__low"), strict=True)]
+            trees = [{b["path"]: b["importance"] for b in x or ()} for x in column("__tree")]
+            text = [main_text(p, x, low) for p, x in zip(column(html), trees, strict=True)]
             yield batch, [pa.array(text, pa.string()), [len(t) for t in text]]
 
     out = with_columns_from_batches(joined, make, [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return out.drop("__host", "__low")
+    return out.drop("__host", "__tree")
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -44,6 +44,15 @@ def test_branches_that_repeat_over_a_host_go(spark):
     assert all("Same words" not in t for t in text.values()) and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_the_tree_decides_within_and_beside_articles(spark):
+    page = lambda i: f'<article><p>Report {i} tells of {i * 7}</p><div class="boxa"><p>Same words on each page</p></div></article>'
+    teaser = lambda i: f'<article><p>Teaser {i}</p></article><div class="boxc"><p>{" ".join(f"body{i * 50 + k}" for k in range(30))}</p></div>'
+    again = lambda i: f"<article><p>One and the same</p></article><!-- {i} -->"
+    rows = [(100 * k + i, f"http://{h}.example/{i}", make(i)) for k, (h, make) in enumerate({"a": page, "b": teaser, "c": again}.items()) for i in range(30)]
+    text = {r.page_id: r.text for r in site_style_tree.page_texts(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert text[7] == "Report 7 tells of 49" and text[107].startswith("Teaser 7 body350 ") and text[207] == "One and the same"
+
+
 def test_pages_keep_other_columns(spark):
     rows = [(1, "http://a.example", "<p>x</p>", "mine", "old")]
     got = site_style_tree.extract(frame(spark, rows, "page_id long, url string, html string, host string, text string")).first()

@@ -114,33 +114,65 @@ def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
     return df.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in df.columns]
 
 
-def connected_components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
+#: Edges that a task contracts at a time.
+CONTRACTED = 1 << 20
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: of each run of edges that a task reads, a star to the smallest node."""
+
+    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        u, v = np.unique(at.reshape(2, -1), axis=1)
+        root = np.arange(len(node))
+        while True:
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            for x in (u, v):
+                np.minimum.at(new, root[x], low)
+                np.minimum.at(new, x, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        some = root != np.arange(len(node))
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], names=["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+            if n >= CONTRACTED:
+                yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Components of the undirected graph ``edges(a, b)`` as rows ``(node, root)``; root is the smallest node.
 
-    Alternating large-star and small-star steps. Minima are partial aggregates and the joins are
-    plain equi-joins, so a hub with very many neighbours is split by AQE. Every step is a written
-    table; nothing but a row count and a checksum reaches the driver.
+    Alternating large-star and small-star steps until nothing changes, from edges that tasks have contracted.
+    Minima are partial aggregates and the joins are plain equi-joins, so a hub with very many neighbours is
+    split by AQE. Every step is a written table; nothing but a row count and a checksum reaches the driver.
     """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
-    )
+    now = written(contracted(edges.where("a <> b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     nodes = now.select(F.col("u").alias("node")).union(now.select("v")).distinct()
     mark = None
-    for _ in range(rounds):
+    while True:
+        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
+        if tuple(state) == mark or not state[0]:
+            break
+        mark = tuple(state)
         both = now.union(now.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m")))
         now = written(small.where("u <> v").distinct(), name)
-        state = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if tuple(state) == mark:
-            break
-        mark = tuple(state)
-    else:
-        raise RuntimeError("connected components did not settle")
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root")
     )

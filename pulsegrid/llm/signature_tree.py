@@ -6,12 +6,13 @@
    P fixed for a class of sizes; sets near a border give the keys of both classes.
 3. Keys that two sets share make the candidate graph (each set to the smallest set of its key), whose
    components are the groups that can hold a link: no link crosses groups. Sets that share fewer keys than a
-   link takes are left out of it, such as those with only a passage in common.
-4. Each set is sent once to its group; a group larger than ``BLOCK`` sets is cut into blocks and joined block
-   by block. In a task, a tree's nodes hold the OR of their sets' bitmaps and their range of sizes; a dual
-   traversal drops node pairs whose largest possible overlap is too small, or that are joined already, and
-   compares the rest exactly.
-5. Joined sets give few edges (a spanning forest of each block pair), and components give the classes.
+   link takes are left out of it, such as those with only a passage in common. Keys travel once.
+4. Sets meet in their group, a group larger than ``BLOCK`` sets in blocks: each block is joined within itself
+   and with the group's first one. Only the sets that are then outside the group's largest class meet all its
+   blocks, so that a large group of near copies is not joined pair by pair of its blocks. In a task, a tree's
+   nodes hold the OR of their sets' bitmaps and their range of sizes; a dual traversal drops node pairs whose
+   largest possible overlap is too small, or that are joined already, and compares the rest exactly.
+5. Joined sets give few edges (a spanning forest of each task), and components give the classes.
 """
 
 from __future__ import annotations
@@ -19,20 +20,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import bitmap, connected_components, give_back, in_bitmap, text_batches, written
+from pulsegrid.llm.common import bitmap, connected_components, contracted, give_back, in_bitmap, text_batches, with_columns_from_batches, written
 
 WORDS, PERCENT = 3, 90
 #: Sets that one task holds of each side.
 BLOCK = 512
 #: Parts beyond those that can differ, at least; a set with more empty ones gives keys for these too.
 SPARE = 3
-#: Times that sets with too few shared keys are taken out; more rounds only spare work.
-ROUNDS = 2
 BITS = 2048
 LEAF, FAN = 8, 8
 #: Ratio of the sizes that bound a class.
@@ -258,10 +257,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
     Words stand between ASCII white space, A-Z lower-cased. A text of fewer words than a shingle has is one
-    shingle; null and empty texts, and texts without words, have none and link with nothing. Equal texts and
-    repeated rows are linked; a null doc_id is kept, and is its own class where no other is reachable. Other
-    columns are not read.
+    shingle; null and empty texts, and texts without words, have none and link with nothing. Very long texts
+    are read whole. Equal texts and repeated rows are linked; rows that share a doc_id and not the text are
+    sets of their own; a null doc_id is kept, and is its own class where no other is reachable; an empty table
+    gives no rows. Other columns are not read.
     """
+    return _labelled(docs, doc_id, text, words, percent).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """Per document: doc_id, n_shingles, code of its set, component_id (null: it has no words, or no id is in its class)."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     text_batches(docs.sparkSession)
 
@@ -272,24 +277,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 for i, s in enumerate(sets):
                     n[lo + i], code[lo + i] = len(s), set_code(s)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(code)], names=["doc_id", "n_shingles", "code"])
+            give_back()
 
     seen = written(slim.mapInArrow(describe, "doc_id long, n_shingles long, code long"), "sets")
-    near = _candidates(slim, words, percent)
-    groups = written(connected_components(near, "groups"), "groups")
-    links = written(_links(slim, groups, words, percent), "links")
+    groups = written(connected_components(_candidates(slim, words, percent), "groups"), "groups")
+    links = _links(slim, seen, groups, words, percent)
     root = connected_components(links, "links")
     classes = seen.where("n_shingles > 0").groupBy("code").agg(F.min("doc_id").alias("first"))
     rooted = classes.join(root.withColumnRenamed("node", "code"), "code", "left").select("code", "first", F.coalesce("root", "code").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = written(rooted.join(smallest, "root").select("code", "component_id"), "labels")
-    return seen.select("doc_id", "n_shingles", "code").join(labels, "code", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return seen.join(labels, "code", "left").select("doc_id", "n_shingles", "code", "component_id")
 
 
-def _keyed(slim: DataFrame, words: int, percent: int, wanted=None) -> DataFrame:
-    """Rows (key, code) of all sets, each set once in a task; with a bitmap, rows (key, code, below, need) of the keys
-    whose bit is set. Keys are made from the texts each time, as they would take more room on disk than the texts."""
+def _keyed(slim: DataFrame, words: int, percent: int) -> DataFrame:
+    """Rows (key, code, below, need) of all sets, each set once in a task."""
 
     def show(batches):
         done = set()
@@ -302,79 +304,110 @@ def _keyed(slim: DataFrame, words: int, percent: int, wanted=None) -> DataFrame:
                         new.append((code, s))
                 row, key, below, need = keys_and_needs([s for _, s in new], percent)
                 code = np.array([c for c, _ in new], np.int64)[row]
-                out = {"key": key.view(np.int64), "code": code}
-                if wanted is not None:
-                    out |= {"below": below, "need": need}
-                    hit = in_bitmap(wanted.value, out["key"])
-                    out = {k: v[hit] for k, v in out.items()}
-                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "code": pa.array(code), "below": pa.array(below), "need": pa.array(need)})
             give_back()
 
-    return slim.select("text").mapInArrow(show, "key long, code long" + (", below byte, need int" if wanted is not None else ""))
+    return slim.select("text").mapInArrow(show, "key long, code long, below byte, need int")
+
+
+def _shared(shown: DataFrame) -> DataFrame:
+    """The rows of ``shown`` whose key several sets have, with ``low``, the smallest of these sets' codes."""
+    same = Window.partitionBy("key")
+    both = shown.withColumns({"low": F.min("code").over(same), "high": F.max("code").over(same)})
+    return both.where("low < high").drop("high")
 
 
 def _candidates(slim: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of set codes: each set that shares a key with other sets, and the smallest of the key's sets.
+    """Pairs (a, b) of set codes that join each set to the other sets that it may link with.
 
-    A set with fewer shared keys than it needs for any link leaves, which may leave keys unshared, and so again:
-    sets that have only a passage in common do not chain groups together.
+    A set with fewer shared keys than it needs for any link leaves first, so that sets that have only a passage
+    in common do not chain groups together.
     """
-    shown = _keyed(slim, words, percent)
-    shared = shown.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high")
-    shared = written(shared.select("key"), "shared")
-    left = written(_keyed(slim, words, percent, bitmap(shared, "key")).join(shared, "key", "left_semi").distinct(), "shown")
-    for _ in range(ROUNDS):
-        able = left.groupBy("code", "below", "need").count().where("count >= need").select("code", "below")
-        left = left.join(able, ["code", "below"], "left_semi")
-        both = left.groupBy("key").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high")
-        left = written(left.join(both.select("key", "low"), "key").select("key", "code", "below", "need", "low"), "shown")
-        edges, left = left.where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")), left.drop("low")
-    return edges.distinct()
-
-
-def _links(slim: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links found in the groups, as pairs (a, b) of set codes."""
-    wanted = bitmap(groups, "node")
+    left = _shared(_keyed(slim, words, percent))
+    own = Window.partitionBy("code", "below")
+    able = left.withColumn("n", F.count("*").over(own)).where("n >= need").select("key", "code")
+    return contracted(_shared(able).where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")))
 
-    def members(batches):
-        for batch in batches:
-            code = np.array([set_code(s) for _, sets in _sets(batch.column(0), words) for s in sets], np.int64)
-            hit = in_bitmap(wanted.value, code) if len(code) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(code[hit]), batch.column(0).filter(pa.array(hit))], names=["code", "text"])
 
-    # Which block pairs a set is part of is known from its code; a set goes to each pair of blocks that its own is
-    # in, once unless its group is large. Texts travel rather than sets, which are larger.
+def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links found in the groups, as pairs (a, b) of set codes."""
+    # A set's text comes from one of its rows; rows that share an id are told apart by the set's code later.
+    row = F.xxhash64("doc_id").alias("row")
     named = groups.select(F.col("node").alias("code"), F.col("root").alias("group"))
+    of_row = seen.where("code <> 0").select("code", row).groupBy("code").agg(F.min("row").alias("row"))
     sizes = named.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = named.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    places = dealt.select("group", "code", "block", other).select(
-        "group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "code"
-    )
-    texts = slim.select("text").mapInArrow(members, "code long, text string").groupBy("code").agg(F.first("text").alias("text"))
-    tasks = places.join(texts, "code")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        side = [pdf[pdf["block"] == k].sort_values("code") for k in ((i,) if i == j else (i, j))]
-        sets = [[x for _, some in _sets(pa.array(s["text"], pa.large_string()), words) for x in some] for s in side]
-        trees = [Tree(x) if x else None for x in sets]
-        if None in trees:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        code = [s["code"].to_numpy() for s in side]
-        pairs = np.array(join(trees[0], None if i == j else trees[1], percent), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": code[0][pairs[:, 0]], "b": code[-1][pairs[:, 1]]})
-
-    return tasks.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+    dealt = named.join(of_row, "code").join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    dealt = written(dealt, "members")
+    wanted = bitmap(dealt, "row")
+
+    def members(batches):
+        for batch in batches:
+            hit = pa.array(in_bitmap(wanted.value, batch.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns], names=["row", "text"])
+
+    # Texts travel rather than sets, which are larger.
+    texts = slim.select(row, "text").mapInArrow(members, "row long, text string")
+
+    def compare(pdf: pd.DataFrame, within: bool) -> pd.DataFrame:
+        sides = []
+        for k in (0, 1):
+            side = pdf[pdf["side"] == k]
+            sets = [x for _, some in _sets(pa.array(side["text"], pa.large_string()), words) for x in some]
+            mine = {c: s for c, s in zip(side["code"].tolist(), sets, strict=True) if set_code(s) == c}
+            code = sorted(mine)
+            sides.append((np.array(code, np.int64), Tree([mine[c] for c in code]) if code else None))
+        (of_left, left), (of_right, right) = sides
+        found = [(of_right, of_right, join(right, None, percent))] if within and right else []
+        if left and right:
+            found.append((of_left, of_right, join(left, right, percent)))
+        a = [x[i] for x, _, pairs in found for i, _ in pairs]
+        b = [y[j] for _, y, pairs in found for _, j in pairs]
+        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+    def joined(places: DataFrame, within: bool, name: str) -> DataFrame:
+        tasks = places.join(texts, "row").groupBy("group", "i", "j")
+        return written(tasks.applyInPandas(lambda pdf: compare(pdf, within), "a long, b long").where("a <> b"), name)
+
+    # Each block meets itself and, as the right side, the first block of its group.
+    to = F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("j")
+    first = dealt.select("group", "code", "row", "block", to).withColumns({"i": F.lit(0), "side": (F.col("block") == F.col("j")).cast("int")})
+    links = joined(first, True, "links")
+    large = dealt.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    root = connected_components(links.join(large.select(F.col("code").alias("a")), "a", "left_semi"), "blocks")
+    placed = large.join(root.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
+    largest = placed.groupBy("group", "root").count().groupBy("group").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    rest = written(placed.join(largest, "group").where("root <> main").select("group", "code", "row", "blocks"), "rest")
+    if rest.isEmpty():
+        return links
+    others = rest.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("others"))
+    i = F.pmod(F.xxhash64(F.lit(1), "code"), F.col("others")).cast("int").alias("i")
+    count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rest.join(others, "group").select("group", "code", "row", i, count("blocks").alias("j"), F.lit(0).alias("side"))
+    right = large.join(others, "group").select("group", "code", "row", count("others").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    return links.union(joined(left.union(right), False, "links"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each class; of rows with one doc_id one stays.
-    Documents without words, and rows without doc_id, all stay."""
-    found = written(jaccard_components(docs, words=words, percent=percent).where("doc_id is not null"), "classes")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    several = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    single = kept.join(several, "doc_id", "left_anti")
-    again = kept.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(again).select(*docs.columns)
+    """``docs`` with one row of each class: the one with the smallest doc_id. Where rows share that id, the one
+    whose set has the smallest code stays, and one of those with equal sets. Documents without words, and rows
+    without doc_id, all stay."""
+    found = written(_labelled(docs, "doc_id", "text", words, percent).where("doc_id is not null and n_shingles > 0"), "classes")
+    several = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("code").alias("code")).where("n > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = found.join(several, "doc_id", "left_anti").where("doc_id <> component_id").select("doc_id")
+    single = docs.join(gone.union(several), "doc_id", "left_anti")
+
+    def coded(batches):
+        for batch in batches:
+            code = np.zeros(batch.num_rows, np.int64)
+            for lo, sets in _sets(batch.column(batch.schema.get_field_index("text")), words):
+                code[lo : lo + len(sets)] = [set_code(s) for s in sets]
+            yield batch, [code]
+
+    again = with_columns_from_batches(docs.join(several, "doc_id", "left_semi"), coded, [T.StructField("__code", T.LongType())])
+    stay = found.join(several, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id").agg(F.min("code").alias("__code"))
+    marked = again.where("__code <> 0").join(stay, ["doc_id", "__code"], "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(marked.drop("__code")).unionByName(again.where("__code = 0").drop("__code")).select(*docs.columns)

@@ -8,25 +8,33 @@ words', weighted by their lengths.
 
 Forward-backward runs over all words of a text, however long: blocks of ``BLOCK`` words become transfer
 matrices, the vectors at block borders follow from these, and all blocks are then filled in at once.
+
+A model always finds some language likeliest. How much of a text is of known make-up (the share of its words'
+longest n-grams that the labelled texts hold) tells whether any of them fits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import with_columns_from_batches
-from pulsegrid.llm.learning import bounded_sample, fold
+from pulsegrid.llm.common import give_back, text_batches, with_columns_from_batches
+from pulsegrid.llm.learning import fold
 
-#: Labelled rows that the model learns from; sequences drawn from them, and their words.
-SAMPLE_ROWS, SEQUENCES, LENGTH = 3000, 4000, 40
+#: Labelled rows that the model learns from, shared between their languages; pieces taken from anywhere in each,
+#: sequences drawn from these, and the words of a piece or sequence.
+SAMPLE_ROWS, PIECES, SEQUENCES, LENGTH = 3000, 2, 4000, 40
 SLOTS, GRAMS = 1 << 17, (1, 2, 3, 4)
+#: Places of the table of known n-grams of the largest length.
+WIDE = 1 << 22
 EPOCHS, RATE, RIDGE = 40, 0.08, 1e-5
 BLOCK = 64
+#: A text is of no known language below this share of what nearly every labelled piece (all but this part) has.
+FAMILIAR, ODD = 0.5, 0.005
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 
@@ -34,8 +42,9 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 
-def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the features of words, and where each word's begin (with the end)."""
+def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of the features of words, where each word's begin (with the end), places of their n-grams of the
+    largest length, and the word of each of these."""
     size = end - start
     marked = size + 2
     first = np.concatenate(([0], np.cumsum(marked)))
@@ -50,11 +59,13 @@ def word_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.
         gram = gram[: len(text) - n + 1] * np.uint64(257) + text[n - 1 :]
         if n in GRAMS:
             whole = word[: len(gram)] == word[n - 1 :]
-            slots.append((tc.mix(gram[whole] + np.uint64(n << 40)) >> np.uint64(47)).astype(np.int64))
+            mixed = tc.mix(gram[whole] + np.uint64(n << 40))
+            slots.append((mixed >> np.uint64(47)).astype(np.int64))
             owner.append(word[: len(gram)][whole])
+    wide, of_wide = (mixed >> np.uint64(42)).astype(np.int64), owner[-1]
     slots, owner = np.concatenate(slots), np.concatenate(owner)
     by = np.argsort(owner, kind="stable")
-    return slots[by], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(size)))))
+    return slots[by], np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(size))))), wide, of_wide
 
 
 def forward_backward(emit: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
@@ -105,29 +116,37 @@ def forward_backward(emit: np.ndarray, first: np.ndarray, transition: np.ndarray
 
 
 class Model:
-    def __init__(self, langs: list[str], weights: np.ndarray, transition: np.ndarray):
-        self.langs, self.weights, self.transition = langs, weights, transition
+    """Weights and transitions; ``known``: which n-grams labelled texts have, ``least``: the share of known ones
+    below which a text is of none of the languages."""
+
+    def __init__(self, langs: list[str], weights: np.ndarray, transition: np.ndarray, known: np.ndarray | None = None, least: float = 0.0):
+        self.langs, self.weights, self.transition, self.known, self.least = langs, weights, transition, known, least
 
-    def emissions(self, buf, start, end) -> np.ndarray:
+    def emissions(self, buf, start, end) -> tuple[np.ndarray, np.ndarray]:
+        """Log scores of words, and how many n-grams of the largest length each has and the model knows."""
         code = tc.codes(buf, start, end)
         _, pick, back = np.unique(code, return_index=True, return_inverse=True)
-        slots, first = word_features(buf, start[pick], end[pick], code[pick])
-        return np.add.reduceat(self.weights[slots], first[:-1], axis=0)[back].astype(float)
+        slots, first, wide, of = word_features(buf, start[pick], end[pick], code[pick])
+        grams = _counts(wide, of, len(pick), self.known)
+        return np.add.reduceat(self.weights[slots], first[:-1], axis=0)[back].astype(float), grams[back]
 
     def words(self, column):
-        """Per chunk: (first row, end row, bytes, word starts, word ends, each text's first word, marginals)."""
+        """Per chunk: (first row, end row, bytes, word starts, word ends, each text's first word, marginals, n-grams)."""
         for lo, hi, buf, at in tc.chunks(column):
             start, end = tc.words(buf, _LETTER)
             first = np.concatenate((np.searchsorted(start, at), [len(start)]))
-            marginals = forward_backward(self.emissions(buf, start, end), first, self.transition) if len(start) else np.zeros((0, len(self.langs)))
-            yield lo, hi, buf, start, end, first, marginals
+            marginals, grams = np.zeros((0, len(self.langs))), np.zeros((0, 2), np.int64)
+            if len(start):
+                emit, grams = self.emissions(buf, start, end)
+                marginals = forward_backward(emit, first, self.transition)
+            yield lo, hi, buf, start, end, first, marginals, grams
 
-    def texts(self, column) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text."""
-        langs, scores = [UNKNOWN] * len(column), np.zeros(len(column))
+    def texts(self, column) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language and score of each text, and whether any language fits it."""
+        langs, scores, fits = [UNKNOWN] * len(column), np.zeros(len(column)), np.zeros(len(column), bool)
         if not self.langs:
-            return langs, scores
-        for lo, hi, buf, start, end, first, marginals in self.words(column):
+            return langs, scores, fits
+        for lo, hi, buf, start, end, first, marginals, grams in self.words(column):
             ascii_ = np.concatenate(([0], np.cumsum(_LETTER[buf] & (buf < 128))))
             for i in range(hi - lo):
                 a, b = first[i], first[i + 1]
@@ -139,7 +158,14 @@ class Model:
                 share = weight @ marginals[a:b] / weight.sum()
                 best = int(share.argmax())
                 langs[lo + i], scores[lo + i] = self.langs[best], min(1.0, share[best])
-        return langs, scores
+                every, known = grams[a:b].sum(0)
+                fits[lo + i] = known >= self.least * every
+        return langs, scores, fits
+
+
+def _counts(wide: np.ndarray, of: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
+    """For each of ``n`` words, its n-grams of the largest length and how many of them are known."""
+    return np.stack((np.bincount(of, minlength=n), np.bincount(of, known[wide], n).astype(np.int64)), 1)
 
 
 def train(rows: list[tuple[str, str]]) -> Model:
@@ -149,11 +175,12 @@ def train(rows: list[tuple[str, str]]) -> Model:
     transition = np.zeros((k, k))
     weights = np.zeros((SLOTS, k), np.float32)
     column = pa.array([t for t, _ in rows], pa.large_string())
-    spans, total = [], 0
+    spans, codes, total = [], [], 0
     for lo, hi, buf, at in tc.chunks(column):
-        start, _ = tc.words(buf, _LETTER)
+        start, end = tc.words(buf, _LETTER)
         first = np.concatenate((np.searchsorted(start, at), [len(start)]))
         spans += [(total + first[i], total + first[i + 1]) for i in range(hi - lo)]
+        codes.append(tc.codes(buf, start, end))
         total += len(start)
     of_lang: dict[int, list[tuple[int, int]]] = {}
     for (a, b), (_, lang) in zip(spans, rows, strict=True):
@@ -177,30 +204,63 @@ def train(rows: list[tuple[str, str]]) -> Model:
             filled += n
             if not q % 2:
                 y = have[rng.integers(len(have))]
-    used, where = np.unique(words, return_inverse=True)
+    # Features of each distinct word that is drawn, once.
+    code = np.concatenate(codes)
+    used, where = np.unique(code[words], return_inverse=True)
     where = where.reshape(words.shape)
-    # Features of the drawn words only, however long the texts are.
-    slots, count, total = [], [], 0
+    done = np.zeros(len(used), bool)
+    slots, order, counts, total = [], [], [], 0
+    odd = np.zeros(len(code), bool)
+    for a, b in spans[1::2]:
+        odd[a:b] = True
+    known, grams = np.zeros(WIDE, bool), np.zeros(WIDE, bool)
     for _, _, buf, _ in tc.chunks(column):
         start, end = tc.words(buf, _LETTER)
-        mine = used[np.searchsorted(used, total) : np.searchsorted(used, total + len(start))] - total
-        total += len(start)
-        if len(mine):
-            found, first = word_features(buf, start[mine], end[mine], tc.codes(buf, start[mine], end[mine]))
+        mine = code[total : total + len(start)]
+        _, _, wide, of = word_features(buf, start, end, mine)
+        grams[wide] = True
+        known[wide[~odd[total : total + len(start)][of]]] = True
+        at = np.minimum(np.searchsorted(used, mine), len(used) - 1)
+        new, pick = np.unique(np.where((used[at] == mine) & ~done[at], at, -1), return_index=True)
+        new, pick = new[new >= 0], pick[new >= 0]
+        if len(new):
+            found, first, _, _ = word_features(buf, start[pick], end[pick], mine[pick])
             slots.append(found.astype(np.int32))
-            count.append(np.diff(first))
-    at, count = np.concatenate(slots), np.concatenate(count)
+            counts.append(np.diff(first))
+            order.append(new)
+            done[new] = True
+        total += len(start)
+    share, total = [], 0
+    for lo, hi, buf, _ in tc.chunks(column):
+        start, end = tc.words(buf, _LETTER)
+        _, _, wide, of = word_features(buf, start, end, code[total : total + len(start)])
+        got = _counts(wide, of, len(start), known).cumsum(0)
+        got = np.concatenate((np.zeros((1, 2), np.int64), got))
+        for i in range(lo + (lo + 1) % 2, hi, 2):
+            every, some = got[spans[i][1] - total] - got[spans[i][0] - total]
+            if every:
+                share.append(some / every)
+        total += len(start)
+    least = FAMILIAR * float(np.quantile(share, ODD)) if len(share) >= 1 / ODD else 0.0
+    place = np.empty(len(used), np.int64)
+    place[np.concatenate(order)] = np.arange(len(used))
+    where = place[where]
+    live, at = np.unique(np.concatenate(slots), return_inverse=True)
+    count = np.concatenate(counts)
+    del slots, codes, code
     head = np.concatenate(([0], np.cumsum(count)))
-    live, at = np.unique(at, return_inverse=True)
+    at = at.astype(np.int32)
+    owner = np.repeat(np.arange(len(used), dtype=np.int32), count)
     w = np.zeros((len(live), k))
     m1, m2, t1, t2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(transition), np.zeros_like(transition)
-    owner = np.repeat(np.arange(len(used)), count)
     hot = np.eye(k)[gold]
     for epoch in range(1, EPOCHS + 1):
-        score = np.add.reduceat(w[at], head[:-1], axis=0)[where]
+        score = np.stack([np.add.reduceat(w[at, c], head[:-1]) for c in range(k)], 1)[where]
         gw, gt = _gradient(score, hot, transition)
-        per = np.stack([np.bincount(where.ravel(), gw[..., c].ravel(), len(used)) for c in range(k)], 1)
-        grad = np.stack([np.bincount(at, per[owner, c], len(live)) for c in range(k)], 1) / SEQUENCES + RIDGE * w
+        grad = np.empty_like(w)
+        for c in range(k):
+            per = np.bincount(where.ravel(), gw[..., c].ravel(), len(used))
+            grad[:, c] = np.bincount(at, per[owner], len(live)) / SEQUENCES + RIDGE * w[:, c]
         gt = gt / SEQUENCES + RIDGE * transition
         for p, g, a, b in ((w, grad, m1, m2), (transition, gt, t1, t2)):
             a *= 0.9
@@ -209,7 +269,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
             b += 0.01 * g * g
             p -= RATE * (a / (1 - 0.9**epoch)) / (np.sqrt(b / (1 - 0.99**epoch)) + 1e-8)
     weights[live] = w
-    return Model(langs, weights, transition)
+    return Model(langs, weights, transition, grams, least)
 
 
 def _gradient(score: np.ndarray, hot: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,17 +296,44 @@ def _gradient(score: np.ndarray, hot: np.ndarray, transition: np.ndarray) -> tup
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``rows`` documents with a language, outside the held-out fold."""
+    """Learn from at most ``rows`` documents with a language, outside the held-out fold: the languages take turns
+    by the order of a hash, so that rare ones are learned too. Of each document, pieces from anywhere in its whole
+    text travel to the driver, however long it is."""
+    text_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    picked = bounded_sample(known.select("doc_id"), "doc_id", rows).distinct()
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    picked = known.select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= rows)
+    picked = picked.orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "lang").distinct()
+
+    def cut(batches):
+        for batch in batches:
+            texts, langs = [], []
+            for lo, hi, buf, at in tc.chunks(batch.column(0)):
+                start, end = tc.words(buf, _LETTER)
+                first = np.concatenate((np.searchsorted(start, at), [len(start)]))
+                for i in range(hi - lo):
+                    a, b = first[i], first[i + 1]
+                    step = max(LENGTH, -(-(b - a) // PIECES))
+                    for s in range(a, b, step):
+                        # from the middle of each of the parts that the words are dealt into
+                        s += max(0, (min(step, b - s) - LENGTH) // 2)
+                        e = min(s + LENGTH, b)
+                        texts.append(b" ".join(buf[start[w] : end[w]].tobytes() for w in range(s, e)).decode("utf-8", "replace"))
+                        langs.append(batch.column(1)[lo + i].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(langs, pa.string())], names=["text", "lang"])
+            give_back()
+
     # At most ``rows`` ids are broadcast.
-    got = known.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").select("text", "lang", "doc_id")
-    got = bounded_sample(got, "doc_id", rows)
-    return train([(r[0], r[1]) for r in got.collect()])
+    mine = known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang")
+    got = mine.mapInArrow(cut, "text string, lang string").orderBy(F.xxhash64("text"), "text", "lang").limit(rows * PIECES)
+    model = train([(r[0], r[1]) for r in got.collect()])
+    give_back()
+    return model
 
 
 def with_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (mean probability of that language over the words).
+    """``docs`` with ``lang_pred``, ``score`` (mean probability of that language over the words) and ``fits``
+    (whether the text is made up as labelled texts are).
 
     Null and empty texts, and texts without letters, are of language ``und`` with score 0; whole texts are
     read; repeated rows are alike; an empty table gives no rows; columns of these names are replaced."""
@@ -254,16 +341,17 @@ def with_languages(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 
     def make(batches):
         for batch in batches:
-            langs, scores = shared.value.texts(batch.column(batch.schema.get_field_index(text)))
-            yield batch, [pa.array(langs, pa.string()), scores]
+            langs, scores, fits = shared.value.texts(batch.column(batch.schema.get_field_index(text)))
+            yield batch, [pa.array(langs, pa.string()), scores, fits]
 
-    return with_columns_from_batches(docs, make, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fits", T.BooleanType())]
+    return with_columns_from_batches(docs, make, fields)
 
 
 def word_languages(text: str, model: Model) -> list[tuple[str, str, float]]:
     """(word, language, probability) of each word of one text."""
     out = []
-    for _, _, buf, start, end, _, p in model.words(pa.array([text], pa.large_string())):
+    for _, _, buf, start, end, _, p, _ in model.words(pa.array([text], pa.large_string())):
         out += [(buf[s:e].tobytes().decode("utf-8", "replace"), model.langs[int(x.argmax())], float(x.max())) for s, e, x in zip(start, end, p, strict=True)]
     return out
 

@@ -266,7 +266,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
-    """Per document: doc_id, n_shingles, code of its set, component_id (null: it has no words, or no id is in its class)."""
+    """Per document: doc_id, n_shingles, code of its set, root (a code that names its class), component_id (null: it
+    has no words, or no id is in its class)."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     text_batches(docs.sparkSession)
 
@@ -286,8 +287,8 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
     classes = seen.where("n_shingles > 0").groupBy("code").agg(F.min("doc_id").alias("first"))
     rooted = classes.join(root.withColumnRenamed("node", "code"), "code", "left").select("code", "first", F.coalesce("root", "code").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = written(rooted.join(smallest, "root").select("code", "component_id"), "labels")
-    return seen.join(labels, "code", "left").select("doc_id", "n_shingles", "code", "component_id")
+    labels = written(rooted.join(smallest, "root").select("code", "root", "component_id"), "labels")
+    return seen.join(labels, "code", "left").select("doc_id", "n_shingles", "code", "root", "component_id")
 
 
 def _keyed(slim: DataFrame, words: int, percent: int) -> DataFrame:
@@ -390,11 +391,11 @@ def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, perc
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest doc_id. Where rows share that id, the one
-    whose set has the smallest code stays, and one of those with equal sets. Documents without words, and rows
+    """``docs`` with one row of each class: the one with the smallest doc_id. Where rows of a class share that id,
+    the one whose set has the smallest code stays, and one of those with equal sets. Documents without words, and rows
     without doc_id, all stay."""
     found = written(_labelled(docs, "doc_id", "text", words, percent).where("doc_id is not null and n_shingles > 0"), "classes")
-    several = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("code").alias("code")).where("n > 1").select("doc_id"), "several")
+    several = written(found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "several")
     if several.isEmpty():
         return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     gone = found.join(several, "doc_id", "left_anti").where("doc_id <> component_id").select("doc_id")
@@ -408,6 +409,6 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
             yield batch, [code]
 
     again = with_columns_from_batches(docs.join(several, "doc_id", "left_semi"), coded, [T.StructField("__code", T.LongType())])
-    stay = found.join(several, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id").agg(F.min("code").alias("__code"))
-    marked = again.where("__code <> 0").join(stay, ["doc_id", "__code"], "left_semi").dropDuplicates(["doc_id"])
+    stay = found.join(several, "doc_id", "left_semi").where("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("code").alias("__code"))
+    marked = again.where("__code <> 0").join(stay, ["doc_id", "__code"], "left_semi").dropDuplicates(["doc_id", "__code"])
     return single.unionByName(marked.drop("__code")).unionByName(again.where("__code = 0").drop("__code")).select(*docs.columns)

@@ -82,6 +82,26 @@ def test_join_is_the_join_of_all_pairs(spark, monkeypatch, words, percent, size)
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
 
 
+def test_a_large_group_is_joined_whole(spark, monkeypatch):
+    """A chain of links in which few sets link with those of the first block."""
+    monkeypatch.setattr(signature_tree, "BLOCK", 2)
+    rng = random.Random(4)
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 200])) for i in range(40)]
+    rows += [(100 + i, " ".join(words[:100] + [f"d{rng.random()}" for _ in range(25)])) for i in range(12)]
+    got = {r.doc_id: r.component_id for r in signature_tree.jaccard_components(frame(spark, rows), words=3, percent=80).collect()}
+    sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows for w in [t.split()]}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert got == grouped(sets, links) and len(set(got.values())) < len(rows) - 30
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    texts = ["a b c d e f g h", "other words stand in this text", "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h"]
+    rows = [(5, texts[0]), (5, texts[1]), (7, texts[1]), (8, texts[2]), (4, texts[2]), (5, None), (6, texts[3])]
+    got = signature_tree.keep_one(frame(spark, rows), words=5, percent=80).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(5, texts[0]), (5, texts[1]), (4, texts[2]), (5, "")])
+
+
 def test_linked_sets_have_a_key_in_common():
     rng = np.random.default_rng(3)
     for percent in (80, 90):

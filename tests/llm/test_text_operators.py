@@ -254,6 +254,43 @@ def test_forward_backward_is_the_sum_over_paths():
     assert np.allclose(both[:300], whole) and np.allclose(both[300:], whole)
 
 
+def test_texts_of_no_learned_language_fit_none(spark):
+    rng = random.Random(31)
+    rows = [(i, prose("ab"[i % 2] * 2, 60, rng), "ab"[i % 2] * 2) for i in range(400)]
+    foreign = "wenn xylo quartz bevy jumped dwarf vexing plight hymn crypt zephyr gypsum wolf njord fjord glyph"
+    rows += [(900, foreign, None), (901, None, None), (902, "", None), (903, "aa", None)]
+    docs = frame(spark, [(*r, f"x{r[0]}") for r in rows], f"{DOCS}, lang string, fits string")
+    got = {r.doc_id: r for r in crf_language.with_languages(docs, crf_language.fit(docs)).collect()}
+    assert all(got[i].fits is True for i in range(400)) and not any(got[i].fits for i in (900, 901, 902))
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    score, transition = rng.normal(size=(3, 5, 3)), rng.normal(size=(3, 3))
+    hot = np.eye(3)[rng.integers(0, 3, (3, 5))]
+
+    def loss(score, transition):
+        out = 0.0
+        for s, h in zip(score, hot):
+            paths = [sum(s[t, y[t]] for t in range(5)) + sum(transition[y[t], y[t + 1]] for t in range(4)) for y in itertools.product(range(3), repeat=5)]
+            y = h.argmax(1)
+            out += np.log(np.exp(paths).sum()) - sum(s[t, y[t]] for t in range(5)) - sum(transition[y[t], y[t + 1]] for t in range(4))
+        return out
+
+    by_score, by_transition = crf_language._gradient(score, hot, transition)
+    for x, g in ((score, by_score), (transition, by_transition)):
+        for at in np.ndindex(x.shape):
+            old = x[at]
+            x[at] = old + 1e-5
+            up = loss(score, transition)
+            x[at] = old - 1e-5
+            down = loss(score, transition)
+            x[at] = old
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-5
+
+
 def test_without_labels_every_language_is_unknown(spark):
     got = crf_language.language_report(frame(spark, [(1, "some text", None)], f"{DOCS}, lang string")).first()
     assert got.lang_pred == "und" and crf_language.language_report(frame(spark, [], f"{DOCS}, lang string")).count() == 0

@@ -1,17 +1,21 @@
 """Information-theoretic sanitisation of personal data.
 
-Base detectors find e-mail addresses, IP addresses, payment cards and phone numbers. Over the whole corpus
-the co-occurrence of the words near an entity with that entity is counted, in distinct texts, and compared
-with how often these words occur anywhere: a word whose normalised pointwise mutual information with an
-entity reaches ``DISCLOSURE`` tells the entity to whoever knows the word, so it is removed too. Counts are
-partial aggregates over word codes; words that are no candidates leave a task only where a bitmap of fixed
-size cannot rule them out.
+Base detectors find e-mail addresses, IP addresses, payment cards and phone numbers. Over the whole corpus the
+words near each entity, and near the part of it that others share (the domain of an address, the first three
+numbers of an IP), are counted with it, and these words are counted everywhere. A word t discloses an entity c as
+far as it tells of it: PMI(t, c) / IC(c) = log(p(c | t) / p(c)) / -log p(c), which is 1 if c is never away where t
+is. Words that reach ``DISCLOSURE`` are removed too, so that rare entities count as well as common ones.
+
+Chance and copies aside: a word needs ``SUPPORT`` occurrences near the entity that differ on both sides, measured
+as the perplexity of the words before it and of those after it, so that copies of one passage count about once.
+All counts are partial aggregates over word codes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +29,12 @@ from pulsegrid.llm.common import bitmap, in_bitmap, set_aside, text_batches, wit
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as near it.
 NEAR = 8
-#: Distinct texts in which a word must stand near an entity.
-SUPPORT = 3
-#: Normalised pointwise mutual information from which a word discloses an entity.
+#: Perplexity of the words on either side of a word near an entity.
+SUPPORT = 3.0
+#: Share of what an entity's mention tells from which a word discloses it.
 DISCLOSURE = 0.95
+#: No smaller share of a word's occurrences reaches ``DISCLOSURE`` in a corpus of up to 10^14 words.
+LEAST_SHARE = 0.2
 #: Disclosing words that are broadcast (8 bytes each); more are joined to their texts.
 BROADCAST_WORDS = 1_000_000
 
@@ -90,20 +96,38 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _near(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """(entity code, word code) of the words near each entity; words inside entities and numbers aside."""
-    out = set()
+def _code(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.lower().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _parts(kind: str, entity: str) -> list[int]:
+    """Codes of an entity and of the part of it that others share."""
+    shared = {"email": entity[entity.rfind("@") :], "ip": entity[: entity.rfind(".") + 1]}.get(kind)
+    return [_code(entity), _code(shared)] if shared else [_code(entity)]
+
+
+def _near(text: str, spans: list[Span]) -> list[tuple[int, str, str, str]]:
+    """(entity code, word, word before it, word after it) of the ``NEAR`` whole words on each side of an entity, words
+    in entities, short ones and numbers aside; and the same with the code 0 once for each of these words."""
     taken = sorted((s, e) for _, s, e in spans)
-    for _, s, e in spans:
-        entity = int.from_bytes(hashlib.blake2b(text[s:e].lower().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-        for piece, last in ((text[max(0, s - 40 * NEAR) : s], True), (text[e : e + 40 * NEAR], False)):
-            shift = s - len(piece) if last else e
-            found = [m for m in _WORD.finditer(piece) if not any(a < shift + m.end() and shift + m.start() < b for a, b in taken)]
-            for m in found[-NEAR:] if last else found[:NEAR]:
-                if len(m[0]) > 2 and not m[0].isdigit():
-                    out.add((entity, m[0]))
-    words = [w for _, w in out]
-    return [(entity, int(c)) for (entity, _), c in zip(out, word_codes(words), strict=True)]
+    words, k, reach = [], 0, 0
+    for m in _WORD.finditer(text):
+        while k < len(taken) and taken[k][0] < m.end():
+            reach = max(reach, taken[k][1])
+            k += 1
+        if m.start() >= reach:
+            words.append(m)
+    start = [m.start() for m in words]
+    out, any_ = [], set()
+    for kind, s, e in spans:
+        at = bisect_left(start, s)
+        for code in _parts(kind, text[s:e]):
+            for w in range(max(0, at - NEAR), min(len(words), at + NEAR)):
+                word = words[w][0]
+                if len(word) > 2 and not word.isdigit():
+                    any_.add(w)
+                    out.append((code, word, words[w - 1][0] if w else "", words[w + 1][0] if w + 1 < len(words) else ""))
+    return out + [(0, words[w][0], "", "") for w in sorted(any_)]
 
 
 #: The words of ``textcodes.ALNUM``.
@@ -119,70 +143,103 @@ def word_codes(words: list[str]) -> np.ndarray:
     return tc.codes(buf, np.concatenate(([0], end[:-1])), end).view(np.int64)
 
 
-def disclosing_words(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
-    """(words, places): codes of words that disclose an entity, with the largest measure; and the texts
-    (as codes) that hold candidates. Equal texts count once."""
-    slim = docs.select(F.col(text).alias("text"))
-    text_batches(docs.sparkSession)
+def _mentions(slim: DataFrame) -> DataFrame:
+    """Per entity and word near it: joint (occurrences) and support (the least perplexity of its neighbours). The
+    entity 0 stands for any."""
 
     def near(batches):
         for batch in batches:
-            entity, word, of = [], [], []
-            for lo, hi, buf, at in tc.chunks(batch.column(0)):
-                code = tc.codes(buf, at, np.append(at[1:], len(buf)) - 1).view(np.int64)
-                for i, body in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
-                    if body and (spans := base_spans(body)):
-                        for a, b in _near(body, spans):
-                            entity.append(a)
-                            word.append(b)
-                            of.append(int(code[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (entity, word, of)], names=["entity", "word", "of"])
-
-    pairs = slim.mapInArrow(near, "entity long, word long, of long").distinct()
-    joint = written(pairs.groupBy("entity", "word").agg(F.count("*").alias("joint")).where(F.col("joint") >= support), "near")
-    wanted = bitmap(joint, "word")
+            rows = []
+            for body in batch.column(0).to_pylist():
+                if body and (spans := base_spans(body)):
+                    rows += _near(body, spans)
+            entity = np.array([r[0] for r in rows], np.int64)
+            word, before, after = (word_codes([r[k] for r in rows]) for k in (1, 2, 3))
+            two = np.concatenate((np.arange(len(rows)), np.flatnonzero(entity)))
+            side = np.concatenate((np.zeros(len(rows), np.int8), np.ones(len(two) - len(rows), np.int8)))
+            other = np.concatenate((before, after[entity != 0]))
+            yield pa.RecordBatch.from_arrays([pa.array(entity[two]), pa.array(word[two]), pa.array(side), pa.array(other)], names=["entity", "word", "side", "other"])
+
+    seen = slim.mapInArrow(near, "entity long, word long, side byte, other long").groupBy("entity", "word", "side", "other").agg(F.count("*").alias("n"))
+    of = lambda side, x: F.coalesce(F.sum(F.when(F.col("side") == side, x)), F.lit(0.0))
+    spread = F.col("n") * F.log("n")
+    counts = seen.groupBy("entity", "word").agg(of(0, F.col("n").cast("double")).alias("joint"), of(0, spread).alias("before"), of(1, spread).alias("after"))
+    return counts.select("entity", "word", "joint", (F.col("joint") * F.exp(-F.greatest("before", "after") / F.col("joint"))).alias("support"))
+
+
+def _occurrences(slim: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, alone): occurrences of the words, and of a few others that a bitmap can't tell from them; word 0: of all."""
+    wanted = bitmap(words, "word")
+
+    def count(batches):
+        word, n, total = [], [], 0
+        for batch in batches:
+            for _, _, buf, at in tc.chunks(batch.column(0)):
+                code = tc.text_words(buf, at, tc.ALNUM)[0].view(np.int64)
+                total += len(code)
+                got = np.unique(code[in_bitmap(wanted.value, code)], return_counts=True) if len(code) else (code, code)
+                word.append(got[0])
+                n.append(got[1])
+            if sum(map(len, word)) > 1 << 20:
+                yield summed(word, n)
+                word, n = [], []
+        yield summed([*word, np.zeros(1, np.int64)], [*n, np.array([total])])
+
+    def summed(word, n):
+        at, back = np.unique(np.concatenate(word), return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.bincount(back, np.concatenate(n)).astype(np.int64))], names=["word", "n"])
+
+    return slim.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").cast("double").alias("alone"))
+
+
+def disclosing_words(docs: DataFrame, text: str = "text", support: float = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """Codes of words that disclose an entity, with the largest measure, over all texts."""
+    slim = docs.select(F.col(text).alias("text"))
+    text_batches(docs.sparkSession)
+    joint = written(_mentions(slim), "near")
+    anywhere = joint.where("entity = 0").select("word", F.col("joint").alias("beside"))
+    telling = joint.where((F.col("entity") != 0) & (F.col("support") >= support - 1e-9)).join(anywhere, "word")
+    # a word is at least as often in the corpus as near entities
+    telling = written(telling.where(F.col("joint") >= LEAST_SHARE * F.col("beside")).select("entity", "word", "joint"), "telling")
+    mentions = joint.where("entity <> 0").join(telling.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.sum("joint").alias("of_entity"))
+    alone = written(_occurrences(slim, telling), "alone")
+    total = F.lit(float(max(2.0, alone.where("word = 0").agg(F.max("alone")).first()[0] or 0)))
+    measured = telling.join(alone, "word").join(mentions, "entity")
+    prior = F.least(F.col("of_entity") / total, F.lit(1.0) - 1e-12)
+    words = measured.select("word", (F.log(F.col("joint") / F.col("alone") / prior) / -F.log(prior)).alias("measure"))
+    return written(words.where(F.col("measure") >= disclosure).groupBy("word").agg(F.max("measure").alias("measure")), "disclosing")
+
+
+def find_spans(docs: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_WORDS, **options) -> DataFrame:
+    """``docs`` with ``base`` and ``found``: arrays of (kind, start, end), ``found`` holding the words that
+    disclose an entity as well. Spans are in code points, end exclusive; null and empty texts have none; very long
+    ones are read whole; an empty table gives no rows; repeated rows each get their spans; columns named base or
+    found are replaced."""
+    words = disclosing_words(docs, text, **options)
+    if words.count() <= broadcast_words:
+        few = np.sort(np.array([r[0] for r in words.select("word").collect()], np.int64))
+        return _spans(docs, text, docs.sparkSession.sparkContext.broadcast(few), None)
+    coded = with_columns_from_batches(docs, _text_code(text), [T.StructField("__of", T.LongType())])
+    held = _held(docs.select(F.col(text).alias("text")), words).join(words, "word")
+    per_text = held.groupBy("of").agg(F.sort_array(F.collect_set("word")).alias("__words")).withColumnRenamed("of", "__of")
+    return _spans(coded.join(per_text, "__of", "left").drop("__of"), text, None, "__words").drop("__words")
+
+
+def _held(slim: DataFrame, words: DataFrame) -> DataFrame:
+    """(of, word): the texts, as codes, that hold words which a bitmap takes for the given ones."""
+    wanted = bitmap(words, "word")
 
     def places(batches):
         for batch in batches:
             for _, _, buf, at in tc.chunks(batch.column(0)):
                 whole = tc.codes(buf, at, np.append(at[1:], len(buf)) - 1)
                 word, first = tc.text_words(buf, at, tc.ALNUM)
-                hit = np.flatnonzero(in_bitmap(wanted.value, word.view(np.int64)))
+                hit = np.flatnonzero(in_bitmap(wanted.value, word.view(np.int64))) if len(word) else np.zeros(0, np.int64)
                 of = np.searchsorted(first, hit, "right") - 1
-                got = np.unique(np.stack([whole[of], word[hit]], 1), axis=0) if len(hit) else np.zeros((0, 2), np.uint64)
-                # one row for each text, whose word is 0, lets the texts be counted
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate((got[:, 0], whole)).view(np.int64)), pa.array(np.concatenate((got[:, 1], np.zeros(len(whole), np.uint64))).view(np.int64))],
-                    names=["of", "word"],
-                )
-
-    held = written(slim.mapInArrow(places, "of long, word long").distinct(), "places")
-    alone = held.groupBy("word").agg(F.count("*").alias("alone"))
-    texts = max(2, held.where("word = 0").count())
-    # log(p(t, e) / (p(t) p(e))) / -log(p(t, e)); an entity occurs in as many texts as its most frequent neighbour at least
-    entity = joint.groupBy("entity").agg(F.max("joint").alias("with_entity"))
-    measured = joint.join(alone, "word").join(entity, "entity")
-    ratio = F.log(F.col("joint") * F.lit(float(texts)) / (F.col("alone") * F.greatest("with_entity", "joint")))
-    information = -F.log(F.col("joint") / F.lit(float(texts)))
-    words = measured.withColumn("measure", F.when(information > 0, ratio / information).otherwise(0.0))
-    words = words.where(F.col("measure") >= disclosure).groupBy("word").agg(F.max("measure").alias("measure"))
-    return written(words, "disclosing"), held.where("word <> 0")
-
-
-def find_spans(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with ``base`` and ``found``: arrays of (kind, start, end), ``found`` holding the words that
-    disclose an entity as well. Spans are in code points, end exclusive; null and empty texts have none; an
-    empty table gives no rows; repeated rows each get their spans; columns named base or found are replaced."""
-    words, held = disclosing_words(docs, text, **options)
-    n = words.count()
-    if n <= BROADCAST_WORDS:
-        few = np.sort(np.array([r[0] for r in words.select("word").collect()], np.int64))
-        shared = docs.sparkSession.sparkContext.broadcast(few)
-        return _spans(docs, text, shared, None)
-    shared = None
-    per_text = held.join(words, "word").groupBy("of").agg(F.sort_array(F.collect_set("word")).alias("__words"))
-    coded = with_columns_from_batches(docs, _text_code(text), [T.StructField("__of", T.LongType())])
-    return _spans(coded.join(per_text, coded["__of"] == per_text["of"], "left").drop("of", "__of"), text, None, "__words").drop("__words")
+                got = np.unique(np.stack([whole[of], word[hit]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, k].copy().view(np.int64)) for k in (0, 1)], names=["of", "word"])
+
+    return slim.mapInArrow(places, "of long, word long").distinct()
 
 
 def _text_code(text: str):

@@ -8,8 +8,10 @@ import lzma
 import random
 import re
 import zlib
+from collections import Counter
 from urllib.parse import quote
 
+import numpy as np
 import pytest
 
 from pulsegrid.llm import compression_toxicity, crf_language, pairwise_quality, pii, secret_scan, site_style_tree
@@ -116,6 +118,69 @@ def test_words_that_tell_an_entity_go(spark):
     assert pii.span_report(frame(spark, [])).count() == 0
 
 
+def plain_disclosures(texts):
+    """Measure of every word near an entity that has the support, by loops."""
+    near, anywhere, total = {}, {}, 0
+    for text in texts:
+        words = [(m.start(), m[0].lower()) for m in re.finditer("[A-Za-z0-9]+", text)]
+        total += len(words)
+        for _, w in words:
+            anywhere[w] = anywhere.get(w, 0) + 1
+        spans = plain_pii(text)
+        outside = [(p, w) for p, w in words if not any(s <= p < e for _, s, e in spans)]
+        for kind, s, e in spans:
+            entity = text[s:e].lower()
+            left = [k for k, (p, _) in enumerate(outside) if p < s][-8:]
+            right = [k for k, (p, _) in enumerate(outside) if p >= e][:8]
+            for part in {entity, entity[entity.rfind("@") :] if kind == "email" else entity[: entity.rfind(".") + 1] if kind == "ip" else entity}:
+                for k in left + right:
+                    if len(outside[k][1]) > 2 and not outside[k][1].isdigit():
+                        sides = (outside[k - 1][1] if k else "", outside[k + 1][1] if k + 1 < len(outside) else "")
+                        near.setdefault(part, {}).setdefault(outside[k][1], []).append(sides)
+    out = {}
+    for of in near.values():
+        prior = sum(map(len, of.values())) / total
+        for word, sides in of.items():
+            perplexity = []
+            for k in (0, 1):
+                n = np.array(list(Counter(x[k] for x in sides).values())) / len(sides)
+                perplexity.append(np.exp(-(n * np.log(n)).sum()))
+            if min(perplexity) >= 3 - 1e-9:
+                out[word] = max(out.get(word, -9), np.log(len(sides) / anywhere[word] / prior) / -np.log(prior))
+    return out
+
+
+def test_disclosing_words_are_those_of_the_counts(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    say = lambda n: " ".join(rng.choice([word(), "the"]) for _ in range(n))
+    texts = [say(30) for _ in range(200)]
+    # one entity in many texts, a word that is beside it in a few of them only, and one that is elsewhere too
+    texts += [f"{say(3)} {word()} {'Nickname' if k < 4 else 'plain'} {word()} boss@firm.example {say(5)}" for k in range(30)]
+    texts += [f"{say(4)} plain {say(3)}" for _ in range(40)]
+    # an IP of a net that others share, and its site
+    texts += [f"{say(5)} {word()} basement {word()} at 10.20.30.{k} {say(3)}" for k in range(5)]
+    # near copies, the neighbours of whose words are the same but for a few
+    copy = [word() for _ in range(12)]
+    for k in range(60):
+        mine = list(copy)
+        mine[k % 12] = word()
+        texts.append(" ".join([*mine[:6], "lone@other.example", *mine[6:]]))
+    rows = [*enumerate(texts), (900, None), (901, "")]
+    want = plain_disclosures(texts)
+    got = {r.word: r.measure for r in pii.disclosing_words(frame(spark, rows), disclosure=-9.0).collect()}
+    code = dict(zip(want, pii.word_codes(list(want)).tolist()))
+    high = {code[w]: m for w, m in want.items() if m >= 0.9}
+    assert {w for w, m in got.items() if m >= 0.9} == set(high) and all(abs(got[w] - m) < 1e-6 for w, m in high.items())
+    told = {w for w, m in got.items() if m >= pii.DISCLOSURE}
+    assert told == {code[w] for w in ("nickname", "basement")} and not {pii.word_codes([w])[0] for w in copy} & told
+    # both ways of bringing the words to the texts
+    few, many = (pii.find_spans(frame(spark, [(*r, "x") for r in rows], f"{DOCS}, of string"), broadcast_words=n) for n in (10, 0))
+    assert few.columns == many.columns == ["doc_id", "text", "of", "base", "found"]
+    assert {(r.doc_id, r.of, str(r.found)) for r in few.collect()} == {(r.doc_id, r.of, str(r.found)) for r in many.collect()}
+    assert sum("term" in str(r.found) for r in few.collect()) == 9
+
+
 def test_generalised():
     assert pii.generalised("abcdef", [("term", 1, 3), ("email", 2, 5), ("ip", 5, 6)]) == "a[TERM][IP]"
 
@@ -265,6 +330,8 @@ def test_texts_of_no_learned_language_fit_none(spark):
 
 
 def test_the_gradient_is_that_of_the_likelihood():
+    import itertools
+
     import numpy as np
 
     rng = np.random.default_rng(8)

@@ -1,10 +1,13 @@
 """Embedding near-duplicates with a forest of random-projection trees.
 
 Trees are fitted on a bounded sample: at each level of a tree a random direction splits every node at its
-median, and vectors close to the split go to both sides (spill). Every vector is then routed down every
-tree, and vectors that share a leaf are compared in double precision. A leaf with more than ``BLOCK`` vectors
-is compared block by block, so that no task holds more than two blocks and no vector is left out. A pair
-that shares several leaves counts in the first of them, which both vectors' leaf lists tell.
+median, and vectors close to the split go to both sides (spill). Levels beyond what the sample can tell apart
+split every node at the direction's overall median, so that trees are as deep as the table asks for. There are
+as many trees as it takes for made-up pairs at the threshold to share a leaf (``ENOUGH`` of them); vectors of each
+length have a forest of their own. Every vector is routed down every tree, and vectors that share a leaf are
+compared in double precision. A leaf with more than ``BLOCK`` vectors is compared block by block, so that no task
+holds more than two blocks and no vector is left out. A pair that shares several leaves counts in the first of
+them, which both vectors' leaf lists tell.
 
 Equal vectors are one class, compared once; a class weighs as many vectors as it has.
 """
@@ -15,15 +18,22 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import connected_components, written
 
 COSINE = 0.95
-#: Distinct vectors that the trees are fitted on; the share of a node that goes to both sides.
-SAMPLE, SPILL = 20_000, 0.16
-TREES, LEAF = 10, 300
+#: Numbers in the sample of distinct vectors that the trees are fitted on, and its rows at most; the share of a
+#: node that goes to both sides.
+NUMBERS, SAMPLE, SPILL = 4_000_000, 20_000, 0.16
+LEAF = 300
+#: Made-up pairs, the share of them that must meet, and the most trees.
+PAIRS, ENOUGH, TREES = 1000, 0.99, 24
+#: Vectors of a length that the sample needs for a forest; rarer lengths are one leaf each.
+LEAST = 8
 #: Vectors of one side of a comparison.
 BLOCK = 1500
 
@@ -31,45 +41,61 @@ BLOCK = 1500
 class Forest:
     """Directions of each level of each tree, and the lower and upper edge of each node's overlap."""
 
-    def __init__(self, sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 3):
+    def __init__(self, sample: np.ndarray, rows: int, leaf: int = LEAF, spill: float = SPILL, cosine: float = COSINE, trees: int = TREES, enough: float = ENOUGH, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.dim = sample.shape[1] if len(sample) else 0
-        deep = min(math.log2(max(1, rows / leaf)), math.log2(max(1, len(sample) / 8)))
-        self.depth = max(0, math.ceil(deep - 1e-9))
+        self.dim = sample.shape[1]
+        self.depth = max(0, math.ceil(math.log2(max(1, rows / leaf)) - 1e-9))
+        fitted = min(self.depth, int(math.log2(max(1, len(sample) / 8))))
+        one = sample[rng.integers(0, len(sample), PAIRS)]
+        aside = rng.normal(size=one.shape)
+        aside -= (aside * one).sum(1, keepdims=True) * one
+        other = cosine * one + math.sqrt(1 - cosine * cosine) * aside / np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
         self.trees = []
-        for _ in range(trees):
+        apart = np.ones(PAIRS, bool)
+        while not self.trees or (len(self.trees) < trees and apart.mean() > 1 - enough):
             directions = rng.normal(size=(self.dim, max(1, self.depth)))
             low, high = [], []
-            shown = sample @ directions if len(sample) else np.zeros((0, max(1, self.depth)))
+            shown = sample @ directions
             at = np.zeros(len(sample), np.int64)
+            cuts = [0.5 - spill / 2, 0.5, 0.5 + spill / 2]
             for level in range(self.depth):
-                lo, mid, hi = (np.zeros(1 << level) for _ in range(3))
-                for node in range(1 << level):
-                    mine = shown[at == node, level]
-                    if len(mine):
-                        lo[node], mid[node], hi[node] = np.quantile(mine, [0.5 - spill / 2, 0.5, 0.5 + spill / 2])
+                lo, mid, hi = (np.full(1 << min(level, fitted), q) for q in np.quantile(shown[:, level], cuts))
+                if level < fitted:
+                    order = np.argsort(at, kind="stable")
+                    edge = np.searchsorted(at[order], np.arange((1 << level) + 1))
+                    for node in np.flatnonzero(np.diff(edge)):
+                        lo[node], mid[node], hi[node] = np.quantile(shown[order[edge[node] : edge[node + 1]], level], cuts)
+                    at = 2 * at + (shown[:, level] > mid[at])
+                else:
+                    lo, hi = lo[:1], hi[:1]
                 low.append(lo)
                 high.append(hi)
-                at = 2 * at + (shown[:, level] > mid[at])
             self.trees.append((directions, low, high))
+            (r, a), (q, b) = self._leaves(one, len(self.trees) - 1), self._leaves(other, len(self.trees) - 1)
+            same = np.intersect1d((r << 44) + a % (1 << 44), (q << 44) + b % (1 << 44))
+            apart[same >> 44] = False
+
+    def _leaves(self, x: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        directions, low, high = self.trees[t]
+        shown = x @ directions
+        row, at = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for level in range(self.depth):
+            v = shown[row, level]
+            node = np.minimum(at, len(low[level]) - 1)
+            left, right = v <= high[level][node], v >= low[level][node]
+            row, at = np.concatenate((row[left], row[right])), np.concatenate((2 * at[left], 2 * at[right] + 1))
+        return row, at
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf of every tree that a row reaches."""
-        rows, leaves = [], []
-        for t, (directions, low, high) in enumerate(self.trees):
-            shown = x @ directions
-            row, at = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for level in range(self.depth):
-                v = shown[row, level]
-                left, right = v <= high[level][at], v >= low[level][at]
-                row, at = np.concatenate((row[left], row[right])), np.concatenate((2 * at[left], 2 * at[right] + 1))
-            rows.append(row)
-            leaves.append(at + (t << 40))
-        return np.concatenate(rows), np.concatenate(leaves)
+        found = [self._leaves(x, t) for t in range(len(self.trees))]
+        return np.concatenate([r for r, _ in found]), np.concatenate([a + (t << 44) for t, (_, a) in enumerate(found)])
 
 
 def unit(vectors) -> np.ndarray:
+    """Vectors of one length as rows of length 1; large and small components are scaled first."""
     x = np.array([np.asarray(v, np.float64) for v in vectors]).reshape(len(vectors), -1)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -105,41 +131,48 @@ def links(code: np.ndarray, weight: np.ndarray, x: np.ndarray, leaves: list, lea
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing, and neither do
-    those of another length than most of the sample. Repeated rows are vectors of their own, linked with
-    each other. An empty table gives no rows; a null vec_id is its own component if none is reachable;
+    Vectors that are null, zero, or hold null or non-finite components link with nothing; those of unlike lengths
+    don't link with one another. Repeated rows are vectors of their own, linked with each other. Very long vectors
+    are compared whole. An empty table gives no rows; a null vec_id is its own component if none is reachable;
     other columns are not read."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    kept = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kept).alias("v"))
     fine = ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists("v", lambda c: c != 0)
     # The code of a vector: its components and their number.
     rows = rows.withColumn("code", F.when(F.col("v").isNotNull() & fine, F.xxhash64("v", F.size("v"))))
     classes = written(
         rows.where("code is not null").groupBy("code").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.first("v").alias("v")), "vectors"
     )
-    sample = [r[0] for r in classes.orderBy(F.hash("code"), "code").limit(SAMPLE).select("v").collect()]
-    lengths = [len(v) for v in sample]
-    dim = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
-    forest = spark.sparkContext.broadcast(Forest(unit([v for v in sample if len(v) == dim]) if dim else np.zeros((0, 0)), classes.count()))
+    n, longest = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    sample = classes.orderBy(F.hash("code"), "code").limit(max(1, min(SAMPLE, NUMBERS // (longest or 1)))).select("v").toArrow().column(0)
+    length = np.asarray(pc.list_value_length(sample))
+    forests = {}
+    for dim in np.unique(length).tolist():
+        mine = sample.filter(pa.array(length == dim))
+        if len(mine) >= LEAST:
+            flat = pc.list_flatten(mine).to_numpy().astype(np.float64).reshape(-1, dim)
+            forests[dim] = Forest(unit(flat), math.ceil(n * len(mine) / len(sample)), LEAF, cosine=cosine)
+    shared = spark.sparkContext.broadcast(forests)
 
     def route(batches):
-        for pdf in batches:
-            pdf = pdf[pdf["v"].map(len) == forest.value.dim].reset_index(drop=True)
-            if not len(pdf):
-                continue
-            row, leaf = forest.value.leaves(unit(pdf["v"].tolist()))
-            by = np.lexsort((leaf, row))
-            parts = np.split(leaf[by], np.flatnonzero(np.diff(row[by])) + 1)
-            yield pd.DataFrame({"code": pdf["code"], "n": pdf["n"], "v": pdf["v"], "leaves": parts})
-
-    routed = classes.select("code", "n", "v").mapInPandas(route, "code long, n long, v array<double>, leaves array<long>")
+        for every in batches:
+            size = every["v"].map(len)
+            for dim, pdf in every.groupby(size.to_numpy()):
+                forest = shared.value.get(dim)
+                row, leaf = forest.leaves(unit(pdf["v"].tolist())) if forest else (np.arange(len(pdf)), np.zeros(len(pdf), np.int64))
+                by = np.lexsort((leaf, row))
+                parts = np.split(leaf[by], np.flatnonzero(np.diff(row[by])) + 1)
+                yield pd.DataFrame({"code": pdf["code"], "n": pdf["n"], "v": pdf["v"], "dim": dim, "leaves": parts})
+
+    routed = classes.select("code", "n", "v").mapInPandas(route, f"code long, n long, v {kept}, dim int, leaves array<long>")
     routed = written(routed, "routed")
-    placed = routed.select("code", "n", "v", "leaves", F.explode("leaves").alias("leaf"))
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, "leaf").withColumn("block", F.pmod(F.hash("code"), F.col("blocks")))
+    placed = routed.select("code", "n", "v", "dim", "leaves", F.explode("leaves").alias("leaf"))
+    sizes = placed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = placed.join(sizes, ["dim", "leaf"]).withColumn("block", F.pmod(F.hash("code"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = dealt.select("leaf", "code", "n", "v", "leaves", "block", other).select(
-        "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "code", "n", "v", "leaves"
+    tasks = dealt.select("dim", "leaf", "code", "n", "v", "leaves", "block", other).select(
+        "dim", "leaf", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "code", "n", "v", "leaves"
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -153,7 +186,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         some = (n > 0) | (root != code)
         return pd.DataFrame({"code": code[some], "n_links": n[some], "root": root[some]})
 
-    found = written(tasks.groupBy("leaf", "i", "j").applyInPandas(compare, "code long, n_links long, root long"), "near")
+    found = written(tasks.groupBy("dim", "leaf", "i", "j").applyInPandas(compare, "code long, n_links long, root long"), "near")
     counts = found.groupBy("code").agg(F.sum("n_links").alias("others"))
     root = connected_components(found.select(F.col("code").alias("a"), F.col("root").alias("b")), "near")
     described = (

@@ -148,6 +148,9 @@ def test_forest_recall_and_no_false_links(spark, monkeypatch):
     x = vectors()
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(5000, None), (5001, [0.0] * 24), (5002, [float("nan")] + [1.0] * 23), (5003, [None] + [1.0] * 23), (5004, [float("inf")] + [1.0] * 23), (5005, []), (3, rows[3][1])]
+    # vectors of other lengths, few and many, with very large and small components
+    rows += [(6000, [1.0, 2.0, 3.0]), (6001, [1e300, 2e300, 3.1e300]), (6002, [-3.0, 0.0, 1.0]), (6003, [1e-300, 2e-300, 3e-300])]
+    rows += [(6100 + i, [float(np.cos(i // 2)), float(np.sin(i // 2 + 0.01 * (i % 2)))]) for i in range(40)]
     got = projection_forest.near_duplicates(frame(spark, rows, "vec_id long, embedding array<double>")).collect()
     assert len(got) == len(rows)
     u = np.concatenate((x, x[3:4]))
@@ -162,9 +165,24 @@ def test_forest_recall_and_no_false_links(spark, monkeypatch):
     assert all(want[by[i].component_id] == want[i] for i in range(len(x)))
     assert np.mean([by[i].component_id == want[i] for i in range(len(x))]) > 0.95
     assert all(by[i].n_links == 0 and by[i].kept for i in range(5000, 5006))
+    assert {by[i].component_id for i in (6000, 6001, 6003)} == {6000} and by[6000].n_links == 2 and by[6002].n_links == 0
+    assert all(by[6100 + i].n_links >= 1 and by[6100 + i].component_id >= 6100 for i in range(40))
     assert projection_forest.near_duplicates(frame(spark, [], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [5_000, 50_000_000])
+def test_pairs_at_the_threshold_share_a_leaf(rows):
+    rng = np.random.default_rng(9)
+    x = projection_forest.unit(rng.normal(size=(4000, 48)))
+    forest = projection_forest.Forest(x[:2000], rows)
+    one, aside = x[2000:], rng.normal(size=(2000, 48))
+    aside -= (aside * one).sum(1, keepdims=True) * one
+    other = 0.951 * one + np.sqrt(1 - 0.951**2) * projection_forest.unit(aside)
+    (r, a), (q, b) = forest.leaves(one), forest.leaves(other)
+    met = {i for i, _ in set(zip(r.tolist(), a.tolist())) & set(zip(q.tolist(), b.tolist()))}
+    assert len(met) >= 0.95 * 2000 and len(np.unique(a)) > (10 if rows < 10**6 else 1000)
+
+
 # Packing
 
 

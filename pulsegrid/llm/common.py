@@ -155,11 +155,11 @@ def contracted(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Components of the undirected graph ``edges(a, b)`` as rows ``(node, root)``; root is the smallest node.
 
-    Alternating large-star and small-star steps until nothing changes, from edges that tasks have contracted.
+    Alternating large-star and small-star steps until nothing changes.
     Minima are partial aggregates and the joins are plain equi-joins, so a hub with very many neighbours is
     split by AQE. Every step is a written table; nothing but a row count and a checksum reaches the driver.
     """
-    now = written(contracted(edges.where("a <> b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     nodes = now.select(F.col("u").alias("node")).union(now.select("v")).distinct()
     mark = None
     while True:

@@ -1,9 +1,10 @@
 """Jaccard join of word n-gram sets with signature trees.
 
 1. Every text becomes the set of its shingles' codes; equal sets are one class.
-2. A set's codes are dealt into P parts by a hash. Sets with J >= t differ in at most (a + b)(1 - t)/(1 + t)
-   codes, so with more parts than that some part is equal in both. Each set gives one key per part, with
-   P fixed for a class of sizes; sets near a border give the keys of both classes.
+2. A set's codes are dealt into P parts by a hash, with P fixed for a class of sizes. Sets with J >= t differ in
+   at most (a + b)(1 - t)/(1 + t) codes and so in no more parts. Each set gives one key for each of its filled
+   parts, from the first part on until they outnumber that by ``NEED``: so many keys any two linked sets have
+   in common, whichever of them gives fewer. Sets near a border give keys of the class below as well.
 3. Keys that two sets share make the candidate graph (each set to the smallest set of its key), whose
    components are the groups that can hold a link: no link crosses groups. Sets that share fewer keys than a
    link takes are left out of it, such as those with only a passage in common. Keys travel once.
@@ -30,12 +31,12 @@ from pulsegrid.llm.common import bitmap, connected_components, contracted, give_
 WORDS, PERCENT = 3, 90
 #: Sets that one task holds of each side.
 BLOCK = 512
-#: Parts beyond those that can differ, at least; a set with more empty ones gives keys for these too.
-SPARE = 3
+#: Keys that linked sets share, at most, and the codes that one of them takes.
+NEED, PER_NEED = 8, 8
 BITS = 2048
 LEAF, FAN = 8, 8
 #: Ratio of the sizes that bound a class.
-STEP = 0.7
+STEP = 0.5
 
 
 def shingles(word: np.ndarray, n: int) -> np.ndarray:
@@ -59,19 +60,30 @@ def _bounds(percent: int) -> np.ndarray:
     return np.array(out)
 
 
-def _parts(lower: int, upper: int, percent: int) -> tuple[int, int]:
-    """Parts for sets of ``lower`` to ``upper`` codes, and how many of them are spare: enough for the filled parts
-    of the smallest sets to outnumber, by four deviations, the parts that can differ. Keys of empty parts,
-    which tell nothing of a set, are then very rare at any size."""
-    differ = (upper + upper * 100 // percent) * (100 - percent) // (100 + percent)
-    spare = SPARE
-    while True:
-        p = differ + 1 + spare
-        one, two = (1 - 1 / p) ** lower, (1 - 2 / p) ** lower
-        deviation = max(0.0, p * (p - 1) * two + p * one - (p * one) ** 2) ** 0.5
-        if p * (1 - one) - 4 * deviation >= differ + 1 or p > 8 * upper + 64:
-            return p, spare
-        spare += 1 + spare // 16
+def _needed(size: np.ndarray) -> np.ndarray:
+    """Keys that a set of so many codes has beyond those that can differ."""
+    return np.clip(size // PER_NEED, 1, NEED)
+
+
+def _reach(size: np.ndarray, target: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The parts of ``parts`` of which at least ``target`` are filled by ``size`` codes, by four deviations."""
+    filled = -np.expm1(size * np.log1p(-1.0 / parts))
+    side = 4 * np.sqrt(filled * (1 - filled))
+    return np.ceil(((side + np.sqrt(side * side + 4 * filled * target)) / (2 * filled)) ** 2).astype(np.int64)
+
+
+def _differ(size: np.ndarray, partner: np.ndarray, percent: int) -> np.ndarray:
+    return (size + partner) * (100 - percent) // (100 + percent)
+
+
+def _parts(lower: int, upper: int, percent: int) -> int:
+    """Parts for sets of ``lower`` to ``upper`` codes: nearly all fill as many of them as their keys take."""
+    size = np.array([lower, upper])
+    target = _differ(size, size * 100 // percent, percent) + _needed(size)
+    p = int(target.max()) + 1
+    while (_reach(size, target, np.array([p, p])) > p).any() and p < 16 * upper + 64:
+        p += 1 + p // 16
+    return p
 
 
 def keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -79,13 +91,16 @@ def keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np
     return keys_and_needs(sets, percent)[:2]
 
 
-def keys_and_needs(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(set, key, below, need)``: ``below`` tells keys of the class below the set's own. If the set links with
-    another set by a class, at least ``need`` of its keys of this class are keys of that set too: of its filled
-    parts, no more can differ than codes can."""
+def keys_and_needs(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(set, key, need)``: if a set links with another by a class, at least half of ``need``, rounded down, of its
+    keys of this class are keys of that set too; an odd ``need`` marks keys of the class below the set's own.
+
+    Of sets A and B, both give keys of the parts up to the lesser of their reaches. In these the set with that
+    reach fills as many parts as can differ and its needed ones besides. Where chance fills too few parts, a set
+    gives keys for all, also for empty ones."""
     bounds = _bounds(percent)
     size = np.array([len(s) for s in sets], np.int64)
-    which, out, lower, needs = [], [], [], []
+    which, out, needs = [], [], []
     own = np.searchsorted(bounds, size)
     for level in (0, -1):
         c = own + level
@@ -96,10 +111,11 @@ def keys_and_needs(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.n
         if not len(for_class):
             continue
         made = {k: _parts(int(bounds[k - 1]) + 1 if k else int(bounds[0]), int(bounds[k]), percent) for k in set(c[for_class].tolist())}
-        parts, spare = np.array([made[k] for k in c[for_class].tolist()], np.int64).T
+        parts = np.array([made[k] for k in c[for_class].tolist()], np.int64)
         base = np.concatenate(([0], np.cumsum(parts)))
         every = np.concatenate([sets[i] for i in for_class])
-        owner = np.repeat(np.arange(len(for_class)), size[for_class])
+        mine = size[for_class]
+        owner = np.repeat(np.arange(len(for_class)), mine)
         high = tc.mix(every) >> np.uint64(32)
         part = ((high * parts[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         at = base[owner] + part
@@ -108,22 +124,24 @@ def keys_and_needs(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.n
         hi = np.bincount(at, (mixed >> np.uint64(32)).astype(np.float64), base[-1]).astype(np.uint64)
         filled = np.bincount(at, minlength=base[-1]) > 0
         of = np.repeat(np.arange(len(for_class)), parts)
-        empty = np.bincount(of, ~filled, len(for_class))
         index = np.arange(base[-1]) - base[of]
         tag = tc.mix(c[for_class][of].astype(np.uint64) * np.uint64(1 << 40) + index.astype(np.uint64))
         key = tc.mix(tag + tc.mix(lo + (hi << np.uint64(32))) + filled.astype(np.uint64))
-        use = filled | (empty[of] > spare[of])
-        mine = size[for_class]
-        partner = bounds[c[for_class]] if level else mine * 100 // percent
-        differ = (mine + partner) * (100 - percent) // (100 + percent)
-        need = np.maximum(1, np.bincount(of, filled, len(for_class)).astype(np.int64) - differ)
+        differ = _differ(mine, bounds[c[for_class]] if level else mine * 100 // percent, percent)
+        target = differ + _needed(mine)
+        reach = parts if level else np.minimum(_reach(mine, target, parts), parts)
+        use = filled & (index < reach[of])
+        lacking = np.bincount(of, use, len(for_class)).astype(np.int64) < target
+        use |= lacking[of]
+        # the smallest partner needs the fewest
+        need = np.where(lacking, np.minimum(_needed(mine), np.maximum(1, parts - differ)), _needed(mine))
+        need = np.minimum(need, _needed(mine * percent // 100))
         which.append(for_class[of[use]])
         out.append(key[use])
-        lower.append(np.full(use.sum(), level, np.int8))
-        needs.append(need[of[use]].astype(np.int32))
+        needs.append((2 * need - level)[of[use]].astype(np.int32))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int32)
-    return np.concatenate(which), np.concatenate(out), np.concatenate(lower), np.concatenate(needs)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    return np.concatenate(which), np.concatenate(out), np.concatenate(needs)
 
 
 def _sets(column, words: int):
@@ -292,7 +310,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
 
 
 def _keyed(slim: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (key, code, below, need) of all sets, each set once in a task."""
+    """Rows (key, code, need) of all sets, each set once in a task."""
 
     def show(batches):
         done = set()
@@ -303,12 +321,12 @@ def _keyed(slim: DataFrame, words: int, percent: int) -> DataFrame:
                     if len(s) and (code := set_code(s)) not in done:
                         done.add(code)
                         new.append((code, s))
-                row, key, below, need = keys_and_needs([s for _, s in new], percent)
+                row, key, need = keys_and_needs([s for _, s in new], percent)
                 code = np.array([c for c, _ in new], np.int64)[row]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "code": pa.array(code), "below": pa.array(below), "need": pa.array(need)})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "code": pa.array(code), "need": pa.array(need)})
             give_back()
 
-    return slim.select("text").mapInArrow(show, "key long, code long, below byte, need int")
+    return slim.select("text").mapInArrow(show, "key long, code long, need int")
 
 
 def _shared(shown: DataFrame) -> DataFrame:
@@ -325,9 +343,10 @@ def _candidates(slim: DataFrame, words: int, percent: int) -> DataFrame:
     in common do not chain groups together.
     """
     left = _shared(_keyed(slim, words, percent))
-    own = Window.partitionBy("code", "below")
-    able = left.withColumn("n", F.count("*").over(own)).where("n >= need").select("key", "code")
-    return contracted(_shared(able).where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")))
+    own = Window.partitionBy("code", "need")
+    able = left.withColumn("n", F.count("*").over(own)).where(F.col("n") >= F.shiftright("need", 1)).select("key", "code")
+    # by set, so that a task's stars hold each set once and few others
+    return contracted(_shared(able).where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).repartition("a"))
 
 
 def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:

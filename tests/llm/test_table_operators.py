@@ -116,14 +116,32 @@ def test_linked_sets_have_a_key_in_common():
             assert len(np.intersect1d(key[which == 0], key[which == 1])) > 0
 
 
-def test_keys_of_empty_parts_are_rare_in_long_texts():
+def test_keys_of_empty_parts_are_rare():
     rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (3100, 9000, 15_000, 60_000) for _ in range(4)]
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (10, 13, 25, 50, 90, 300, 3100, 9000, 15_000, 60_000) for _ in range(4)]
     for percent in (80, 90):
         which, key = signature_tree.keys(sets, percent)
         assert len(np.unique(key)) == len(key)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_linked_sets_share_as_many_keys_as_they_need(percent):
+    rng = np.random.default_rng(13)
+    for n in [*range(4, 40), 63, 64, 65, 130, 257, 700, 3000] * 3:
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        gone = rng.integers(0, len(a) + 1)
+        for new in range(0, len(a), max(1, len(a) // 12)):
+            b = np.unique(np.concatenate((a[gone * (100 - percent) // 100 :], rng.integers(0, 2**63, new, dtype=np.uint64))))
+            both = len(np.intersect1d(a, b))
+            if both == len(a) == len(b) or 100 * both < percent * (len(a) + len(b) - both):
+                continue
+            which, key, need = signature_tree.keys_and_needs([a, b], percent)
+            shared = np.intersect1d(key[which == 0], key[which == 1])
+            for k in (0, 1):
+                marks = need[(which == k) & np.isin(key, shared)]
+                assert len(marks) and any((marks == m).sum() >= m >> 1 for m in np.unique(marks))
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f g h", "x"), (1, "a b c d e f g h", "y"), (2, "other words stand in this text", "z"), (5, None, "n"), (6, "", "e"), (None, "a b c d e f g h", "k"), (2, "other words stand in this text", "z")]
     got = signature_tree.keep_one(frame(spark, rows, f"{DOCS}, code string"), words=5, percent=80)

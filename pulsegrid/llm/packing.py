@@ -29,8 +29,8 @@ CAPACITY = 1024
 GROUPS = 384
 #: Lengths up to this share of the capacity are small.
 SMALL = 1 / 8
-#: Pieces of one length that are numbered together.
-NUMBERED = 250
+#: Pieces of one length that are numbered together, and parts of them whose counts are summed together.
+NUMBERED, PARTS = 10_000, 10_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -59,12 +59,14 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity
                         start.append(s)
                         length.append(e - s)
                         crc.append(zlib.crc32(x[s:e].astype("<u4").tobytes()))
-                        if keep_ids:
-                            kept.append(x[s:e].astype(np.int32).tolist())
                         s = e
+                    if keep_ids:
+                        kept.append(x.astype(np.int32))
                 out = [names.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32())]
                 out += [pa.array(c, pa.int64()) for c in (start, length, crc)]
-                out += [pa.array(kept, pa.list_(pa.int32()))] if keep_ids else []
+                if keep_ids:
+                    edges = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(kept))))
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out)])
             give_back()
 
@@ -188,12 +190,14 @@ def _fullest(sizes: list[tuple[int, int]], room: int) -> list[int]:
 
 
 def place(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """``parts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset; read twice, so a table."""
+    """``parts`` (doc_id, piece, start, length, ids_crc32, any others) with sequence_id and offset; read several
+    times, so a table. Full pieces are sequences by themselves; the others are numbered within salted parts of their
+    length, whose places a second aggregate and a sum over at most ``PARTS`` of them give."""
     spark = parts.sparkSession
     counts = {r[0]: r[1] for r in parts.groupBy("length").count().collect()}
     used: dict[int, int] = defaultdict(int)
     rows, base = [], 0
-    for n, lengths in plan(counts, capacity, groups):
+    for n, lengths in plan({k: v for k, v in counts.items() if k != capacity}, capacity, groups):
         at = 0
         for x in lengths:
             rows.append((x, used[x], used[x] + n, base - used[x], at))
@@ -201,25 +205,35 @@ def place(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
             at += x
         base += n
     slots = spark.createDataFrame(rows, "length long, first long, past long, shift long, offset long")
-    salts = F.array(*[F.lit(-(-counts.get(n, 0) // NUMBERED) or 1) for n in range(1, capacity + 1)])
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(salts, F.col("length").cast("int")))
-    salted = parts.withColumn("part", salt)
-    per_part = salted.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    # Parts of a length, and groups of parts: neither a part nor a window over one level grows with the table.
+    of_parts = F.array(*[F.lit(-(-counts.get(n, 0) // NUMBERED) or 1).cast("long") for n in range(1, capacity)])
+    part = F.pmod(key, F.element_at(of_parts, F.col("length").cast("int")))
+    rest = parts.where(F.col("length") < capacity).withColumn("part", part).withColumn("group", F.expr(f"part div {PARTS}"))
+    per_part = rest.groupBy("length", "group", "part").agg(F.count("*").alias("n"))
+    per_group = per_part.groupBy("length", "group").agg(F.sum("n").alias("in_group"))
+    up_to = lambda n, by, on: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(on).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups_at = per_group.select("length", "group", up_to("in_group", ["length"], "group").alias("group_at"))
+    offsets = per_part.withColumn("part_at", up_to("n", ["length", "group"], "part")).join(groups_at, ["length", "group"])
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")
     numbered = (
-        salted.withColumn("rank", F.row_number().over(order) - 1)
-        .join(offsets, ["length", "part"])
+        rest.withColumn("rank", F.row_number().over(order) - 1)
+        .join(offsets.select("length", "part", (F.col("group_at") + F.col("part_at")).alias("before")), ["length", "part"])
         .withColumn("rank", F.col("rank") + F.col("before"))
     )
     # At most a few rows for each of the capacity's lengths and groups, however many pieces there are.
     on = [numbered["length"] == slots["length"], F.col("rank") >= F.col("first"), F.col("rank") < F.col("past")]
-    return numbered.join(F.broadcast(slots), on).select(
-        "doc_id", "piece", "start", numbered["length"], "ids_crc32", (F.col("rank") + F.col("shift")).alias("sequence_id"), "offset"
-    )
+    own = [c for c in parts.columns]
+    placed = numbered.join(F.broadcast(slots), on).select(*[numbered[c] for c in own], (F.col("rank") + F.col("shift")).alias("sequence_id"), "offset")
+    # A full piece needs no place among others: any number of its own will do, from its row's place in the table.
+    full = parts.where(F.col("length") == capacity).select(*own, (F.monotonically_increasing_id() + base).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.union(full)
+
 
+def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, with ``keep_ids`` the ids, sequence_id, offset.
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, path: str | None = None) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. An empty table gives no rows."""
-    return place(written(pieces(docs, capacity=capacity, path=path), "pieces"), capacity, groups)
+    A null text is an empty one, whose only token is the end id; very long ones are tokenised whole and cut;
+    repeated rows each give their pieces; a doc_id that is no number is null; other columns are not read; an
+    empty table gives no rows."""
+    return place(written(pieces(docs, capacity=capacity, path=path, keep_ids=keep_ids), "pieces"), capacity, groups)

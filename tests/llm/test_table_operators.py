@@ -238,6 +238,21 @@ def test_packing_is_a_round_trip(spark):
     assert used <= -(-sum(n * c for n, c in counts.items()) // 1024) + 2
 
 
+def test_numbering_on_two_levels_and_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "NUMBERED", 3)
+    monkeypatch.setattr(packing, "PARTS", 2)
+    rng = random.Random(3)
+    rows = [(i, " ".join(["a"] * rng.choice([1, 2, 3, 40]))) for i in range(150)]
+    got = packing.place(common.written(packing.pieces(frame(spark, rows), capacity=16, keep_ids=True), "pieces"), 16).collect()
+    counts = {}
+    for r in got:
+        counts[r.length] = counts.get(r.length, 0) + 1
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    assert counts[16] == sum(c == 16 for c in [x.length for x in got]) > 10
+    check_packed(got, counts, 16)
+    assert sorted({(r.doc_id, r.start) for r in got}) == sorted((r.doc_id, r.start) for r in got)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_holds_all_pieces(seed):
     rng = random.Random(seed)

@@ -10,19 +10,17 @@ from pulsegrid.llm.common import set_aside, written
 
 #: Words of a shingle and the similarity, in percent, from which documents are near copies.
 COPY_WORDS, COPY_PERCENT = 5, 80
-#: Documents whose likeliest language has less than this mean probability over their words are rejected.
-LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters, and those that no language fits. Without any labelled document
-    there is no language to fit, and only the former go."""
+    """Rejects documents without letters, null and empty ones too, and those that no learned language fits. Without
+    any labelled document there is no language to fit, and only the former go."""
     model = crf_language.fit(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    docs, own = set_aside(docs, ("lang_pred", "score"))
+    docs, own = set_aside(docs, ("lang_pred", "score", "fits"))
     scored = crf_language.with_languages(docs, model)
-    return scored.where((F.col("lang_pred") != crf_language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*own)
+    return scored.where((F.col("lang_pred") != crf_language.UNKNOWN) & F.col("fits")).select(*own)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,18 +29,19 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none and stay."""
     return suffix_decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, and words that disclose it, give way to their kind in brackets; every document stays."""
+    """Personal data, and words that disclose it, give way to their kind in brackets; every document stays, null
+    texts null and empty ones empty."""
     return pii.sanitise(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences."""
-    return packing.pack(docs)
+    """Pieces of all documents with their token ids, placed in sequences; a null or empty text is its end id alone."""
+    return packing.pack(docs, keep_ids=True)
 
 
 STAGES = [

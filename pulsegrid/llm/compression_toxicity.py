@@ -2,46 +2,49 @@
 
 Two zstandard dictionaries are trained, on text of toxic documents and on ordinary text. Each window of a
 text is compressed with the ordinary dictionary alone and with the toxic one beside it; how much shorter the
-toxic dictionary makes the windows is what a text is judged by, and a calibration on labelled rows turns it
-into a score.
-
-A toxic document is mostly ordinary text, so the toxic dictionary is trained on the words that toxic
-documents hold in far more contexts than ordinary ones do, or whose beginning they so hold in longer words
-(contexts are pairs of the word before and the word: copies of one document add none). Of these the
-widespread ones count, as rare words seem telling by chance. Both
-compressions share the ordinary dictionary, and where the toxic one would stand the other has bytes that no
-text holds, so that the difference comes from toxic text alone. Texts are compared as their words, in lower
-case: signs between and around words would break the matches.
+toxic dictionary makes the windows is what a text is judged by: how many of its windows, and what share of them,
+gain at least as much as each of a few thresholds, calibrated into a score on labelled rows.
+
+A toxic document is mostly ordinary text. So of the toxic documents' text the dictionary is trained on the words
+that stand in significantly more contexts there than in ordinary ones, or whose beginning does so in longer words;
+the test is a likelihood ratio over all words and beginnings at once, so that rare words that seem telling by
+chance stay out (contexts are pairs of the word before and the word: copies of one document add none). Both
+compressions share the ordinary dictionary, and where the toxic one would stand the other has bytes that no text
+holds, so that the difference comes from toxic text alone. Texts are compared as their words, in lower case: signs
+between and around words would break the matches.
+
+What is counted, cut and measured on the labelled sample is so in tasks; the driver trains from samples of windows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import with_columns_from_batches
-from pulsegrid.llm.learning import bounded_sample, fold, logistic, sigmoid
+from pulsegrid.llm.common import give_back, text_batches, with_columns_from_batches, written
+from pulsegrid.llm.learning import agreed, bounded_sample, fold, logistic, sigmoid
 
-#: Labelled rows that dictionaries and calibration learn from, of each class, and characters of each read in training.
-SAMPLE_ROWS = 4000
+#: Labelled rows that dictionaries and calibration learn from, of each class, and windows of each class that the
+#: dictionaries are trained on, from anywhere in these rows.
+SAMPLE_ROWS, SAMPLES = 4000, 30_000
 WINDOW = 80
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
 MIN_MATCH = 5
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Letters of a word or beginning of one.
-SHORTEST, LONGEST = 4, 10
-#: Contexts it needs, how many times as many as in ordinary text, a margin of two deviations aside, and the
-#: share of the most widespread such word's contexts.
-CONTEXTS, TIMES, SHARE = 4, 10.0, 0.05
+#: Letters of a word, and of a beginning of one.
+SHORTEST, LEAST, LONGEST = 2, 4, 10
+#: How many times as many contexts as expected, and by what margin the log likelihood ratio must pass a test of all.
+TIMES, MARGIN = 5.0, 10.0
+#: Bytes by which a window may gain.
+GAINS = (1, 2, 3, 4, 6)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -96,36 +99,20 @@ class Model:
     def features(self, text: str | None) -> np.ndarray:
         plain, toxic = self.compressors()
         d = np.array([len(plain(w)) - len(toxic(w)) for w in windows(lowered(text))] or [0], float)
-        top = np.sort(d)[::-1]
         n = len(d)
-        return np.array(
-            [
-                np.clip(d, -2, 6).mean(),
-                (d >= 1).mean(),
-                (d >= 2).mean(),
-                (d >= 3).mean(),
-                (d >= 4).mean(),
-                math.sqrt((d >= 2).sum()),
-                math.sqrt((d >= 4).sum()),
-                min(top[0], 10),
-                np.clip(top[: max(1, n // 10)], -2, 10).mean(),
-                np.clip(d, -2, 6).sum() / math.sqrt(n),
-                math.log(n),
-            ]
-        )
+        counts = [(d >= g).sum() for g in GAINS]
+        return np.array([x for c in counts for x in (math.sqrt(c), math.sqrt(c / n), c / n * math.log(n))] + [min(d.max(), 8), math.log(n)])
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        return sigmoid(_wider(features) @ self.weights[:-1] + self.weights[-1])
+        return sigmoid(features @ self.weights[:-1] + self.weights[-1])
 
 
-def _wider(x: np.ndarray) -> np.ndarray:
-    """Products with the length, as short texts have few windows to judge by."""
-    return np.column_stack((x, x[:, :5] * x[:, -1:], x[:, 8:9] * x[:, -1:], x[:, 1:2] * x[:, 7:8]))
+N_FEATURES = 3 * len(GAINS) + 2
 
 
 def units(word: str) -> list[str]:
-    """A word of enough letters, and its beginnings, marked as such, that more letters follow."""
-    return [f"{word[:n]}-" for n in range(SHORTEST, min(len(word), LONGEST + 1))] + ([word] if len(word) >= SHORTEST else [])
+    """A word, and its beginnings, marked as such, that more letters follow."""
+    return [f"{word[:n]}-" for n in range(LEAST, min(len(word), LONGEST + 1))] + ([word] if len(word) >= SHORTEST else [])
 
 
 def stem(word: str, telling: dict[str, int]) -> str:
@@ -134,33 +121,59 @@ def stem(word: str, telling: dict[str, int]) -> str:
     return max((u for u in found if telling[u] >= 0.8 * telling[found[0]]), key=lambda u: len(u.rstrip("-")), default="").rstrip("-")
 
 
-def train(rows: list[tuple[str, int]]) -> Model:
-    """Learn from (text, toxic) rows. With one class or none every text gets the share of toxic rows."""
-    texts = {k: [t for t, y in rows if y == k] for k in (0, 1)}
-    share = len(texts[1]) / max(1, len(rows))
-    constant = np.zeros(19)
-    constant[-1] = math.log((share + 1e-3) / (1 - share + 1e-3))
-    if len(texts[0]) < 10 or len(texts[1]) < 10:
-        return Model(b"", b"", constant)
-    contexts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for k, some in texts.items():
-        pairs = {p for t in some for p in pairwise(["", *_WORD.findall(t.lower())])}
-        for word, n in Counter(b for _, b in pairs).items():
-            for unit in units(word):
-                contexts[k][unit] += n
-    ratio = contexts[1].total() / max(1, contexts[0].total())
-    telling = {u: n for u, n in contexts[1].items() if n >= CONTEXTS and n - 2 * math.sqrt(n) > TIMES * (contexts[0][u] + 1) * ratio}
-    telling = {u: n for u, n in telling.items() if n >= SHARE * max(telling.values())}
-    samples = []
-    for t in texts[1]:
-        stems = [s for w in _WORD.findall(t.lower()) if (s := stem(w, telling))]
-        samples += [f" {' '.join(stems[i : i + 8])} ".encode() for i in range(0, len(stems), 8)]
-    plain = [w for t in texts[0] for w in windows(lowered(t), 256)]
-    model = Model(_dictionary(plain[:: max(1, len(plain) // 60_000)], ORDINARY_BYTES), _dictionary(samples, TOXIC_BYTES))
-    x = np.array([model.features(t) for t, _ in rows])
-    y = np.array([k for _, k in rows], float)
-    model.weights = logistic(_wider(x), y, ridge=1e-4)
-    return model
+def telling_units(rows: DataFrame) -> dict[str, int]:
+    """Contexts in toxic text of the words and beginnings that are significantly more widespread there, from rows
+    (text, label)."""
+
+    def contexts(batches):
+        for batch in batches:
+            label, before, word = [], [], []
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = _WORD.findall((t or "").lower())
+                pairs = set(zip(["", *words], words, strict=False))
+                label += [y] * len(pairs)
+                before += [a for a, _ in pairs]
+                word += [b for _, b in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(before, pa.string()), pa.array(word, pa.string())], names=["label", "before", "word"])
+            give_back()
+
+    seen = rows.select("text", "label").mapInArrow(contexts, "label int, before string, word string").distinct()
+    toxic = F.sum("label").cast("double")
+    per_word = seen.groupBy("word").agg(toxic.alias("toxic"), (F.count("*") - toxic).alias("plain"))
+    begin = F.when(
+        F.length("word") > LEAST,
+        F.transform(F.sequence(F.lit(LEAST), F.least(F.length("word") - 1, F.lit(LONGEST))), lambda n: F.concat(F.substring("word", F.lit(1), n), F.lit("-"))),
+    ).otherwise(F.array().cast("array<string>"))
+    unit = F.explode(F.concat(begin, F.when(F.length("word") >= SHORTEST, F.array("word")).otherwise(F.array().cast("array<string>")))).alias("unit")
+    counts = written(per_word.select("toxic", "plain", unit).groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")), "units")
+    n, in_toxic, in_plain = counts.agg(F.count(F.when(F.col("toxic") > 0, 1)), F.sum("toxic"), F.sum("plain")).first()
+    if not n or not in_plain:
+        return {}
+    expected = (F.col("plain") + 1) * F.lit(in_toxic / in_plain)
+    gain = F.col("toxic") * F.log(F.col("toxic") / expected) - (F.col("toxic") - expected)
+    found = counts.where((F.col("toxic") > TIMES * expected) & (gain >= math.log(n) + MARGIN))
+    return {r.unit: int(r.toxic) for r in found.select("unit", "toxic").collect()}
+
+
+def samples(rows: DataFrame, telling: dict[str, int], size: int = SAMPLES) -> tuple[list[bytes], list[bytes]]:
+    """Windows of ordinary text, and of what is telling in toxic text, from rows (text, label): at most ``size`` of each."""
+
+    def cut(batches):
+        for batch in batches:
+            out: dict[int, list[bytes]] = {0: [], 1: []}
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if y:
+                    stems = [x for w in _WORD.findall((t or "").lower()) if (x := stem(w, telling))]
+                    out[1] += [f" {' '.join(stems[i : i + 8])} ".encode() for i in range(0, len(stems), 8)]
+                else:
+                    out[0] += windows(lowered(t), 256)
+            every = [*out[0], *out[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([0] * len(out[0]) + [1] * len(out[1]), pa.int32())], names=["window", "label"])
+
+    made = written(rows.select("text", "label").mapInArrow(cut, "window binary, label int"), "windows")
+    # windows that recur are as many in the sample as they are among all
+    spread = F.xxhash64(F.monotonically_increasing_id(), "window")
+    return tuple([bytes(r[0]) for r in made.where(F.col("label") == k).orderBy(spread).limit(size).select("window").collect()] for k in (0, 1))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -172,19 +185,41 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``rows`` labelled documents of each class outside the held-out fold."""
-    known = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", F.col("toxic").alias("label")).dropDuplicates(["doc_id"])
+    """Learn from at most ``rows`` labelled documents of each class outside the held-out fold, whole texts of them.
+    Documents whose labels disagree teach nothing. With few of a class every text gets the share of toxic rows."""
+    text_batches(docs.sparkSession)
+    known = agreed(labels, "toxic").where(fold("doc_id", FOLDS) != HELD_OUT)
     picked = [bounded_sample(known.where(F.col("label") == k), "doc_id", rows) for k in (0, 1)]
     # At most 2 * rows ids are broadcast.
-    joined = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    got = bounded_sample(joined.where(F.col("text").isNotNull()), "doc_id", 2 * rows).select("text", "label").collect()
-    return train([(r[0], r[1]) for r in got])
+    joined = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id").where(F.col("text").isNotNull())
+    mine = written(joined.select("doc_id", "text", F.col("label").cast("int").alias("label")).repartition(32, "doc_id"), "labelled")
+    count = {r[0]: r[1] for r in mine.groupBy("label").count().collect()}
+    share = count.get(1, 0) / max(1, sum(count.values()))
+    constant = np.zeros(N_FEATURES + 1)
+    constant[-1] = math.log((share + 1e-3) / (1 - share + 1e-3))
+    if min(count.get(k, 0) for k in (0, 1)) < 10:
+        return Model(b"", b"", constant)
+    plain, toxic = samples(mine, telling_units(mine))
+    model = Model(_dictionary(plain, ORDINARY_BYTES), _dictionary(toxic, TOXIC_BYTES))
+    del plain, toxic
+    give_back()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def describe(batches):
+        for batch in batches:
+            x = [shared.value.features(t).tolist() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
+
+    got = mine.select("text", "label").mapInArrow(describe, "x array<double>, label int").orderBy("x", "label").limit(4 * rows).collect()
+    x = np.array([r[0] for r in got], float).reshape(len(got), N_FEATURES)
+    model.weights = logistic(x, np.array([r[1] for r in got], float), ridge=1e-4)
+    return model
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (higher: likelier toxic) and ``predicted``. Null and empty texts are scored as
-    texts without windows; whole texts are read; an empty table gives no rows; columns named score or
-    predicted are replaced."""
+    texts without windows; whole texts are read; repeated rows are alike; an empty table gives no rows; columns
+    named score or predicted are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batches):

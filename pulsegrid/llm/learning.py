@@ -12,6 +12,12 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds
 
 
+def agreed(labels: DataFrame, name: str) -> DataFrame:
+    """(doc_id, label) of the documents all of whose labels, of those that are 0 or 1, are the same."""
+    of_doc = labels.where(F.col(name).isin(0, 1)).groupBy("doc_id").agg(F.min(name).alias("label"), F.max(name).alias("other"))
+    return of_doc.where("label = other").select("doc_id", "label")
+
+
 def bounded_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """``n`` rows at most, by the order of a hash of ``key``: the same ones every time, spread over the table."""
     return rows.orderBy(F.xxhash64(key), key).limit(n)

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
 from pulsegrid.llm.common import with_columns_from_batches
-from pulsegrid.llm.learning import bounded_sample, fold, logistic, sigmoid
+from pulsegrid.llm.learning import agreed, bounded_sample, fold, logistic, sigmoid
 
 #: Labelled rows that pairs are made of, and preference pairs for each row.
 SAMPLE_ROWS, PAIRS = 10_000, 4
@@ -97,8 +97,9 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``rows`` labelled documents of each class outside the held-out fold."""
-    known = labels.where(F.col("quality").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", F.col("quality").alias("label")).dropDuplicates(["doc_id"])
+    """Learn from at most ``rows`` labelled documents of each class outside the held-out fold. Documents whose labels
+    disagree teach nothing."""
+    known = agreed(labels, "quality").where(fold("doc_id", FOLDS) != HELD_OUT)
     picked = [bounded_sample(known.where(F.col("label") == k), "doc_id", rows) for k in (0, 1)]
     # At most 2 * rows ids are broadcast.
     joined = docs.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
@@ -115,8 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (higher: likelier good) and ``predicted``. Null and empty texts are scored by the
-    features of an empty text; whole texts are read; an empty table gives no rows; columns named score or
-    predicted are replaced."""
+    features of an empty text; whole texts are read; repeated rows are alike; an empty table gives no rows; columns
+    named score or predicted are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batches):

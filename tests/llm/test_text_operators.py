@@ -14,7 +14,7 @@ from urllib.parse import quote
 import numpy as np
 import pytest
 
-from pulsegrid.llm import compression_toxicity, crf_language, pairwise_quality, pii, secret_scan, site_style_tree
+from pulsegrid.llm import compression_toxicity, crf_language, learning, pairwise_quality, pii, secret_scan, site_style_tree
 
 DOCS = "doc_id long, text string"
 
@@ -378,6 +378,9 @@ def test_quality(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.95
     none = pairwise_quality.quality_report(frame(spark, rows), labels.limit(0)).collect()
     assert len(none) == len(rows) and len({r.score for r in none}) == 1
+    clash = pairwise_quality.with_scores(frame(spark, [(1, "a", "x")], f"{DOCS}, score string"), pairwise_quality.fit(frame(spark, rows), labels))
+    assert clash.columns == ["doc_id", "text", "score", "predicted"] and isinstance(clash.first().score, float)
+    assert pairwise_quality.quality_report(frame(spark, []), labels).count() == 0
 
 
 def test_toxicity(spark):
@@ -391,8 +394,9 @@ def test_toxicity(spark):
         return " ".join(words)
 
     rows = [(i, toxic() if i % 4 == 0 else prose("aa", rng.randrange(20, 80), rng)) for i in range(500)] + [(900, None), (901, ""), (902, prose("aa", 30_000, rng)), (8, toxic())]
-    labels = frame(spark, [(i, 1, int(i % 4 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
-    got = compression_toxicity.toxicity_report(frame(spark, rows), labels).collect()
+    labels = frame(spark, [(i, 1, int(i % 4 == 0)) for i in range(500)] + [(i, 1, 1) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in learning.agreed(labels, "toxic").collect()} == set(range(500)) - {1, 2, 3}
+    got = compression_toxicity.toxicity_report(frame(spark, [(*r, "x") for r in rows], f"{DOCS}, score string"), labels).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     held = [(r.predicted, int(r.doc_id % 4 == 0)) for r in got if r.held_out and r.doc_id < 500]
     assert sum(a == b for a, b in held) / len(held) > 0.95
@@ -403,7 +407,7 @@ def test_toxicity(spark):
 @pytest.mark.parametrize("word", ["abc", "abcd", "abcdefghijklmnop"])
 def test_units(word):
     got = compression_toxicity.units(word)
-    assert (word in got) == (len(word) >= 4) and all(word.startswith(u.rstrip("-")) for u in got)
+    assert word in got and all(word.startswith(u.rstrip("-")) for u in got)
 
 
 def test_windows_are_the_text():

@@ -6,8 +6,9 @@
    parts, from the first part on until they outnumber that by ``NEED``: so many keys any two linked sets have
    in common, whichever of them gives fewer. Sets near a border give keys of the class below as well.
 3. Keys that two sets share make the candidate graph (each set to the smallest set of its key), whose
-   components are the groups that can hold a link: no link crosses groups. Sets that share fewer keys than a
-   link takes are left out of it, such as those with only a passage in common. Keys travel once.
+   components are the groups that can hold a link. A set stands in the graph once in the band of its size and once
+   in the next one, so that linked sets meet and unlike sizes don't chain. Sets that share fewer keys than a link
+   takes are left out of it, such as those with only a passage in common. Keys travel once.
 4. Sets meet in their group, a group larger than ``BLOCK`` sets in blocks: each block is joined within itself
    and with the group's first one. Only the sets that are then outside the group's largest class meet all its
    blocks, so that a large group of near copies is not joined pair by pair of its blocks. In a task, a tree's
@@ -21,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +33,13 @@ WORDS, PERCENT = 3, 90
 #: Sets that one task holds of each side.
 BLOCK = 512
 #: Keys that linked sets share, at most, and the codes that one of them takes.
-NEED, PER_NEED = 8, 8
+NEED, PER_NEED = 64, 3
+#: Times that sets with too few shared keys are taken out, which may leave keys unshared; more only spare work.
+ROUNDS = 2
 BITS = 2048
 LEAF, FAN = 8, 8
 #: Ratio of the sizes that bound a class.
-STEP = 0.5
+STEP = 0.7
 
 
 def shingles(word: np.ndarray, n: int) -> np.ndarray:
@@ -310,7 +313,7 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
 
 
 def _keyed(slim: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (key, code, need) of all sets, each set once in a task."""
+    """Rows (key, code, mark) of all sets, each set once in a task; ``mark``: band of the size, then ``need`` in 8 bits."""
 
     def show(batches):
         done = set()
@@ -323,10 +326,11 @@ def _keyed(slim: DataFrame, words: int, percent: int) -> DataFrame:
                         new.append((code, s))
                 row, key, need = keys_and_needs([s for _, s in new], percent)
                 code = np.array([c for c, _ in new], np.int64)[row]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "code": pa.array(code), "need": pa.array(need)})
+                band = _band(np.array([len(s) for _, s in new], np.int64), percent)[row].astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "code": pa.array(code), "mark": pa.array(need + (band << 8))})
             give_back()
 
-    return slim.select("text").mapInArrow(show, "key long, code long, need int")
+    return slim.select("text").mapInArrow(show, "key long, code long, mark int")
 
 
 def _shared(shown: DataFrame) -> DataFrame:
@@ -336,27 +340,43 @@ def _shared(shown: DataFrame) -> DataFrame:
     return both.where("low < high").drop("high")
 
 
+def _band(size: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of sizes: the sizes of two linked sets are in one band or in neighbouring ones."""
+    return np.floor(np.log(size) / np.log(100 / percent) + 1e-6).astype(np.int64)
+
+
+def _node(code: str, band) -> Column:
+    return F.xxhash64(code, band)
+
+
 def _candidates(slim: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of set codes that join each set to the other sets that it may link with.
+    """Pairs (a, b) of nodes that join each set, in a band, to the other sets that it may link with there.
 
     A set with fewer shared keys than it needs for any link leaves first, so that sets that have only a passage
     in common do not chain groups together.
     """
-    left = _shared(_keyed(slim, words, percent))
+    shared = _shared(_keyed(slim, words, percent))
+    band = F.shiftright("mark", 8)
+    both = shared.select("key", "code", F.col("mark").bitwiseAND(255).alias("need"), F.explode(F.array(band, band + 1)).alias("band"))
+    left = _shared(both.select(F.xxhash64("key", "band").alias("key"), _node("code", F.col("band")).alias("code"), "need"))
     own = Window.partitionBy("code", "need")
-    able = left.withColumn("n", F.count("*").over(own)).where(F.col("n") >= F.shiftright("need", 1)).select("key", "code")
+    for _ in range(ROUNDS):
+        able = left.drop("low").withColumn("n", F.count("*").over(own)).where(F.col("n") >= F.shiftright("need", 1)).drop("n")
+        left = _shared(able)
     # by set, so that a task's stars hold each set once and few others
-    return contracted(_shared(able).where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).repartition("a"))
+    return contracted(left.where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).repartition("a"))
 
 
 def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """Links found in the groups, as pairs (a, b) of set codes."""
     # A set's text comes from one of its rows; rows that share an id are told apart by the set's code later.
     row = F.xxhash64("doc_id").alias("row")
-    named = groups.select(F.col("node").alias("code"), F.col("root").alias("group"))
-    of_row = seen.where("code <> 0").select("code", row).groupBy("code").agg(F.min("row").alias("row"))
+    of_row = seen.where("code <> 0").select("code", "n_shingles", row).groupBy("code").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
+    band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-6).cast("int")
+    nodes = of_row.select("code", "row", F.explode(F.array(band, band + 1)).alias("band")).select("code", "row", _node("code", F.col("band")).alias("node"))
+    named = groups.withColumnRenamed("root", "group").join(nodes, "node").select("group", "code", "row")
     sizes = named.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = named.join(of_row, "code").join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    dealt = named.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
     dealt = written(dealt, "members")
     wanted = bitmap(dealt, "row")
 

@@ -6,8 +6,8 @@
    parts, from the first part on until they outnumber that by ``NEED``: so many keys any two linked sets have
    in common, whichever of them gives fewer. Sets near a border give keys of the class below as well.
 3. Keys that two sets share make the candidate graph (each set to the smallest set of its key), whose
-   components are the groups that can hold a link. A set stands in the graph once in the band of its size and once
-   in the next one, so that linked sets meet and unlike sizes don't chain. Sets that share fewer keys than a link
+   components are the groups that can hold a link. The graph has a part for each pair of neighbouring bands of
+   sizes: linked sets meet in one of them, and unlike sizes don't chain. Sets that share fewer keys than a link
    takes are left out of it, such as those with only a passage in common. Keys travel once.
 4. Sets meet in their group, a group larger than ``BLOCK`` sets in blocks: each block is joined within itself
    and with the group's first one. Only the sets that are then outside the group's largest class meet all its
@@ -33,13 +33,11 @@ WORDS, PERCENT = 3, 90
 #: Sets that one task holds of each side.
 BLOCK = 512
 #: Keys that linked sets share, at most, and the codes that one of them takes.
-NEED, PER_NEED = 64, 3
-#: Times that sets with too few shared keys are taken out, which may leave keys unshared; more only spare work.
-ROUNDS = 2
+NEED, PER_NEED = 32, 3
 BITS = 2048
 LEAF, FAN = 8, 8
 #: Ratio of the sizes that bound a class.
-STEP = 0.7
+STEP = 0.6
 
 
 def shingles(word: np.ndarray, n: int) -> np.ndarray:
@@ -333,38 +331,52 @@ def _keyed(slim: DataFrame, words: int, percent: int) -> DataFrame:
     return slim.select("text").mapInArrow(show, "key long, code long, mark int")
 
 
-def _shared(shown: DataFrame) -> DataFrame:
-    """The rows of ``shown`` whose key several sets have, with ``low``, the smallest of these sets' codes."""
-    same = Window.partitionBy("key")
-    both = shown.withColumns({"low": F.min("code").over(same), "high": F.max("code").over(same)})
-    return both.where("low < high").drop("high")
-
-
 def _band(size: np.ndarray, percent: int) -> np.ndarray:
     """Bands of sizes: the sizes of two linked sets are in one band or in neighbouring ones."""
     return np.floor(np.log(size) / np.log(100 / percent) + 1e-6).astype(np.int64)
 
 
-def _node(code: str, band) -> Column:
-    return F.xxhash64(code, band)
+def _node(code: str, pair) -> Column:
+    """A set in a pair of neighbouring bands, which the lower one names."""
+    return F.xxhash64(code, pair)
 
 
 def _candidates(slim: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes that join each set, in a band, to the other sets that it may link with there.
+    """Pairs (a, b) of nodes that join each set, in a pair of bands, to the other sets that it may link with there.
 
     A set with fewer shared keys than it needs for any link leaves first, so that sets that have only a passage
     in common do not chain groups together.
     """
-    shared = _shared(_keyed(slim, words, percent))
-    band = F.shiftright("mark", 8)
-    both = shared.select("key", "code", F.col("mark").bitwiseAND(255).alias("need"), F.explode(F.array(band, band + 1)).alias("band"))
-    left = _shared(both.select(F.xxhash64("key", "band").alias("key"), _node("code", F.col("band")).alias("code"), "need"))
-    own = Window.partitionBy("code", "need")
-    for _ in range(ROUNDS):
-        able = left.drop("low").withColumn("n", F.count("*").over(own)).where(F.col("n") >= F.shiftright("need", 1)).drop("n")
-        left = _shared(able)
+    band, need = F.shiftright("mark", 8), F.col("mark").bitwiseAND(255)
+    keyed = _keyed(slim, words, percent).select("key", "code", band.alias("band"), need.alias("need"))
+    # The pair of bands from a set's own one up is for links within it and with the next one, the pair from the one
+    # below for links with that one only.
+    near = Window.partitionBy("key").orderBy("band")
+    own, above, below = (near.rangeBetween(k, k) for k in (0, 1, -1))
+    up = (F.min("code").over(own) < F.max("code").over(own)) | (F.count("*").over(above) > 0)
+    shared = keyed.withColumns({"up": up.cast("int"), "down": (F.count("*").over(below) > 0).cast("int")}).where("up + down > 0")
+    mine = Window.partitionBy("code", "need")
+    least = F.shiftright("need", 1)
+    counted = shared.withColumns({"n_up": F.sum("up").over(mine), "n_down": F.sum("down").over(mine)})
+    pair = F.explode(
+        F.concat(
+            F.when((F.col("up") > 0) & (F.col("n_up") >= least), F.array("band")).otherwise(F.array().cast("array<int>")),
+            F.when((F.col("down") > 0) & (F.col("n_down") >= least), F.array(F.col("band") - 1)).otherwise(F.array().cast("array<int>")),
+        )
+    ).alias("pair")
+    paired = counted.select("key", "code", "need", pair)
+    left = _shared(paired.select(F.xxhash64("key", "pair").alias("key"), _node("code", F.col("pair")).alias("code"), "need"))
+    able = left.drop("low").withColumn("n", F.count("*").over(mine)).where(F.col("n") >= least).select("key", "code")
+    edges = _shared(able).where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b"))
     # by set, so that a task's stars hold each set once and few others
-    return contracted(left.where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b")).repartition("a"))
+    return contracted(contracted(edges).repartition("a"))
+
+
+def _shared(shown: DataFrame) -> DataFrame:
+    """The rows of ``shown`` whose key several sets have, with ``low``, the smallest of these sets' codes."""
+    same = Window.partitionBy("key")
+    both = shown.withColumns({"low": F.min("code").over(same), "high": F.max("code").over(same)})
+    return both.where("low < high").drop("high")
 
 
 def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
@@ -373,7 +385,7 @@ def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, perc
     row = F.xxhash64("doc_id").alias("row")
     of_row = seen.where("code <> 0").select("code", "n_shingles", row).groupBy("code").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-6).cast("int")
-    nodes = of_row.select("code", "row", F.explode(F.array(band, band + 1)).alias("band")).select("code", "row", _node("code", F.col("band")).alias("node"))
+    nodes = of_row.select("code", "row", F.explode(F.array(band, band - 1)).alias("pair")).select("code", "row", _node("code", F.col("pair")).alias("node"))
     named = groups.withColumnRenamed("root", "group").join(nodes, "node").select("group", "code", "row")
     sizes = named.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = named.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,22 +19,24 @@ STATS = ("count", "avg", "min", "max", "p50", "p90", "p99", "increase")
 OPS = (">", ">=", "<", "<=")
 OK, PENDING, FIRING, NODATA = "ok", "pending", "firing", "nodata"
 
-RULE_SCHEMA = "name string, metric string, stat string, op string, value double, window_ms long, for_ms long"
+RULE_SCHEMA = "name string, metric string, stat string, op string, value double, window_ms double, for_ms double"
 STATE_SCHEMA = "rule string, metric string, state string, value double, since long"
+FIELDS = frozenset(("name", "metric", "stat", "op", "value", "window", "for"))
 MAX_RULES_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``window_ms`` 0 is the whole window; ``for_ms`` is how long a breach waits before it fires."""
+    """``window_ms`` 0 is the whole window; ``for_ms`` is how long a breach waits before it fires. Parts of a
+    millisecond count."""
 
     name: str
     metric: str
     stat: str
     op: str
     value: float
-    window_ms: int = 0
-    for_ms: int = 0
+    window_ms: float = 0.0
+    for_ms: float = 0.0
 
 
 def validate(rules: Iterable[Rule], config: Config = DEFAULT) -> list[Rule]:
@@ -57,38 +59,45 @@ def validate(rules: Iterable[Rule], config: Config = DEFAULT) -> list[Rule]:
     return out
 
 
+def _no_constant(text: str):
+    raise ValueError(f"invalid value {text}")
+
+
 def load(body: bytes, config: Config = DEFAULT) -> list[Rule]:
-    """Rules from a JSON array; unknown keys, data after it and bodies over the limit are errors."""
+    """Rules from a JSON array; unknown keys, data after it and bodies over the limit are errors. Keys match whatever
+    their ASCII case, the last of equal ones counts, and null leaves a field as it is."""
     if len(body) > MAX_RULES_BYTES:
         raise ValueError("rules are too large")
-    found = json.loads(body)
+    found = json.loads(body, parse_constant=_no_constant)
     if not isinstance(found, list):
         raise ValueError("rules must be an array")
     out = []
     for r in found:
         if not isinstance(r, dict):
             raise ValueError("a rule must be an object")
-        unknown = set(r) - {"name", "metric", "stat", "op", "value", "window", "for"}
+        r = {k.lower() if k.isascii() else k: v for k, v in r.items() if v is not None or k.lower() not in FIELDS}
+        unknown = set(r) - FIELDS
         if unknown:
             raise ValueError(f"unknown field {sorted(unknown)[0]!r}")
         if any(not isinstance(r.get(k, ""), str) for k in ("name", "metric", "stat", "op", "window", "for")):
             raise ValueError("a rule's texts must be strings")
         if isinstance(r.get("value", 0), bool) or not isinstance(r.get("value", 0), (int, float)):
             raise ValueError("value must be a number")
-        ms = [durations.parse(r[k]) // 10**6 if r.get(k) else 0 for k in ("window", "for")]
+        ms = [durations.parse(r[k]) / 1e6 if r.get(k) else 0.0 for k in ("window", "for")]
         out.append(Rule(r.get("name", ""), r.get("metric", ""), r.get("stat", ""), r.get("op", ""), float(r.get("value", 0)), *ms))
     return validate(out, config)
 
 
 def default_rules(config: Config = DEFAULT) -> list[Rule]:
-    """The rules that hold where no others are given."""
+    """The rules that hold where no others are given; one of them depends on the cap on names."""
     own = config.reserved_prefix
+    # Fixed values.
     return [
-        Rule("cpu-hot", "cpu", "avg", ">", 0.8, 0, 60_000),
-        Rule("cpu-spike", "cpu", "max", ">", 0.95),
-        Rule("slow-requests", "latency", "p99", ">", 500.0),
-        Rule("server-shedding", f"{own}requests.shed", "increase", ">", 0.0),
-        Rule("cardinality-pressure", f"{own}events.refused", "increase", ">", 0.0),
+        Rule("cpu-hot", "cpu.load", "avg", ">", 0.9, 30_000, 20_000),
+        Rule("cpu-spike", "cpu.load", "max", ">", 0.99),
+        Rule("slow-requests", "http.latency_ms", "p99", ">", 500.0, 0, 20_000),
+        Rule("server-shedding", f"{own}requests.shed", "increase", ">", 0.0, 0, 30_000),
+        Rule("cardinality-pressure", f"{own}metrics", "max", ">", 0.8 * config.shards * config.names_per_shard, 0, 30_000),
     ]
 
 
@@ -97,7 +106,8 @@ def watches_itself(rules: Iterable[Rule], config: Config = DEFAULT) -> bool:
 
 
 def rules_frame(spark: SparkSession, rules: Iterable[Rule]) -> DataFrame:
-    return spark.createDataFrame([tuple(asdict(r).values()) for r in rules], RULE_SCHEMA)
+    rows = [tuple(asdict(replace(r, value=float(r.value), window_ms=float(r.window_ms), for_ms=float(r.for_ms))).values()) for r in rules]
+    return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
 def breached(value: Column, op: Column, limit: Column) -> Column:
@@ -107,14 +117,17 @@ def breached(value: Column, op: Column, limit: Column) -> Column:
 def evaluate(rules: DataFrame, table: DataFrame, rows: DataFrame, ticks: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Per tick (``now_ms``) and rule: value and outcome (ok, firing as soon as breached, or nodata with value 0).
 
-    A rule's window decides which buckets it reads, so the join is on the metric with a bound on the bucket.
+    A rule's window decides which buckets it reads, so the join is on the metric with bounds on the bucket: from
+    the cutoff to what may be there by the tick, so that a replay sees at each tick what was there then.
     Rules and ticks are small by nature (a rules file is bounded, ticks are one batch of clock readings)."""
-    width = F.lit(config.bucket_s * 1000).cast("long")
+    width = F.lit(config.bucket_s * 1000)
     start = F.col("now_ms") - F.when(F.col("window_ms") == 0, config.window_s * 1000).otherwise(F.col("window_ms"))
-    asked = rules.join(ticks.select("now_ms").distinct()).withColumn("cut", ((start - F.pmod(start, width)) / 1000).cast("long"))
-    asked = asked.select(F.col("name").alias("rule"), "metric", "stat", "op", F.col("value").alias("limit"), "for_ms", "now_ms", "cut")
+    asked = rules.join(ticks.select("now_ms").distinct()).withColumn("cut", (F.floor(start / width) * config.bucket_s).cast("long"))
+    last = F.floor((F.col("now_ms") + config.future_ms) / 1000).cast("long").alias("last")
+    asked = asked.select(F.col("name").alias("rule"), "metric", "stat", "op", F.col("value").alias("limit"), "for_ms", "now_ms", "cut", last)
     keys = ["rule", "now_ms"]
-    bound = lambda t: asked.select("rule", "now_ms", "metric", "cut").join(t, (F.col("metric") == t["name"]) & (t["bucket_start"] >= F.col("cut")))
+    reads = asked.select("rule", "now_ms", "metric", "cut", "last")
+    bound = lambda t: reads.join(t, (F.col("metric") == t["name"]) & (t["bucket_start"] >= F.col("cut")) & (t["bucket_start"] <= F.col("last")))
     whole = bound(table).groupBy(*keys).agg(
         F.sum("count").alias("count"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max")
     )
@@ -129,7 +142,7 @@ def evaluate(rules: DataFrame, table: DataFrame, rows: DataFrame, ticks: DataFra
     return out.select("rule", "metric", "for_ms", "now_ms", value.alias("value"), outcome.alias("outcome"))
 
 
-def step(state: str, since: int, outcome: str, now_ms: int, for_ms: int) -> tuple[str, int]:
+def step(state: str, since: int, outcome: str, now_ms: int, for_ms: float) -> tuple[str, int]:
     """The state after a tick. A fresh breach waits, pending, until it has lasted ``for_ms``."""
     after = outcome
     if outcome == FIRING and state != FIRING:
@@ -155,7 +168,7 @@ def replay(outcomes: DataFrame, began_ms: int, states: DataFrame | None = None)
         out = []
         for outcome, now, wait in zip(pdf["outcome"], pdf["now_ms"], pdf["for_ms"], strict=True):
             before = state
-            state, since = step(state, since, outcome, int(now), int(wait))
+            state, since = step(state, since, outcome, int(now), float(wait))
             out.append((state, since, announced(before, state)))
         return pdf[["rule", "metric", "now_ms", "value"]].assign(state=[o[0] for o in out], since=[o[1] for o in out], announce=[o[2] for o in out])
 

@@ -94,9 +94,15 @@ def increase() -> Column:
     return F.col("max") - F.col("min")
 
 
-def live(table: DataFrame, cut: int) -> DataFrame:
-    """Rows of buckets from the cutoff on; the window is open above."""
-    return table.where(F.col("bucket_start") >= F.lit(cut).cast("long"))
+def latest(now_ms: int, config: Config = DEFAULT) -> int:
+    """Start, in seconds, beyond which no bucket can be by ``now_ms``: events may be ahead by the slack only."""
+    return (now_ms + config.future_ms) // 1000
+
+
+def live(table: DataFrame, cut: int, last: int | None = None) -> DataFrame:
+    """Rows of buckets from the cutoff on, and up to ``last``, so that what came later does not tell on the past."""
+    kept = table.where(F.col("bucket_start") >= F.lit(cut).cast("long"))
+    return kept if last is None else kept.where(F.col("bucket_start") <= F.lit(last).cast("long"))
 
 
 def sweep(registry: DataFrame, buckets: DataFrame, now_ms: int, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -110,7 +110,7 @@ def stats(registry: DataFrame, table: DataFrame, rows: DataFrame, req: Request,
     Names are chosen first; at most ``max_limit`` of them are broadcast, and buckets of others are not merged."""
     names = F.broadcast(selected(registry, req))
     cut = cutoff(req, now_ms, config)
-    pick = lambda t: _of_names(B.live(t, cut), req).join(names, "name", "left_semi")
+    pick = lambda t: _of_names(B.live(t, cut, B.latest(now_ms, config)), req).join(names, "name", "left_semi")
     return B.statistics(pick(table), pick(rows), ["name"])
 
 
@@ -119,7 +119,7 @@ def series(registry: DataFrame, table: DataFrame, rows: DataFrame, req: Request,
     if not req.names:
         raise ValueError("name is required")
     cut = cutoff(req, now_ms, config)
-    pick = lambda t: _of_names(B.live(t, cut), req).withColumnRenamed("bucket_start", "start")
+    pick = lambda t: _of_names(B.live(t, cut, B.latest(now_ms, config)), req).withColumnRenamed("bucket_start", "start")
     return B.statistics(pick(table), pick(rows), ["name", "start"]).orderBy("name", "start")
 
 

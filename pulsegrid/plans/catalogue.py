@@ -6,7 +6,6 @@ window a day, and the clock stands at midnight after the last day.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,17 +36,6 @@ def _tidy(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in floats})
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-pulsegrid-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/pulsegrid/{uuid.uuid4().hex}"
-
-
 def bucket_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(buckets.fold(tables.user_events(spark, sf_dir), GRID))
 
@@ -110,7 +98,7 @@ def series_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counter_increase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = buckets.live(buckets.fold(tables.user_events(spark, sf_dir), WEEK), buckets.cutoff(NOW, WEEK.window_s, WEEK))
+    merged = buckets.live(buckets.fold(tables.user_events(spark, sf_dir), WEEK), buckets.cutoff(NOW, WEEK.window_s, WEEK), buckets.latest(NOW, WEEK))
     whole = merged.groupBy("name").agg(F.min("min").alias("min"), F.max("max").alias("max"))
     return _tidy(whole.select("name", buckets.increase().alias("increase")))
 
@@ -243,7 +231,7 @@ def size_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, table, rows = _store(tables.user_events(spark, sf_dir), MONTH)
-    folder = shared_folder(spark)
+    folder = tables.shared_folder(spark)
     snapshots.write(table, rows, folder, NOW, MONTH)
     return _tidy(snapshots.restore(spark, folder, NOW, MONTH)[0])
 
@@ -254,9 +242,9 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     # As a pattern, the path may be a file or a folder of files.
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
     events = tables._named(raw, F.concat(F.lit("user."), F.col("user_id").cast("string")))
-    folder = shared_folder(spark)
+    folder = tables.shared_folder(spark)
     jobs.ingest(events, f"{folder}/store", f"{folder}/checkpoint", lambda _: NOW, MONTH).awaitTermination()
-    return _tidy(jobs.stored(spark, f"{folder}/store")[0])
+    return _tidy(jobs.stored(spark, f"{folder}/store", MONTH)[0])
 
 
 def reading_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,19 +266,35 @@ def self_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.counters(_judged(spark, sf_dir))
 
 
-def decode_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies of a hundred events each, one of which breaks off: decoded and folded."""
+def _bodies(spark: SparkSession, sf_dir: str, kept) -> DataFrame:
+    """Bodies of the events that ``kept`` chooses, by hundreds; an event in some of them breaks off."""
     events = tables.service_events(spark, sf_dir)
     text = F.format_string('{"NAME":"%s", "value":%s,\n "ts":%d, "x":[1,{"y":null}]}', "name", F.col("value").cast("string"), "ts")
     text = F.when(F.col("event_id") % 1000 == 550, '{"name":').otherwise(text)
-    rows = events.select(F.floor(F.col("event_id") / 100).cast("long").alias("b"), F.struct("event_id", text.alias("text")).alias("e"))
+    shown = F.when(kept, F.struct("event_id", text.alias("text")))
+    rows = events.select(F.floor(F.col("event_id") / 100).cast("long").alias("b"), shown.alias("e"))
     bodies = rows.groupBy("b").agg(F.sort_array(F.collect_list("e")).alias("l"))
-    bodies = bodies.select(F.col("b").cast("string").alias("body_id"), F.concat_ws("\n", F.transform("l", lambda e: e["text"])).alias("body"))
-    return decoder.decode_bodies(bodies).groupBy("body_id").agg(
+    return bodies.select(F.col("b").cast("string").alias("body_id"), F.concat_ws("\n", F.transform("l", lambda e: e["text"])).alias("body"))
+
+
+def decode_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of a hundred events each, one of which breaks off: decoded and folded."""
+    return decoder.decode_bodies(_bodies(spark, sf_dir, F.lit(True))).groupBy("body_id").agg(
         F.count_if(~F.col("fatal")).alias("events"), F.count_if("fatal").alias("broken"), F.round(F.sum("value"), 6).alias("total")
     )
 
 
+def batch_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What bodies are answered: empty ones, ones with too many events, ones that break off, and whole ones."""
+    body, at = F.floor(F.col("event_id") / 100), F.col("event_id") % 100
+    bodies = _bodies(spark, sf_dir, (body % 7 != 3) & (at < 80 + 10 * (body % 3)))
+    config = replace(WEEK, max_batch_events=90)
+    judged = validation.verdicts(decoder.decode_bodies(bodies, config), NOW, config)
+    out = validation.batch_responses(judged, bodies, ["body_id"], config)
+    kind = F.when(F.col("fatal").startswith("event"), "broken").when(F.col("fatal").startswith("more"), "too many").when(F.col("fatal").startswith("empty"), "empty")
+    return out.select("body_id", "accepted", "rejected", kind.alias("fatal"), "status", "retry_after")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -298,7 +302,7 @@ QUERIES = {
         stats_by_prefix, stats_page_after, stats_meta, quantiles_user_topk, series_by_name, counter_increase, validate_reasons,
         batch_summary, batch_first_errors, shard_assignment, cap_admission, admission_fold, client_rate, query_cost, query_budget,
         alerts_eval, alerts_replay, alerts_filter_page, alerts_reload, sweep_effect, size_gauges, snapshot_roundtrip,
-        stream_equals_batch, reading_invariants, exactness, self_counters, decode_batch,
+        stream_equals_batch, reading_invariants, exactness, self_counters, decode_batch, batch_status,
     )
 }
 

@@ -27,8 +27,8 @@ c AS (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY ord) AS cum, sum(n) OV
 q AS (SELECT {keys}, {", ".join(f"min_by(v, ord) FILTER (cum > least(CAST(trunc(CAST({p} AS DOUBLE) * CAST(tot AS DOUBLE)) AS BIGINT), tot - 1)) AS {a}" for a, p in (("p50", 0.5), ("p90", 0.9), ("p99", 0.99)))} FROM c GROUP BY ALL)"""
 
 
-def _stats(events: str, cut: int, names: str = "true", keys: str = "name", shown: str = "") -> str:
-    return f"""WITH {_sketch(events, keys, f"bucket_start >= {cut} AND ({names})")},
+def _stats(events: str, cut: int, names: str = "true", keys: str = "name", shown: str = "", now: int = NOW) -> str:
+    return f"""WITH {_sketch(events, keys, f"bucket_start BETWEEN {cut} AND {(now + HOUR * 1000) // 1000} AND ({names})")},
 m AS (SELECT {keys}, count(*) AS count, avg(value) AS avg, min(value) AS min, max(value) AS max FROM e GROUP BY ALL)
 SELECT {shown or keys}, CAST(m.count AS BIGINT) AS count, {", ".join(f"round({t}.{a} + 1e-9, 6) AS {a}" for t, a in (("m", "avg"), ("m", "min"), ("m", "max"), ("q", "p50"), ("q", "p90"), ("q", "p99")))}
 FROM m JOIN q USING ({keys})"""
@@ -61,7 +61,7 @@ RULES = """(VALUES ('click-average', 'svc.click', 'avg', '>', 50.0, 86400000, 72
 
 def _outcomes(ticks: str) -> str:
     """Common tables up to ``oc``: rule, metric, now_ms, wait, value, outcome."""
-    joined = f"""SELECT a.rule, a.now_ms, b.value, b.ts FROM a JOIN ({SVC}) b ON b.name = a.metric AND {_bucket()} >= a.cut"""
+    joined = f"""SELECT a.rule, a.now_ms, b.value, b.ts FROM a JOIN ({SVC}) b ON b.name = a.metric AND {_bucket()} BETWEEN a.cut AND (a.now_ms + {HOUR * 1000}) // 1000"""
     return f"""a AS (SELECT rule, metric, stat, op, lim, wait, now_ms, ((now_ms - win) - (now_ms - win) % {HOUR * 1000}) // 1000 AS cut FROM {RULES}, ({ticks}) t),
 {_sketch(joined, "rule, now_ms").strip()},
 m AS (SELECT rule, now_ms, count(*) AS cnt, avg(value) AS av, min(value) AS mn, max(value) AS mx FROM e GROUP BY ALL),
@@ -99,7 +99,7 @@ g AS (SELECT name, bucket_start, sign, idx, count(*) AS n, row_number() OVER (PA
 k AS (SELECT *, min(idx) FILTER (r <= 16) OVER (PARTITION BY name, bucket_start, sign) AS low FROM g)
 SELECT name, bucket_start, sign, greatest(idx, low) AS idx, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1, 2, 3, 4""",
     "stats_window": _stats(SVC, _cut(NOW, DAY)),
-    "stats_short_window": _stats(USER, _cut(EARLIER, 90.5 * 3600), f"name IN (SELECT DISTINCT name FROM ({USER}) ORDER BY name LIMIT 1000)"),
+    "stats_short_window": _stats(USER, _cut(EARLIER, 90.5 * 3600), f"name IN (SELECT DISTINCT name FROM ({USER}) ORDER BY name LIMIT 1000)", now=EARLIER),
     "stats_by_name": _stats(USER, MONTHLY, "name IN ('user.3', 'user.7', 'user.none')"),
     "stats_by_prefix": _stats(USER, MONTHLY, f"name IN (SELECT DISTINCT name FROM ({USER}) WHERE starts_with(name, 'user.1') ORDER BY name LIMIT 1000)"),
     "stats_page_after": _stats(USER, MONTHLY, f"name IN (SELECT DISTINCT name FROM ({USER}) WHERE name > 'user.12' ORDER BY name LIMIT 40)"),
@@ -145,4 +145,15 @@ UNION ALL SELECT 'events.rejected', CAST(count(*) FILTER (error IS NOT NULL) AS
     "decode_batch": f"""WITH b AS (SELECT event_id // 100 AS b, event_id, value, min(CASE WHEN event_id % 1000 = 550 THEN event_id END) OVER (PARTITION BY event_id // 100) AS stop FROM ({SVC}))
 SELECT CAST(b AS VARCHAR) AS body_id, CAST(count(*) FILTER (stop IS NULL OR event_id < stop) AS BIGINT) AS events,
   CAST(count(DISTINCT stop) AS BIGINT) AS broken, round(sum(CASE WHEN stop IS NULL OR event_id < stop THEN value ELSE 0 END), 6) AS total FROM b GROUP BY b""",
+    "batch_status": f"""WITH e AS (SELECT event_id // 100 AS b, event_id % 100 AS k, ts, event_id % 1000 = 550 AS stop,
+  (event_id // 100) % 7 <> 3 AND event_id % 100 < 80 + 10 * ((event_id // 100) % 3) AS there FROM ({SVC})),
+f AS (SELECT b, count(*) FILTER (there) AS n, min(k) FILTER (there AND stop) AS broken FROM e GROUP BY b),
+c AS (SELECT b, count(*) FILTER (good) AS accepted, count(*) FILTER (NOT good) AS rejected FROM (
+  SELECT e.b, e.ts BETWEEN {NOW - WEEK * 1000} AND {NOW + 3_600_000} AS good,
+    row_number() OVER (PARTITION BY e.b ORDER BY k) AS r, k, broken FROM e JOIN f USING (b) WHERE there)
+  WHERE r <= 90 AND (broken IS NULL OR k < broken) GROUP BY b)
+SELECT CAST(f.b AS VARCHAR) AS body_id, CAST(coalesce(accepted, 0) AS BIGINT) AS accepted, CAST(coalesce(rejected, 0) AS BIGINT) AS rejected,
+  CASE WHEN n = 0 THEN 'empty' WHEN broken IS NOT NULL THEN 'broken' WHEN n > 90 THEN 'too many' END AS fatal,
+  CASE WHEN n = 0 OR broken IS NOT NULL THEN 400 WHEN n > 90 THEN 413 WHEN accepted > 0 THEN 200 ELSE 400 END AS status,
+  CAST(NULL AS INTEGER) AS retry_after FROM f LEFT JOIN c USING (b)""",
 }

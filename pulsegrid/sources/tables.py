@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,15 @@ def generated(spark: SparkSession, rows: int, names: int, now_ms: int, bad_perce
         (i % 10 + 1).cast("double").alias("value"),
         F.when(kind == 1, 0).when(kind == 2, late).when(kind == 3, early).otherwise(F.lit(now_ms) - (i % config.window_s) * 1000).cast("long").alias("ts"),
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``. Where that is unset, a local one will do for a local session, as in
+    tests; on a cluster other machines would not see it, so that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-pulsegrid-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/pulsegrid/{uuid.uuid4().hex}"

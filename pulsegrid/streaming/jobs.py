@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulsegrid.config import DEFAULT, Config
 from pulsegrid.functions import columns as C
+from pulsegrid.operators import admission
 from pulsegrid.operators import alerts as A
 from pulsegrid.operators import buckets as B
 from pulsegrid.operators import validation as V
@@ -47,15 +49,36 @@ def ingest(
     checkpoint: str,
     clock: Callable[[int], int],
     config: Config = DEFAULT,
+    seq: str | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Validate and fold each micro-batch against one clock reading, and write it as a part of the store.
 
+    With ``seq``, the order of arrival, valid events must also be admitted: by the cap on names, and by their
+    clients' rates where they have ``client`` and ``arrived``. The names there are those with a live bucket in
+    earlier parts, so that names which have aged out make room.
+
     Parts are keyed by batch id and written over, so a batch that is run again after a failure counts once;
     ``stored`` merges them. ``clock`` gives the milliseconds now for a batch id."""
 
+    def admitted(good: DataFrame, now_ms: int, batch_id: int) -> DataFrame:
+        spark = good.sparkSession
+        try:
+            parts = spark.read.parquet(f"{folder}/buckets").where(F.col("batch") < batch_id)
+            registry = B.live(parts, B.cutoff(now_ms, config.window_s, config)).select("name").distinct()
+        except AnalysisException:  # no part yet
+            registry = good.select("name").limit(0)
+        if {"client", "arrived"} <= set(good.columns):
+            return admission.admit(admission.clients(good, seq, config), registry, seq, config=config)
+        return admission.admit_by_cap(good, registry, seq, config)
+
     def batch(df: DataFrame, batch_id: int) -> None:
-        judged = V.verdicts(df, clock(batch_id), config).persist()
+        now_ms = clock(batch_id)
+        judged = V.verdicts(df, now_ms, config)
+        if seq:
+            bad, good = judged.where("error is not null"), judged.where("error is null").drop("error", "retryable")
+            judged = bad.unionByName(V.verdicts(admitted(good, now_ms, batch_id), now_ms, config))
+        judged = judged.persist()
         good = judged.where("error is null")
         for name, part in (
             ("buckets", B.fold(good, config)),
@@ -68,10 +91,17 @@ def ingest(
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stored(spark, folder: str) -> tuple[DataFrame, DataFrame]:
-    """``(buckets, sketch)`` of all parts that ``ingest`` wrote."""
+def stored(spark, folder: str, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """``(buckets, sketch)`` of all parts that ``ingest`` wrote; the sketch's cap holds for a bucket over all of them."""
     read = lambda n: spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/{n}")
-    return B.merge_buckets(read("buckets")), B.merge_sketches(read("sketch"))
+    return B.merge_buckets(read("buckets")), B.collapse(B.merge_sketches(read("sketch")), config.sketch_buckets)
+
+
+def compact(spark, folder: str, into: str, now_ms: int, config: Config = DEFAULT) -> None:
+    """All live parts as one, in another folder, for a store whose batches have become many. Ingest goes on there once
+    it is written; the old folder is left as it is."""
+    for name, table in zip(("buckets", "sketch"), stored(spark, folder, config), strict=True):
+        B.live(table, B.cutoff(now_ms, config.window_s, config)).write.mode("overwrite").parquet(f"{into}/{name}/batch=-1")
 
 
 def alert_stream(outcomes: DataFrame, began_ms: int) -> DataFrame:
@@ -85,7 +115,7 @@ def alert_stream(outcomes: DataFrame, began_ms: int) -> DataFrame:
         out = []
         for outcome, now, wait in zip(pdf["outcome"], pdf["now_ms"], pdf["for_ms"], strict=True):
             before = now_state
-            now_state, since = A.step(now_state, since, outcome, int(now), int(wait))
+            now_state, since = A.step(now_state, since, outcome, int(now), float(wait))
             out.append((now_state, since, A.announced(before, now_state)))
         state.update((now_state, since))
         yield pdf[["rule", "metric", "now_ms", "value"]].assign(

@@ -204,15 +204,42 @@ def test_body_limits():
     small = Config(max_batch_events=2, max_body_bytes=50)
     assert [x[5] for x in decoder.decode(b"null " * 3, small)] == [False, False, True]
     assert next(decoder.decode(b" " * 51, small))[5]
-
-
-def test_fold_of_attempts_and_tables_agree(spark):
+    # what stands before the limit is read, whether it falls between events or into one
+    event = b'{"name":"a","ts":1} '
+    for size in (50, 45, 40, 39):
+        got = list(decoder.decode(event * 3, Config(max_body_bytes=size)))
+        assert [x[5] for x in got] == [False, False, True] and got[2][4] == f"body is over {size} bytes at event 2"
+    assert [x[4] for x in decoder.decode(event + b"x" + event * 9, small)][1].startswith("event 1: ")
+    # a value that nests too deep ends the body, those before it stay
+    deep = event + b'{"x":' + b"[" * 20_000 + b"]" * 20_000 + b"}"
+    got = list(decoder.decode(deep))
+    assert [x[5] for x in got] == [False, True] and "max depth" in got[1][4]
+
+
+def test_responses_of_bodies(spark):
+    config = Config(max_batch_events=2, max_body_bytes=60, reserved_prefix="own.")
+    event = '{"name":"a","ts":%d} ' % NOW
+    texts = {"whole": event, "empty": " ", "null": None, "broken": event + '{"na', "many": "null " * 3, "long": event * 3, "bad": "{}", "none": "x"}
+    bodies = spark.createDataFrame(list(texts.items()), "body_id string, body string")
+    judged = validation.verdicts(decoder.decode_bodies(bodies, config), NOW, config)
+    got = {r.body_id: r for r in validation.batch_responses(judged, bodies, ["body_id"], config).collect()}
+    assert {k: (r.accepted, r.rejected, r.status) for k, r in got.items()} == {
+        "whole": (1, 0, 200), "empty": (0, 0, 400), "null": (0, 0, 400), "broken": (1, 0, 400), "many": (0, 2, 413), "long": (1, 0, 413), "bad": (0, 1, 400), "none": (0, 0, 400),
+    }
+    assert got["empty"].fatal == validation.EMPTY and got["whole"].fatal is None and got["none"].fatal.startswith("event 0")
+    assert {(r.body_id, r["index"]) for r in validation.first_errors(judged, ["body_id"], "index").collect()} == {("many", 0), ("many", 1), ("bad", 0)}
+    full = spark.createDataFrame([("b", validation.FULL_SHARD, True, False)], "body_id string, error string, retryable boolean, fatal boolean")
+    assert validation.batch_responses(full, full, ["body_id"], config).select("status", "retry_after").first() == (429, config.window_s)
+
+
+@pytest.mark.parametrize("at_a_time", [1, 7, 1000])
+def test_fold_of_attempts_and_tables_agree(spark, at_a_time):
     config = Config(shards=2, names_per_shard=3, client_names=2, epoch_s=10)
     random.seed(5)
     rows = [(i, f"n{random.randrange(14)}", f"c{random.randrange(3)}", NOW + i * 700) for i in range(120)]
     df = spark.createDataFrame(rows, "seq long, name string, client string, arrived long")
     registry = spark.createDataFrame([("n0",), ("n1",)], "name string")
-    got = {r.seq: r.error for r in admission.admit(df, registry, config=config).collect()}
+    got = {r.seq: r.error for r in admission.admit(df, registry, config=config, at_a_time=at_a_time).collect()}
     names = spark.createDataFrame([(n,) for n in {r[1] for r in rows}], "name string").select("name", C.shard(F.col("name"), 2).alias("s"))
     shard = {r.name: r.s for r in names.collect()}
     made, spent, held = {"n0", "n1"}, {}, {}
@@ -246,6 +273,39 @@ def test_budget_lets_one_query_overshoot(spark):
     assert [r.allowed for r in admission.query_budget(df).orderBy("seq").collect()] == [True, True, False, False]
 
 
+def test_budgets_add_up_over_slices(spark):
+    random.seed(8)
+    rows = [(random.choice(["a", "b", None]), NOW + i * 300, i, random.randrange(30)) for i in range(300)]
+    df = spark.createDataFrame(rows, "client string, arrived long, seq long, units long")
+    config = Config(client_units=150)
+    got = {r.seq: r.allowed for r in admission.query_budget(df, config, 16).collect()}
+    spent = {}
+    for client, at, seq, units in rows:
+        key = client, at // 10_000
+        assert got[seq] == (spent.get(key, 0) < 150)
+        spent[key] = spent.get(key, 0) + units
+
+
+def test_the_cap_by_ranks(spark):
+    config = Config(shards=3, names_per_shard=4)
+    random.seed(9)
+    rows = [(i, random.choice(["", "pulsegrid."]) * (i % 5 == 0) + f"n{random.randrange(60)}") for i in range(300)]
+    registry = [f"n{i}" for i in range(5)]
+    df = spark.createDataFrame(rows, "seq long, name string")
+    got = {r.seq: r.error for r in admission.admit_by_cap(df, spark.createDataFrame([(n,) for n in registry], "name string"), "seq", config).collect()}
+    shard = {r.name: r.s for r in df.select("name").union(spark.createDataFrame([(n,) for n in registry], "name string")).distinct().select("name", C.shard(F.col("name"), 3).alias("s")).collect()}
+    made, held = set(registry), [sum(shard[n] == k for n in registry) for k in range(3)]
+    for seq, name in rows:
+        want = None
+        if name not in made:
+            if held[shard[name]] >= 4 and not name.startswith("pulsegrid."):
+                want = admission.FULL_SHARD
+            else:
+                made.add(name)
+                held[shard[name]] += 1
+        assert got[seq] == want
+
+
 def test_states_wait_and_fire():
     state, since, seen = alerts.NODATA, 0, []
     for now, outcome in ((10, "ok"), (20, "firing"), (49, "firing"), (50, "firing"), (60, "firing"), (70, "nodata"), (80, "firing"), (90, "ok")):
@@ -265,7 +325,41 @@ def test_rules_file():
     for wrong in (b"{}", b'[{"name":"r","extra":1}]', b"[] x", b'[{"name":"r","metric":"m","stat":"sum","op":">"}]', b'[{"name":"r","metric":"m","stat":"max","op":">","window":"2m"}]'):
         with pytest.raises(ValueError):
             alerts.load(wrong)
-    assert alerts.watches_itself(alerts.default_rules()) and alerts.validate(alerts.default_rules())
+    fine = alerts.load(b'[{"NAME":"r","Metric":"m","stat":"max","stat":"min","op":">","value":null,"Window":"500us","for":"1500ns"}]')
+    assert fine == [alerts.Rule("r", "m", "min", ">", 0.0, 0.5, 0.0015)]
+    with pytest.raises(ValueError):
+        alerts.load(b'[{"name":"r","metric":"m","stat":"max","op":">","value":NaN}]')
+    rules = alerts.default_rules(Config(shards=2, names_per_shard=50))
+    assert alerts.watches_itself(rules) and alerts.validate(rules)
+    assert [(r.name, r.metric, r.stat, r.value, r.window_ms, r.for_ms) for r in rules] == [
+        ("cpu-hot", "cpu.load", "avg", 0.9, 30_000, 20_000), ("cpu-spike", "cpu.load", "max", 0.99, 0, 0),
+        ("slow-requests", "http.latency_ms", "p99", 500.0, 0, 20_000), ("server-shedding", "pulsegrid.requests.shed", "increase", 0.0, 0, 30_000),
+        ("cardinality-pressure", "pulsegrid.metrics", "max", 80.0, 0, 30_000),
+    ]
+
+
+def test_a_short_window_reads_its_own_bucket(spark):
+    table = buckets.fold(events(spark, ("m", 1.0, NOW - 25_000), ("m", 5.0, NOW)))
+    rows = buckets.sketch(events(spark, ("m", 1.0, NOW - 25_000), ("m", 5.0, NOW)))
+    rules = alerts.rules_frame(spark, [alerts.Rule("short", "m", "count", ">", 0.0, 0.5), alerts.Rule("whole", "m", "count", ">", 0.0)])
+    got = alerts.evaluate(rules, table, rows, spark.createDataFrame([(NOW,)], "now_ms long")).collect()
+    assert {r.rule: r.value for r in got} == {"short": 1.0, "whole": 2.0}
+
+
+def test_later_events_do_not_tell_on_earlier_ticks(spark):
+    random.seed(3)
+    every = [("m", random.randrange(1024) / 1024, NOW - 60_000 + 900 * i) for i in range(200)]
+    rules = alerts.rules_frame(spark, [alerts.Rule(s, "m", s, ">", 0.5) for s in ("count", "avg", "p90", "increase")])
+    for tick in (NOW - 20_000, NOW + 5_000, NOW + 60_000):
+        at = spark.createDataFrame([(tick,)], "now_ms long")
+        answers = []
+        for some in (every, [e for e in every if e[2] // 10_000 <= (tick + 10_000) // 10_000]):
+            store = buckets.fold(events(spark, *some)), buckets.sketch(events(spark, *some))
+            evaluated = alerts.evaluate(rules, *store, at).select("rule", "value", "outcome").collect()
+            registry = events(spark, *some).select("name")
+            shown = reading.stats(registry, *store, reading.request(), tick).collect(), reading.series(registry, *store, reading.request(names=["m"]), tick).collect()
+            answers.append((sorted(evaluated), shown))
+        assert answers[0] == answers[1]
 
 
 def test_snapshot_falls_back_and_reports(spark, tmp_path):

@@ -42,6 +42,8 @@ _TAG = re.compile(
 )
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Class names that tell a state of an element or what it has elsewhere, not what it is.
+_STATE = re.compile(r"(?<![\w-])(?:has|with|without|no|is)[-_][\w-]+")
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,17 +69,17 @@ WALLS = frozenset("ul ol dl table tbody thead tfoot tr td th article main sectio
 
 
 class Node:
-    """An open element: its path, whether it is noise by itself, and whether it stands in a main element."""
+    """An open element: its path as a code, whether it or one around it is noise, and whether it stands in a main element."""
 
     __slots__ = ("children", "main", "noise", "path", "tag")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
+    def __init__(self, tag: str, path: int, noise: bool, main: bool):
         self.tag, self.path, self.noise, self.main, self.children = tag, path, noise, main, []
 
 
 def blocks(page: str) -> Iterator[tuple[list[Node], str | None]]:
     """``(open elements, text)`` of each block of text in page order; text None as an element closes."""
-    stack = [Node("", "", False, False)]
+    stack = [Node("", 0, False, False)]
     text: list[str] = []
     at, n = 0, len(page)
 
@@ -106,8 +108,11 @@ def blocks(page: str) -> Iterator[tuple[list[Node], str | None]]:
                 yield stack, whole
             continue
         if not closing and tag in RAW:
+            if attributes.endswith("/") and tag in ("svg", "math"):
+                continue
             end = RAW[tag].search(page, at)
-            at = end.end() if end else n
+            # what is never closed takes the rest of the page with it only where it can hold no elements
+            at = end.end() if end else n if tag in ("script", "style", "textarea", "title", "xmp") else at
             continue
         if tag in VOID:
             continue
@@ -157,7 +162,7 @@ def blocks(page: str) -> Iterator[tuple[list[Node], str | None]]:
         ) and tag not in ("html", "body")
         label = ".".join([tag, *sorted(w for w in words if w.isalpha())])
         up.children.append(tag)
-        stack.append(Node(tag, f"{up.path}/{label}", noise, inside))
+        stack.append(Node(tag, path_code(f"{up.path}/{label}"), noise or up.noise, inside))
     if whole := flush():
         yield stack, whole
     while len(stack) > 1:
@@ -172,7 +177,7 @@ def _names(attributes: str) -> dict[str, str]:
 
 
 def _words(names: dict[str, str]) -> list[str]:
-    return [w.lower() for k in ("class", "id") if k in names for w in _PART.findall(names[k])]
+    return [w.lower() for k in ("class", "id") if k in names for w in _PART.findall(_STATE.sub(" ", names[k]))]
 
 
 def _noise_words(attributes: str, inline: bool) -> bool:
@@ -191,10 +196,10 @@ def main_text(page: str | None, tree: Mapping[int, float] = MappingProxyType({})
     every, main, outside = [], [], []
     weight = {True: 0.0, False: 0.0}
     for stack, text in blocks(page):
-        if text is None or any(x.noise for x in stack):
+        if text is None or stack[-1].noise:
             continue
         inside = stack[-1].main
-        of = [tree.get(path_code(x.path)) for x in stack[1:]] if tree else []
+        of = [tree.get(x.path) for x in stack[1:]] if tree else []
         judged = of
         if inside and of:
             # below its outermost element, if that one is not low itself
@@ -233,14 +238,14 @@ def observations(page: str) -> set[tuple[int, int, int]]:
     out = set()
     for stack, text in blocks(page):
         if text is None:
-            path = path_code(stack[-1].path)
+            path = stack[-1].path
             out.add((path, 0, 0))
             out.add((path, 1, path_code(" ".join(stack[-1].children))))
         else:
             feature = text_code(text)
             for x in stack[1:]:
                 if x.tag not in ("html", "body"):
-                    out.add((path_code(x.path), 2, feature))
+                    out.add((x.path, 2, feature))
     return out
 
 

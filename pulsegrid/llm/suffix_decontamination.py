@@ -1,13 +1,14 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
 Each task turns the documents it reads into shards of word codes and sorts every suffix of a shard
-(prefix doubling, to the order of the first 16 words). Every suffix of every benchmark item is then
+(prefix doubling, to the order of as many words as a window has at least). Every suffix of every benchmark item is then
 binary-searched in the shard's array; the equal range lists all its occurrences, and occurrences on one
 diagonal join into the longest verbatim matches with their places in item and document. No document
 leaves its task and nothing is shuffled.
 
 The benchmark is a stated query set: it is dealt into blocks of at most ``BLOCK_BYTES`` of text, and each
-block is one broadcast and one map over the documents, so no broadcast grows with the benchmark.
+block is one broadcast and one map over the documents. After ``BLOCKS`` of them what was found is written as a
+table, and their broadcasts go, so that those alive at once don't grow with the benchmark.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import set_aside, with_columns_from_batches
+from pulsegrid.llm.common import set_aside, with_columns_from_batches, written
 
 WINDOW = 10
 #: Benchmark text in one broadcast.
 BLOCK_BYTES = 8_000_000
+#: Blocks whose broadcasts are alive at once.
+BLOCKS = 8
 
 MATCH = T.StructType(
     [
@@ -49,15 +52,21 @@ def find_matches(
     ``window`` words or more that stands in an item and a document; an item of fewer words matches as a
     whole. ``n_hit`` counts document words inside a match. Null or empty texts have no words and no match, on
     either side; an empty benchmark or table gives zeros or no rows; repeated rows each get their result;
-    columns of ``docs`` named like a new one are replaced.
+    very long texts are read whole; columns of ``docs`` named like a new one are replaced.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    out = docs
+    out, alive = docs, []
     for k in range(blocks):
+        if len(alive) == BLOCKS:
+            out = written(out, "matches")
+            for done in alive:
+                done.destroy()
+            alive = []
         rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()
         queries = docs.sparkSession.sparkContext.broadcast(_queries([(r[0], r[1] or "") for r in rows], window))
+        alive.append(queries)
         out = _scan(out, text, queries, window, k == 0)
     return out
 
@@ -96,15 +105,15 @@ def _queries(items: list[tuple[str, str]], window: int) -> dict:
     }
 
 
-def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Places of ``seq`` in the order of the 16 values from there on (beyond the end: 0)."""
+def suffix_array(seq: np.ndarray, reach: int = 16) -> np.ndarray:
+    """Places of ``seq`` in the order of the ``reach`` or more values from there on (beyond the end: 0)."""
     rank, k = seq, 1
     while True:
         ahead = np.zeros_like(rank)
         ahead[: len(rank) - k] = rank[k:]
         key = rank * (int(rank.max(initial=0)) + 1) + ahead
         order = np.argsort(key)
-        if k == 8:
+        if 2 * k >= reach:
             return order
         key = key[order]
         rank = np.empty_like(rank)
@@ -143,7 +152,7 @@ def _shard(word: np.ndarray, first: np.ndarray, q: dict, window: int) -> list[tu
     text = np.repeat(np.arange(n_texts), np.diff(first))
     seq = np.zeros(len(word) + n_texts + window, np.int64)
     seq[np.arange(len(word)) + text] = inverse + 1
-    order = suffix_array(seq)
+    order = suffix_array(seq, window)
     reach = np.minimum(q["start"][:, None] + np.arange(window), len(code) - 1)
     query = code[reach]
     known = ((query >= 0) | (np.arange(window) >= q["length"][:, None])).all(1)

@@ -316,6 +316,23 @@ def test_decontamination_is_the_plain_search(spark, monkeypatch):
     assert [r.n_hit for r in empty] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("window", [3, 10, 20, 40])
+def test_windows_of_any_length(spark, monkeypatch, window):
+    monkeypatch.setattr(suffix_decontamination, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(suffix_decontamination, "BLOCKS", 2)
+    rng = random.Random(window)
+    words = ["u", "v", "w"]
+    items = [(f"i{k}", " ".join(rng.choice(words) for _ in range(60))) for k in range(20)]
+    texts = [" ".join([*[rng.choice(words) for _ in range(30)], *items[i % 20][1].split()[5 : 5 + rng.randrange(2, 55)]]) for i in range(40)]
+    got = suffix_decontamination.find_matches(frame(spark, [*enumerate(texts)]), frame(spark, items, "item_id string, text string"), window=window)
+    have = {tuple(w[k : k + window]) for _, t in items for w in [t.split()] for k in range(61 - window)}
+    for r in got.collect():
+        w = texts[r.doc_id].split()
+        hit = {p for k in range(len(w) - window + 1) if tuple(w[k : k + window]) in have for p in range(k, k + window)}
+        assert r.n_hit == len(hit)
+    assert suffix_decontamination.contamination_report(frame(spark, []), frame(spark, items, "item_id string, text string")).count() == 0
+
+
 def test_longest_matches_have_their_places(spark):
     item = " ".join(f"a{i}" for i in range(30))
     docs = frame(spark, [(1, f"x y {' '.join(f'a{i}' for i in range(5, 25))} z")])

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 from urllib.parse import quote
 
 import numpy as np
@@ -55,6 +56,80 @@ def test_the_tree_decides_within_and_beside_articles(spark):
     assert text[7] == "Report 7 tells of 49" and text[107].startswith("Teaser 7 body350 ") and text[207] == "One and the same"
 
 
+def test_unclosed_and_wrapping_elements_lose_no_text():
+    text = site_style_tree.main_text
+    assert text("<article><p>one</p><svg/><p>two</p></article>") == "one two"
+    assert text("<article><p>one</p><svg width='3'><g/><text>drawn</text></svg><p>two</p><select><p>three</p></article>") == "one two three"
+    assert text('<div class="page has-sidebar no-comments"><div class="content"><p>long main text</p></div><div class="sidebar">aside</div></div>') == "long main text"
+    assert text("<nav><div><p>menu</p></div></nav><p>said</p>") == "said"
+    deep = "<div>" * 30_000 + "<p>inside</p>" + "</div>" * 30_000
+    assert text(deep) == "inside" and len(site_style_tree.observations(deep)) == 90_003
+
+
+class Plain(HTMLParser):
+    """Styles and blocks of a well-formed page, by path."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.styles, self.blocks = [], [], []
+
+    def handle_starttag(self, tag, attrs):
+        label = ".".join([tag, *sorted(dict(attrs).get("class", "").split())])
+        if self.open:
+            self.open[-1][1].append(tag)
+        self.open.append(((*(self.open[-1][0] if self.open else ()), label), []))
+
+    def handle_endtag(self, tag):
+        path, children = self.open.pop()
+        self.styles.append((path, tuple(children)))
+
+    def handle_data(self, data):
+        if text := " ".join(data.split()):
+            self.blocks += [(path, text) for path, _ in self.open]
+
+
+def test_importance_is_the_entropy_over_pages(spark):
+    rng = random.Random(3)
+    pages = []
+    for i in range(30):
+        body = "".join(f"<p>{rng.choice(['same', 'other', f'own {i}'])}</p>" for _ in range(rng.randrange(1, 4)))
+        pages.append(f'<div class="top"><h1>Site</h1></div><div class="boxa">{body}<ul>{"<li>entry</li>" * rng.randrange(1, 3)}</ul></div>')
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", p) for i, p in enumerate(pages)] + [(99, "http://a.example/again", pages[0])]
+    got = {(r.host, r.path): r for r in site_style_tree.style_tree(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    checked = 0
+    for host, some in (("a.example", set(pages[::2])), ("b.example", set(pages[1::2]))):
+        there, styles, blocks = {}, {}, {}
+        for p in some:
+            reader = Plain()
+            reader.feed(p)
+            for path in {x for x, _ in reader.styles}:
+                there[path] = there.get(path, 0) + 1
+            for x in set(reader.styles):
+                styles.setdefault(x[0], Counter())[x[1]] += 1
+            for x in set(reader.blocks):
+                blocks.setdefault(x[0], Counter())[x[1]] += 1
+        for path, n in there.items():
+            code = 0
+            for label in path:
+                code = site_style_tree.path_code(f"{code}/{label}")
+            r = got[host, code]
+            p = np.array(list(styles[path].values())) / n
+            # a page can have several styles at one path
+            presentation = 1 - sum(c * np.log(c) for c in styles[path].values()) / (n * np.log(n))
+            if p.sum() == 1:
+                assert abs(presentation + (p * np.log(p)).sum() / np.log(n)) < 1e-9
+            text = list(blocks.get(path, {}).values())
+            content = 1 - sum(c * np.log(c) for c in text) / (sum(text) * np.log(n)) if text else 1.0
+            assert r.pages == n and abs(r.presentation - presentation) < 1e-9 and abs(r.content - content) < 1e-9
+            checked += 1
+    assert checked >= 10 and len(got) == checked
+
+
+def test_no_pages(spark):
+    none = frame(spark, [], "page_id long, url string, html string")
+    assert site_style_tree.page_texts(none).count() == 0 and site_style_tree.style_tree(none).count() == 0
+
+
 def test_pages_keep_other_columns(spark):
     rows = [(1, "http://a.example", "<p>x</p>", "mine", "old")]
     got = site_style_tree.extract(frame(spark, rows, "page_id long, url string, html string, host string, text string")).first()
@@ -223,6 +298,12 @@ def test_secrets_under_layers(spark):
     assert got[10].spans == got[11].spans == "" and got[12].n_assign == 1 and got[13].spans == f"assign:400000:{400000 + len(secret)}"
 
 
+def test_secrets_of_no_rows_and_of_clashing_columns(spark):
+    assert secret_scan.secret_report(frame(spark, [])).count() == 0
+    got = secret_scan.find_secrets(frame(spark, [(1, "AKIA" + "A" * 16, "x"), (1, None, "y")], f"{DOCS}, base string")).collect()
+    assert sorted(len(r.found) for r in got) == [0, 1] and {len(r.base) for r in got} == {0, 1}
+
+
 def test_cycles_end():
     text = "%25" * 50 + base64.b64encode(b"again and again " * 4).decode()
     assert secret_scan.all_spans(text)[1] == secret_scan.all_spans(text)[1]

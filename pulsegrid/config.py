@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -30,6 +30,9 @@ class Config:
     max_batch_events: int = 10_000
     listed_errors: int = 10
     sketch_buckets: int = 1024
+    #: Where rules are read from and generations are written to; empty: the default rules, and nowhere.
+    rules_path: str = ""
+    snapshot_path: str = ""
 
     @property
     def window_s(self) -> int:
@@ -37,16 +40,15 @@ class Config:
 
     def with_total_names(self, total: int) -> Config:
         """The cap on all names, dealt evenly over the shards, rounded down."""
-        from dataclasses import replace
-
         if total < self.shards:
             raise ValueError(f"the cap on names must be at least {self.shards}")
         return replace(self, names_per_shard=total // self.shards)
 
 
 def from_environment(environ: dict[str, str], base: Config | None = None) -> Config:
-    """``PULSEGRID_MAX_NAMES`` sets the cap on names; anything but a whole number in range is an error."""
-    base = base or Config()
+    """``PULSEGRID_MAX_NAMES`` sets the cap on names; anything but a whole number in range is an error.
+    ``PULSEGRID_RULES`` and ``PULSEGRID_SNAPSHOT`` are paths."""
+    base = replace(base or Config(), rules_path=environ.get("PULSEGRID_RULES", ""), snapshot_path=environ.get("PULSEGRID_SNAPSHOT", ""))
     text = environ.get("PULSEGRID_MAX_NAMES", "")
     if not text:
         return base

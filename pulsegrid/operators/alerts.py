@@ -97,7 +97,7 @@ def default_rules(config: Config = DEFAULT) -> list[Rule]:
         Rule("cpu-spike", "cpu.load", "max", ">", 0.99),
         Rule("slow-requests", "http.latency_ms", "p99", ">", 500.0, 0, 20_000),
         Rule("server-shedding", f"{own}requests.shed", "increase", ">", 0.0, 0, 30_000),
-        Rule("cardinality-pressure", f"{own}metrics", "max", ">", 0.8 * config.shards * config.names_per_shard, 0, 30_000),
+        Rule("cardinality-pressure", f"{own}store.metrics", "max", ">", 0.8 * config.shards * config.names_per_shard, 0, 30_000),
     ]
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.config import DEFAULT, Config
+from pulsegrid.operators.buckets import gauges
 
 # The engine's own metrics, counters first, then gauges.
-COUNTERS = ("events.accepted", "events.rejected", "events.refused", "batches", "requests.shed", "requests.throttled", "panics", "queries.refused")
-GAUGES = ("metrics", "buckets", "histogram.buckets", "snapshot.age", "snapshot.bytes")
+COUNTERS = (
+    "requests.shed", "requests.throttled", "events.accepted", "events.rejected", "sweep.metrics_reclaimed", "clients.query_budget_refusals",
+    "rules.reloads", "rules.reload_failures", "snapshot.write_failures", "snapshot.load_failures", "snapshot.empty_starts",
+)
+GAUGES = ("clients.tracked", "store.metrics", "store.buckets", "store.histogram_buckets", "runtime.tasks", "snapshot.age_seconds", "snapshot.bytes")
 
 
 def samples(spark: SparkSession, readings: dict[str, float], now_ms: int, config: Config = DEFAULT) -> DataFrame:
@@ -18,6 +22,14 @@ def samples(spark: SparkSession, readings: dict[str, float], now_ms: int, config
     return spark.createDataFrame(rows, "name string, value double, ts long")
 
 
+def sample(registry: DataFrame, table: DataFrame, rows: DataFrame, readings: dict[str, float], now_ms: int, config: Config = DEFAULT) -> DataFrame:
+    """All readings of one moment as events: the sizes of the store, measured before they are added to it, and what
+    its jobs have counted. Counters are cumulative, so that their rise is read as an increase."""
+    size = gauges(registry, table, rows).first()
+    sizes = {"store.metrics": size["metrics"], "store.buckets": size["buckets"], "store.histogram_buckets": size["histogram_buckets"]}
+    return samples(registry.sparkSession, readings | sizes, now_ms, config)
+
+
 def counters(judged: DataFrame) -> DataFrame:
     """Accepted, rejected and refused events of a table of verdicts, as (name, value)."""
     row = judged.agg(
@@ -45,10 +57,13 @@ def stats_violations(stats: DataFrame) -> DataFrame:
 
 
 def series_violations(series: DataFrame, now_ms: int, config: Config = DEFAULT) -> DataFrame:
-    """Points off the grid, or outside the window."""
+    """Points off the grid, outside the window, or that do not follow the point of their name before them."""
     start = F.col("start")
+    before = F.lag("start").over(Window.partitionBy("name").orderBy("start"))
     oldest = (now_ms - config.window_s * 1000) // (config.bucket_s * 1000) * config.bucket_s
-    return series.where((F.pmod(start, F.lit(config.bucket_s)) != 0) | (start < oldest))
+    newest = (now_ms + config.future_ms) // 1000
+    wrong = (F.pmod(start, F.lit(config.bucket_s)) != 0) | (start < oldest) | (start > newest) | (F.coalesce(before, start - 1) >= start)
+    return series.withColumn("__wrong", wrong).where("__wrong").drop("__wrong")
 
 
 def exactness(judged: DataFrame, buckets: DataFrame) -> DataFrame:

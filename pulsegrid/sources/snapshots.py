@@ -74,6 +74,29 @@ def read(spark: SparkSession, target: str, config: Config = DEFAULT) -> tuple[Da
     return buckets, sketch, m["written_ms"]
 
 
+def freshness(spark: SparkSession, folder: str, now_ms: int) -> dict[str, float]:
+    """Age in seconds and bytes of the newest generation, as readings of telemetry; none where there is no generation."""
+    found = generations(spark, folder)
+    if not found:
+        return {}
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(found[0]).agg(F.sum("length")).first()[0]
+    return {"snapshot.age_seconds": (now_ms - int(found[0].rsplit("=", 1)[1])) / 1000, "snapshot.bytes": float(files or 0)}
+
+
+def write_every(buckets_of, folder: str, clock, seconds: float, stop, config: Config = DEFAULT) -> dict[str, float]:
+    """A generation of ``buckets_of()`` (buckets, sketch) each ``seconds``, and one at the end, until ``stop`` (an event)
+    is set. A failed write is counted and the next one tried; returns the count as a reading of telemetry."""
+    failures = 0
+    while True:
+        over = stop.wait(seconds)
+        try:
+            write(*buckets_of(), folder, clock(), config)
+        except Exception:  # whatever failed, the generations before it are whole
+            failures += 1
+        if over:
+            return {"snapshot.write_failures": float(failures)}
+
+
 def restore(spark: SparkSession, folder: str, now_ms: int, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame, list[str]] | None:
     """``(buckets, sketch, reports)`` from the newest usable generation, or None if there is none at all.
 

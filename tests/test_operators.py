@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.config import Config, from_environment
 from pulsegrid.functions import columns as C
 from pulsegrid.functions import durations
-from pulsegrid.operators import admission, alerts, buckets, reading, telemetry, validation
+from pulsegrid.operators import admission, alerts, buckets, reading, responses, telemetry, validation
 from pulsegrid.sources import decoder, snapshots, tables
 
 NOW = 1_700_000_000_000
@@ -334,7 +335,7 @@ def test_rules_file():
     assert [(r.name, r.metric, r.stat, r.value, r.window_ms, r.for_ms) for r in rules] == [
         ("cpu-hot", "cpu.load", "avg", 0.9, 30_000, 20_000), ("cpu-spike", "cpu.load", "max", 0.99, 0, 0),
         ("slow-requests", "http.latency_ms", "p99", 500.0, 0, 20_000), ("server-shedding", "pulsegrid.requests.shed", "increase", 0.0, 0, 30_000),
-        ("cardinality-pressure", "pulsegrid.metrics", "max", 80.0, 0, 30_000),
+        ("cardinality-pressure", "pulsegrid.store.metrics", "max", 80.0, 0, 30_000),
     ]
 
 
@@ -386,11 +387,46 @@ def test_accepted_is_recorded(spark):
 
 def test_environment():
     assert from_environment({"PULSEGRID_MAX_NAMES": "100"}).names_per_shard == 3
+    paths = from_environment({"PULSEGRID_RULES": "/r.json", "PULSEGRID_SNAPSHOT": "/s"})
+    assert (paths.rules_path, paths.snapshot_path) == ("/r.json", "/s") and from_environment({}) == Config()
     for wrong in ("0", "x", "31"):
         with pytest.raises(ValueError):
             from_environment({"PULSEGRID_MAX_NAMES": wrong})
 
 
+def test_answers_as_json(spark):
+    df = events(spark, ("a", 1.0, NOW - 11_000), ("a", 3.0, NOW), ("b", 2.0, NOW), ("c", 5.0, NOW))
+    store = df.select("name"), buckets.fold(df), buckets.sketch(df)
+    got = json.loads(responses.stats(*store, reading.request(limit="2", window="30s"), NOW).first().body)
+    assert (got["window"], got["matched"], got["truncated"], got["next"]) == ("30s", 3, True, "b") and list(got["metrics"]) == ["a", "b"]
+    assert got["metrics"]["a"]["count"] == 2 and got["metrics"]["a"]["avg"] == 2.0 and set(got["metrics"]["b"]) == set(buckets.STAT_COLUMNS)
+    assert "next" not in json.loads(responses.stats(*store, reading.request(), NOW).first().body)
+    got = json.loads(responses.series(*store, reading.request(names=["a", "x"]), NOW).first().body)
+    assert got["bucket"] == "10s" and list(got["series"]) == ["a"] and [p["count"] for p in got["series"]["a"]] == [1, 1]
+    states = spark.createDataFrame([("r1", "m", "ok", 1.5, NOW), ("r2", "m", "firing", 2.5, NOW)], alerts.STATE_SCHEMA)
+    got = json.loads(responses.alert_states(states, limit=1).first().body)
+    assert got["alerts"] == [{"rule": "r1", "metric": "m", "state": "ok", "value": 1.5, "since": "2023-11-14T22:13:20.000Z"}] and got["next"] == "r1" and got["matched"] == 2
+    judged = validation.verdicts(decoder.decode_bodies(spark.createDataFrame([("x", '{"name":"a"} {"na')], "body_id string, body string")), NOW)
+    bodies = judged.select("body_id").distinct()
+    got = responses.batches(judged, bodies, ["body_id"], "index", validation.batch_responses(judged, bodies, ["body_id"])).first()
+    body = json.loads(got.body)
+    assert got.status == 400 and body["rejected"] == 1 and body["errors"][0]["index"] == 0 and body["fatal"].startswith("event 1")
+
+
+def test_the_engine_samples_itself(spark, tmp_path):
+    df = events(spark, ("a", 1.0, NOW), ("b", 0.0, NOW))
+    store = df.select("name"), buckets.fold(df), buckets.sketch(df)
+    folder, stop = f"file://{tmp_path}/s", threading.Event()
+    stop.set()
+    wrote = snapshots.write_every(lambda: store[1:], folder, lambda: NOW - 5000, 60.0, stop)
+    fresh = snapshots.freshness(spark, folder, NOW)
+    assert wrote == {"snapshot.write_failures": 0.0} and fresh["snapshot.age_seconds"] == 5.0 and fresh["snapshot.bytes"] > 0
+    assert snapshots.freshness(spark, f"file://{tmp_path}/none", NOW) == {}
+    got = {r.name: r.value for r in telemetry.sample(*store, {"events.accepted": 7.0} | wrote | fresh, NOW).collect()}
+    assert got["pulsegrid.store.metrics"] == 2 and got["pulsegrid.store.buckets"] == 2 and got["pulsegrid.store.histogram_buckets"] == 1
+    assert got["pulsegrid.events.accepted"] == 7 and got["pulsegrid.snapshot.age_seconds"] == 5 and len(got) == 7
+
+
 def test_empty_tables(spark):
     none = events(spark).limit(0)
     store = none.select("name"), buckets.fold(none), buckets.sketch(none)

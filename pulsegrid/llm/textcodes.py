@@ -13,6 +13,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at a time; a longer text is worked on alone.
 CHUNK_BYTES = 300_000
+#: Bytes of a long text whose sums are held at a time.
+PIECE_BYTES = 2_000_000
 
 _rng = np.random.default_rng(20240131)
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,7 +92,19 @@ def words(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = LOWER_VALUES) -> np.ndarray:
-    """Code of each span of bytes; equal bytes (by ``values``) have equal codes."""
+    """Code of each span of bytes; equal bytes (by ``values``) have equal codes, wherever they stand."""
+    if len(buf) <= PIECE_BYTES or not len(start):
+        return _codes(buf, start, end, values)
+    out, a = np.empty(len(start), np.uint64), 0
+    while a < len(start):
+        b = a + max(1, int(np.searchsorted(start[a:], start[a] + PIECE_BYTES)))
+        lo, hi = int(start[a:b].min()), int(end[a:b].max())
+        out[a:b] = _codes(buf[lo:hi], start[a:b] - lo, end[a:b] - lo, values)
+        a = b
+    return out
+
+
+def _codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
     power, inverse = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(values[buf] * power[: len(buf)], out=total[1:])

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from pulsegrid.llm import common, packing, projection_forest, signature_tree, suffix_decontamination, tokens
+from pulsegrid.llm import common, packing, projection_forest, signature_tree, suffix_decontamination, textcodes, tokens
 
 DOCS = "doc_id long, text string"
 
@@ -43,6 +43,17 @@ def test_components(spark):
     assert got == {i: want[i] for i in {x for a, b in edges if a != b for x in (a, b)}}
 
 
+def test_codes_of_a_long_text_are_those_of_its_words(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 90]))) for _ in range(400)]
+    buf = np.frombuffer(" ".join(words).encode(), np.uint8)
+    start, end = textcodes.words(buf, textcodes.SPACED)
+    whole = textcodes.codes(buf, start, end)
+    monkeypatch.setattr(textcodes, "PIECE_BYTES", 50)
+    assert (textcodes.codes(buf, start, end) == whole).all() and len(whole) == 400
+    assert len(set(whole.tolist())) == len(set(words))
+
+
 # Signature trees
 
 

@@ -104,44 +104,6 @@ def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list]:
     return df.withColumnsRenamed(other), [F.col(f"`{other.get(c, c)}`").alias(c) for c in df.columns]
 
 
-#: Edges that a task contracts at a time.
-CONTRACTED = 1 << 20
-
-
-def contracted(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with the same components: of each run of edges that a task reads, a star to the smallest node."""
-
-    def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        node, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-        u, v = np.unique(at.reshape(2, -1), axis=1)
-        root = np.arange(len(node))
-        while True:
-            low = np.minimum(root[u], root[v])
-            new = root.copy()
-            for x in (u, v):
-                np.minimum.at(new, root[x], low)
-                np.minimum.at(new, x, low)
-            new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        some = root != np.arange(len(node))
-        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[root[some]])], names=["a", "b"])
-
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            n += batch.num_rows
-            if n >= CONTRACTED:
-                yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                held, n = [], 0
-        if n:
-            yield stars(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
-
-
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Components of the undirected graph ``edges(a, b)`` as rows ``(node, root)``; root is the smallest node.
 

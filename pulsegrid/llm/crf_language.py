@@ -301,9 +301,13 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     text travel to the driver, however long it is."""
     text_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.select("doc_id", "lang").withColumn("turn", turn).where(F.col("turn") <= rows)
-    picked = picked.orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "lang").distinct()
+    # Of a language with many rows, those with small hashes, a few times as many as can be taken: no task ranks more.
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("place")
+    few = known.select("doc_id", "lang", place).join(F.broadcast(counts), "lang").where(F.col("place") * F.col("count") < 3.0 * rows * (1 << 40))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    picked = few.withColumn("turn", turn).where(F.col("turn") <= rows)
+    picked = picked.orderBy("turn", "place", "doc_id").limit(rows).select("doc_id", "lang").distinct()
 
     def cut(batches):
         for batch in batches:

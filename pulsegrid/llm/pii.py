@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import bitmap, in_bitmap, set_aside, text_batches, with_columns_from_batches, written
+from pulsegrid.llm.common import bitmap, in_bitmap, text_batches, with_columns_from_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on each side of an entity that count as near it.
@@ -215,14 +215,21 @@ def find_spans(docs: DataFrame, text: str = "text", broadcast_words: int = BROAD
     disclose an entity as well. Spans are in code points, end exclusive; null and empty texts have none; very long
     ones are read whole; an empty table gives no rows; repeated rows each get their spans; columns named base or
     found are replaced."""
+    shape = lambda x: [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans] for spans in x]
+    fields = [T.StructField(c, T.ArrayType(SPAN)) for c in ("base", "found")]
+    return _over_spans(docs, text, broadcast_words, options, lambda _, base, found: [shape(base), shape(found)], fields)
+
+
+def _over_spans(docs: DataFrame, text: str, broadcast_words: int, options: dict, make, fields: list) -> DataFrame:
+    """``docs`` with the columns ``fields`` that ``make`` gives from a batch's texts, base spans and all spans."""
     words = disclosing_words(docs, text, **options)
     if words.count() <= broadcast_words:
         few = np.sort(np.array([r[0] for r in words.select("word").collect()], np.int64))
-        return _spans(docs, text, docs.sparkSession.sparkContext.broadcast(few), None)
+        return _spans(docs, text, docs.sparkSession.sparkContext.broadcast(few), None, make, fields)
     coded = with_columns_from_batches(docs, _text_code(text), [T.StructField("__of", T.LongType())])
     held = _held(docs.select(F.col(text).alias("text")), words).join(words, "word")
     per_text = held.groupBy("of").agg(F.sort_array(F.collect_set("word")).alias("__words")).withColumnRenamed("of", "__of")
-    return _spans(coded.join(per_text, "__of", "left").drop("__of"), text, None, "__words").drop("__words")
+    return _spans(coded.join(per_text, "__of", "left").drop("__of"), text, None, "__words", make, fields).drop("__words")
 
 
 def _held(slim: DataFrame, words: DataFrame) -> DataFrame:
@@ -256,7 +263,7 @@ def _text_code(text: str):
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
 
-def _spans(docs: DataFrame, text: str, shared, column: str | None) -> DataFrame:
+def _spans(docs: DataFrame, text: str, shared, column: str | None, made, fields: list) -> DataFrame:
     def make(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
@@ -282,11 +289,9 @@ def _spans(docs: DataFrame, text: str, shared, column: str | None) -> DataFrame:
                     e = s + len(buf[start[w] : end[w]].tobytes().decode("utf-8", "replace"))
                     if not any(a < e and s < b for _, a, b in base[lo + i]):
                         found[lo + i].append(("term", s, e))
-            shape = lambda x: [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans] for spans in x]
-            yield batch, [shape(base), shape(found)]
+            yield batch, made(texts, base, found)
 
-    spans = T.ArrayType(SPAN)
-    return with_columns_from_batches(docs, make, [T.StructField("base", spans), T.StructField("found", spans)])
+    return with_columns_from_batches(docs, make, fields)
 
 
 def _text(spans: str):
@@ -314,18 +319,14 @@ def generalised(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitise(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", broadcast_words: int = BROADCAST_WORDS, **options) -> DataFrame:
     """``docs`` with each span of ``text`` generalised to its kind in brackets, and ``n_chars``, if there, anew.
     Null texts stay null; every row and every other column stays as it is, whatever its name."""
-    docs, own = set_aside(docs, ("base", "found"))
-    found = find_spans(docs, text, **options)
 
-    def make(batches):
-        for batch in batches:
-            texts, spans = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (text, "found"))
-            yield batch, [[generalised(t, [(x["kind"], x["start"], x["end"]) for x in f]) if t and f else t for t, f in zip(texts, spans, strict=True)]]
+    def made(texts, _, found):
+        return [[generalised(t, f) if t and f else t for t, f in zip(texts.to_pylist(), found, strict=True)]]
 
-    out = with_columns_from_batches(found, make, [T.StructField(text, T.StringType())])
+    out = _over_spans(docs, text, broadcast_words, options, made, [T.StructField(text, T.StringType())])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*own)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

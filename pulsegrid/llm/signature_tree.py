@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
-from pulsegrid.llm.common import bitmap, connected_components, contracted, give_back, in_bitmap, text_batches, with_columns_from_batches, written
+from pulsegrid.llm.common import bitmap, connected_components, give_back, in_bitmap, text_batches, with_columns_from_batches, written
 
 WORDS, PERCENT = 3, 90
 #: Sets that one task holds of each side.
@@ -367,9 +367,7 @@ def _candidates(slim: DataFrame, words: int, percent: int) -> DataFrame:
     paired = counted.select("key", "code", "need", pair)
     left = _shared(paired.select(F.xxhash64("key", "pair").alias("key"), _node("code", F.col("pair")).alias("code"), "need"))
     able = left.drop("low").withColumn("n", F.count("*").over(mine)).where(F.col("n") >= least).select("key", "code")
-    edges = _shared(able).where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b"))
-    # by set, so that a task's stars hold each set once and few others
-    return contracted(contracted(edges).repartition("a"))
+    return _shared(able).where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b"))
 
 
 def _shared(shown: DataFrame) -> DataFrame:

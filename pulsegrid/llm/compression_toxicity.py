@@ -156,24 +156,28 @@ def telling_units(rows: DataFrame) -> dict[str, int]:
 
 
 def samples(rows: DataFrame, telling: dict[str, int], size: int = SAMPLES) -> tuple[list[bytes], list[bytes]]:
-    """Windows of ordinary text, and of what is telling in toxic text, from rows (text, label): at most ``size`` of each."""
+    """Windows of ordinary text, and of what is telling in toxic text, from rows (doc_id, text, label): at most ``size``
+    of each, the same ones every time."""
 
     def cut(batches):
         for batch in batches:
-            out: dict[int, list[bytes]] = {0: [], 1: []}
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out = []
+            for i, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if y:
                     stems = [x for w in _WORD.findall((t or "").lower()) if (x := stem(w, telling))]
-                    out[1] += [f" {' '.join(stems[i : i + 8])} ".encode() for i in range(0, len(stems), 8)]
+                    mine = [f" {' '.join(stems[k : k + 8])} ".encode() for k in range(0, len(stems), 8)]
                 else:
-                    out[0] += windows(lowered(t), 256)
-            every = [*out[0], *out[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array([0] * len(out[0]) + [1] * len(out[1]), pa.int32())], names=["window", "label"])
-
-    made = written(rows.select("text", "label").mapInArrow(cut, "window binary, label int"), "windows")
+                    mine = windows(lowered(t), 256)
+                out += [(w, y, i, k) for k, w in enumerate(mine)]
+            kinds = [pa.binary(), pa.int32(), pa.string(), pa.int32()]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["window", "label", "doc_id", "place"])
+
+    slim = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "label")
+    made = written(slim.mapInArrow(cut, "window binary, label int, doc_id string, place int"), "windows")
     # windows that recur are as many in the sample as they are among all
-    spread = F.xxhash64(F.monotonically_increasing_id(), "window")
-    return tuple([bytes(r[0]) for r in made.where(F.col("label") == k).orderBy(spread).limit(size).select("window").collect()] for k in (0, 1))
+    spread = F.xxhash64("doc_id", "place", "window")
+    return tuple([bytes(r[0]) for r in made.where(F.col("label") == k).orderBy(spread, "window").limit(size).select("window").collect()] for k in (0, 1))
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:

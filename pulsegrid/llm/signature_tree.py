@@ -30,8 +30,8 @@ from pulsegrid.llm import textcodes as tc
 from pulsegrid.llm.common import bitmap, connected_components, give_back, in_bitmap, text_batches, with_columns_from_batches, written
 
 WORDS, PERCENT = 3, 90
-#: Sets that one task holds of each side.
-BLOCK = 512
+#: Sets that one task holds of each side, and their codes, both on average.
+BLOCK, BLOCK_CODES = 512, 2_000_000
 #: Keys that linked sets share, at most, and the codes that one of them takes.
 NEED, PER_NEED = 32, 3
 BITS = 2048
@@ -383,9 +383,10 @@ def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, perc
     row = F.xxhash64("doc_id").alias("row")
     of_row = seen.where("code <> 0").select("code", "n_shingles", row).groupBy("code").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-6).cast("int")
-    nodes = of_row.select("code", "row", F.explode(F.array(band, band - 1)).alias("pair")).select("code", "row", _node("code", F.col("pair")).alias("node"))
-    named = groups.withColumnRenamed("root", "group").join(nodes, "node").select("group", "code", "row")
-    sizes = named.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    nodes = of_row.select("code", "row", "n", F.explode(F.array(band, band - 1)).alias("pair")).select("code", "row", "n", _node("code", F.col("pair")).alias("node"))
+    named = groups.withColumnRenamed("root", "group").join(nodes, "node").select("group", "code", "row", "n")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_CODES))).cast("int")
+    sizes = named.groupBy("group").agg(blocks.alias("blocks"))
     dealt = named.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
     dealt = written(dealt, "members")
     wanted = bitmap(dealt, "row")
@@ -428,10 +429,10 @@ def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, perc
     root = connected_components(links.join(large.select(F.col("code").alias("a")), "a", "left_semi"), "blocks")
     placed = large.join(root.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
     largest = placed.groupBy("group", "root").count().groupBy("group").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    rest = written(placed.join(largest, "group").where("root <> main").select("group", "code", "row", "blocks"), "rest")
+    rest = written(placed.join(largest, "group").where("root <> main").select("group", "code", "row", "n", "blocks"), "rest")
     if rest.isEmpty():
         return links
-    others = rest.groupBy("group").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("others"))
+    others = rest.groupBy("group").agg(blocks.alias("others"))
     i = F.pmod(F.xxhash64(F.lit(1), "code"), F.col("others")).cast("int").alias("i")
     count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rest.join(others, "group").select("group", "code", "row", i, count("blocks").alias("j"), F.lit(0).alias("side"))

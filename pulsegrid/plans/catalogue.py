@@ -247,6 +247,32 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(jobs.stored(spark, f"{folder}/store", MONTH)[0])
 
 
+def bucket_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold as a stateful stream in update mode: of the rows of a bucket, the one of the last batch counts."""
+    schema = tables.table(spark, sf_dir, "events").schema
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
+    events = tables._named(raw, F.concat(F.lit("user."), F.col("user_id").cast("string")))
+    folder = tables.shared_folder(spark)
+
+    def keep(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    stream = jobs.bucket_stream(events, MONTH).writeStream.outputMode("update").foreachBatch(keep)
+    stream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{folder}/rows").groupBy("name", "bucket_start").agg(F.max_by(F.struct("count", "sum", "min", "max"), "batch").alias("r"))
+    return _tidy(last.select("name", "bucket_start", "r.*"))
+
+
+def client_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by client where only two have places of their own."""
+    events = tables.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("client"))
+    return admission.clients(events, "event_id", replace(GRID, clients=2)).groupBy("client").agg(F.count("*").alias("events"))
+
+
+def alerts_page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.listing_page(_replayed(spark, sf_dir).where(F.col("now_ms") == NOW), limit=3)
+
+
 def reading_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations over all live names and all their points, however many a request may hold."""
     _, *store = _store(tables.user_events(spark, sf_dir), MONTH)
@@ -303,6 +329,7 @@ QUERIES = {
         batch_summary, batch_first_errors, shard_assignment, cap_admission, admission_fold, client_rate, query_cost, query_budget,
         alerts_eval, alerts_replay, alerts_filter_page, alerts_reload, sweep_effect, size_gauges, snapshot_roundtrip,
         stream_equals_batch, reading_invariants, exactness, self_counters, decode_batch, batch_status,
+        bucket_stream, client_table, alerts_page_meta,
     )
 }
 

@@ -156,4 +156,9 @@ SELECT CAST(f.b AS VARCHAR) AS body_id, CAST(coalesce(accepted, 0) AS BIGINT) AS
   CASE WHEN n = 0 THEN 'empty' WHEN broken IS NOT NULL THEN 'broken' WHEN n > 90 THEN 'too many' END AS fatal,
   CASE WHEN n = 0 OR broken IS NOT NULL THEN 400 WHEN n > 90 THEN 413 WHEN accepted > 0 THEN 200 ELSE 400 END AS status,
   CAST(NULL AS INTEGER) AS retry_after FROM f LEFT JOIN c USING (b)""",
+    "bucket_stream": FOLD,
+    "client_table": """WITH f AS (SELECT event_type AS c, min(event_id) AS s FROM events GROUP BY 1), k AS (SELECT c FROM f ORDER BY s, c LIMIT 2)
+SELECT CASE WHEN event_type IN (SELECT c FROM k) THEN event_type ELSE 'overflow' END AS client, CAST(count(*) AS BIGINT) AS events FROM events GROUP BY 1""",
+    "alerts_page_meta": f"""WITH {_replayed()}, n AS (SELECT rule FROM st WHERE now_ms = {NOW})
+SELECT CAST(count(*) AS BIGINT) AS matched, count(*) > 3 AS truncated, CASE WHEN count(*) > 3 THEN (SELECT max(rule) FROM (SELECT rule FROM n ORDER BY rule LIMIT 3)) END AS next FROM n""",
 }

@@ -287,7 +287,11 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def _labelled(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     """Per document: doc_id, n_shingles, code of its set, root (a code that names its class), component_id (null: it
     has no words, or no id is in its class)."""
+    if not 0 < percent < 100:
+        raise ValueError("percent must be between 0 and 100")
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # what a row is found by again: its id and text, as ids may be null or shared
+    slim = slim.withColumn("row", F.xxhash64("doc_id", "text"))
     text_batches(docs.sparkSession)
 
     def describe(batches):
@@ -296,10 +300,10 @@ def _labelled(docs: DataFrame, doc_id: str, text: str, words: int, percent: int)
             for lo, sets in _sets(batch.column(1), words):
                 for i, s in enumerate(sets):
                     n[lo + i], code[lo + i] = len(s), set_code(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(code)], names=["doc_id", "n_shingles", "code"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(code)], names=["doc_id", "row", "n_shingles", "code"])
             give_back()
 
-    seen = written(slim.mapInArrow(describe, "doc_id long, n_shingles long, code long"), "sets")
+    seen = written(slim.mapInArrow(describe, "doc_id long, row long, n_shingles long, code long"), "sets")
     groups = written(connected_components(_candidates(slim, words, percent), "groups"), "groups")
     links = _links(slim, seen, groups, words, percent)
     root = connected_components(links, "links")
@@ -379,9 +383,8 @@ def _shared(shown: DataFrame) -> DataFrame:
 
 def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """Links found in the groups, as pairs (a, b) of set codes."""
-    # A set's text comes from one of its rows; rows that share an id are told apart by the set's code later.
-    row = F.xxhash64("doc_id").alias("row")
-    of_row = seen.where("code <> 0").select("code", "n_shingles", row).groupBy("code").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
+    # A set's text comes from one of its rows.
+    of_row = seen.where("code <> 0").groupBy("code").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-6).cast("int")
     nodes = of_row.select("code", "row", "n", F.explode(F.array(band, band - 1)).alias("pair")).select("code", "row", "n", _node("code", F.col("pair")).alias("node"))
     named = groups.withColumnRenamed("root", "group").join(nodes, "node").select("group", "code", "row", "n")
@@ -396,8 +399,8 @@ def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, perc
             hit = pa.array(in_bitmap(wanted.value, batch.column(0).to_numpy(zero_copy_only=False)))
             yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns], names=["row", "text"])
 
-    # Texts travel rather than sets, which are larger.
-    texts = slim.select(row, "text").mapInArrow(members, "row long, text string")
+    # Texts travel rather than sets, which are larger; of repeated rows one does.
+    texts = slim.select("row", "text").mapInArrow(members, "row long, text string").groupBy("row").agg(F.first("text").alias("text"))
 
     def compare(pdf: pd.DataFrame, within: bool) -> pd.DataFrame:
         sides = []

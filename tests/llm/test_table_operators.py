@@ -106,6 +106,16 @@ def test_a_large_group_is_joined_whole(spark, monkeypatch):
     assert got == grouped(sets, links) and len(set(got.values())) < len(rows) - 30
 
 
+def test_sets_without_an_id_are_joined(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.random()}" for _ in range(40)]
+    texts = [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(0, 40, 13)] + ["quite another text of some words"]
+    got = signature_tree.jaccard_components(frame(spark, [(None, t) for t in texts] + [(7, " ".join(base)), (None, " ".join(base))]), words=3, percent=80).collect()
+    assert sorted((r.component_id or 0) for r in got) == [0] + [7] * 6
+    with pytest.raises(ValueError):
+        signature_tree.jaccard_components(frame(spark, []), percent=100)
+
+
 def test_rows_that_share_an_id_keep_their_texts(spark):
     texts = ["a b c d e f g h", "other words stand in this text", "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h"]
     rows = [(5, texts[0]), (5, texts[1]), (7, texts[1]), (8, texts[2]), (4, texts[2]), (5, None), (6, texts[3])]

@@ -292,7 +292,9 @@ def _gradient(score: np.ndarray, hot: np.ndarray, transition: np.ndarray) -> tup
     norm = np.einsum("nti,ij,ntj->nt", alpha[:, :-1], a, right)
     expected = np.einsum("nti,ntj->ij", alpha[:, :-1] / norm[..., None], right) * a
     seen = np.einsum("nti,ntj->ij", hot[:, :-1], hot[:, 1:])
-    return p - hot, expected - seen
+    # a sequence's first word follows any language alike, which weighs the transitions into its own
+    first = (p[:, 0] - hot[:, 0]).sum(0)
+    return p - hot, expected - seen + a / a.sum(0, keepdims=True) * first
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:

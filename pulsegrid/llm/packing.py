@@ -30,7 +30,7 @@ GROUPS = 384
 #: Lengths up to this share of the capacity are small.
 SMALL = 1 / 8
 #: Pieces of one length that are numbered together, and parts of them whose counts are summed together.
-NUMBERED, PARTS = 10_000, 10_000
+NUMBERED, PARTS = 500, 10_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -31,7 +31,7 @@ COSINE = 0.95
 NUMBERS, SAMPLE, SPILL = 4_000_000, 20_000, 0.16
 LEAF = 300
 #: Made-up pairs, the share of them that must meet, and the most trees.
-PAIRS, ENOUGH, TREES = 1000, 0.99, 24
+PAIRS, ENOUGH, TREES = 2000, 0.997, 24
 #: Vectors of a length that the sample needs for a forest; rarer lengths are one leaf each.
 LEAST = 8
 #: Vectors of one side of a comparison.

@@ -33,8 +33,9 @@ SLOTS, GRAMS = 1 << 17, (1, 2, 3, 4)
 WIDE = 1 << 22
 EPOCHS, RATE, RIDGE = 40, 0.08, 1e-5
 BLOCK = 64
-#: A text is of no known language below this share of what nearly every labelled piece (all but this part) has.
-FAMILIAR, ODD = 0.5, 0.005
+#: A text is of no known language below this share of what nearly every labelled piece (all but this part) has; so many
+#: n-grams are taken for known in any text, as a few words tell little.
+FAMILIAR, ODD, LENIENT = 0.5, 0.005, 8
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 
@@ -159,7 +160,7 @@ class Model:
                 best = int(share.argmax())
                 langs[lo + i], scores[lo + i] = self.langs[best], min(1.0, share[best])
                 every, known = grams[a:b].sum(0)
-                fits[lo + i] = known >= self.least * every
+                fits[lo + i] = known + LENIENT >= self.least * (every + LENIENT)
         return langs, scores, fits
 
 

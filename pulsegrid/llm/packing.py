@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsegrid.llm import textcodes as tc
 from pulsegrid.llm.common import give_back, text_batches, written

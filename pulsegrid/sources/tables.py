@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import columns as C
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -24,7 +26,7 @@ def user_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _named(events: DataFrame, name) -> DataFrame:
-    return events.select("event_id", name.alias("name"), "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
+    return events.select("event_id", name.alias("name"), "value", C.millis(F.col("ts")).alias("ts"))
 
 
 def generated(spark: SparkSession, rows: int, names: int, now_ms: int, bad_percent: int = 0, config=None) -> DataFrame:

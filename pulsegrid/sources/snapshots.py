@@ -97,10 +97,11 @@ def write_every(buckets_of, folder: str, clock, seconds: float, stop, config: Co
             return {"snapshot.write_failures": float(failures)}
 
 
-def restore(spark: SparkSession, folder: str, now_ms: int, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame, list[str]] | None:
+def restore(spark: SparkSession, folder: str, now_ms: int, config: Config = DEFAULT, capped: bool = True) -> tuple[DataFrame, DataFrame, list[str]] | None:
     """``(buckets, sketch, reports)`` from the newest usable generation, or None if there is none at all.
 
-    Stale buckets, reserved names, and names beyond a shard's cap are left out."""
+    Stale buckets, reserved names, and names beyond a shard's cap are left out; not ``capped``, all names come back,
+    as a store that was folded without admission may hold any number of them."""
     reports: list[str] = []
     for target in generations(spark, folder)[:2]:
         try:
@@ -108,16 +109,18 @@ def restore(spark: SparkSession, folder: str, now_ms: int, config: Config = DEFA
         except Unusable as e:
             reports.append(str(e))
             continue
-        return *loaded(buckets, sketch, now_ms, config), reports
+        return *loaded(buckets, sketch, now_ms, config, capped), reports
     if reports:
         raise Unusable("; ".join(reports))
     return None
 
 
-def loaded(buckets: DataFrame, sketch: DataFrame, now_ms: int, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def loaded(buckets: DataFrame, sketch: DataFrame, now_ms: int, config: Config = DEFAULT, capped: bool = True) -> tuple[DataFrame, DataFrame]:
     cut = B.cutoff(now_ms, config.window_s, config)
     kept = B.live(buckets, cut).where(~F.startswith("name", F.lit(config.reserved_prefix)))
     names = kept.select("name").distinct()
+    if not capped:
+        return kept, B.live(sketch, cut).join(names, "name", "left_semi")
     rank = F.row_number().over(Window.partitionBy(C.shard(F.col("name"), config.shards)).orderBy("name"))
     fits = names.withColumn("__rank", rank).where(F.col("__rank") <= config.names_per_shard).select("name")
     return kept.join(fits, "name", "left_semi"), B.live(sketch, cut).join(fits, "name", "left_semi")

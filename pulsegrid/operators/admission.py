@@ -4,7 +4,8 @@ Names that exist take every event. Of the others only first attempts matter: wit
 a refusal until somebody creates the name. So events are reduced to the first attempt of each (name, client,
 epoch) before anything is ordered. Without a client rate each shard decides for itself by rank, in SQL
 windows. With it, clients couple the shards, and attempts count in the order of their arrival: rounds take the
-earliest ones that are still open, so many at a time, and settle them; attempts at names that then exist, in shards
+earliest ones that are still open, so many at a time, and settle them (up to where they reach is found from counts, so
+that tasks send those and no others); attempts at names that then exist, in shards
 that are full and of clients that have used up their epoch are closed and drop out of the next round together,
 however many they are. What is remembered between rounds is the names made, which the cap bounds.
 """
@@ -22,8 +23,8 @@ from pulsegrid.functions import columns as C
 from pulsegrid.operators.validation import FULL_CLIENT, FULL_SHARD
 from pulsegrid.sources.tables import shared_folder
 
-#: First attempts that one round settles; slices of the running number of queries.
-ATTEMPTS, SLICE = 100_000, 1 << 16
+#: First attempts that one round settles; slices of the running number of queries; ranges of it that a round is cut from.
+ATTEMPTS, SLICE, RANGES = 100_000, 1 << 16, 1000
 ANONYMOUS, OVERFLOW = "anonymous", "overflow"
 _CLIENT = re.compile(r"[A-Za-z0-9._:-]{1,64}", re.A)
 
@@ -103,10 +104,12 @@ def admit(events: DataFrame, registry: DataFrame, seq: str = "seq", time_ms: str
     attempts = _written(first, "attempts")
     held = {r[0]: r[1] for r in registry.select("name").distinct().groupBy(shard_of.alias("shard")).count().collect()}
     taken, open_ = Places(held, config), attempts
-    while len(some := open_.orderBy("seq", "name").limit(at_a_time).select("name", "client", "shard", "epoch", "seq").collect()):
+    at, last = attempts.agg(F.min("seq"), F.max("seq")).first()
+    while at is not None and (until := _until(open_, at, last, at_a_time)) is not None:
+        # With the bound, no more than a round's attempts leave the tasks, however many tasks there are. It holds more
+        # than that only if so many came at once; the rest is then left to the next round.
+        some = open_.where(F.col("seq") <= until).orderBy("seq", "name").limit(at_a_time).select("name", "client", "shard", "epoch", "seq").collect()
         taken.take(some)
-        if len(some) < at_a_time:
-            break
         at, name = some[-1]["seq"], some[-1]["name"]
         reserved = F.startswith("name", F.lit(config.reserved_prefix))
         # Names made are as many as the cap and the reserved ones at most; the others are fewer still.
@@ -125,6 +128,28 @@ def admit(events: DataFrame, registry: DataFrame, seq: str = "seq", time_ms: str
     return late.select(*events.columns, error.alias("error"))
 
 
+def _until(attempts: DataFrame, first: int, last: int, most: int) -> int | None:
+    """Up to which ``seq`` of those from ``first`` to ``last`` there are half of ``most`` attempts or more, and no more than
+    ``most`` unless so many share one. Counts of even ranges tell, then those within the range that is too full. None if
+    there are no attempts."""
+    until, room = None, most
+    while True:
+        width = (last - first) // RANGES + 1
+        start = F.col("seq") - F.pmod(F.col("seq") - first, F.lit(width))
+        counts = attempts.where(F.col("seq").between(first, last)).groupBy(start.alias("start")).count().collect()
+        for start_, n in sorted(map(tuple, counts)):
+            if n > room:
+                break
+            until, room = start_ + width - 1, room - n
+        else:
+            return until
+        if until is not None and (room < most / 2 or width == 1):
+            return until
+        if width == 1:
+            return start_
+        first, last = start_, min(last, start_ + width - 1)
+
+
 def _written(df: DataFrame, name: str) -> DataFrame:
     """A table in the shared folder, read again in each round."""
     path = f"{shared_folder(df.sparkSession)}/{name}"

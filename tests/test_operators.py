@@ -262,6 +262,44 @@ def test_fold_of_attempts_and_tables_agree(spark, at_a_time):
         assert got[seq] == want, seq
 
 
+def test_rounds_send_their_attempts_and_no_others(spark):
+    df = spark.range(80_000).select(F.col("id").alias("seq"), F.format_string("n%d", "id").alias("name"), F.lit("c").alias("client"), F.lit(NOW).alias("arrived"))
+    sc = spark.sparkContext
+    many = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    sc.setJobGroup("rounds", "rounds")
+    try:
+        admission.admit(df, df.select("name").limit(0), config=Config(client_names=1), at_a_time=5000)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("rounds") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    of = sc._jsc.sc().statusStore().lastStageAttempt
+    sent = [x.resultSize() for x in map(of, stages) if x.numCompleteTasks()]
+    # some 85 bytes each
+    assert max(sent) < 5000 * 120
+
+
+@pytest.mark.parametrize("most", [1, 3, 10, 400])
+def test_a_round_ends_where_it_is_full(spark, most):
+    random.seed(3)
+    seqs = sorted([*random.sample(range(10**12), 60), *range(5000, 5100), *[7] * 5])
+    df, at = spark.createDataFrame([(x,) for x in seqs], "seq long"), 0
+    for _ in range(6):
+        until = admission._until(df.where(F.col("seq") >= at), at, seqs[-1], most)
+        took, rest = [x for x in seqs if at <= x <= until], [x for x in seqs if x > until]
+        assert took and (len(took) <= most or len(set(took)) == 1)
+        assert 2 * len(took) >= most or not rest or len(took) + rest.count(rest[0]) > most
+        if not rest:
+            break
+        at = until + 1
+    assert admission._until(df.where("seq < 0"), at, seqs[-1], most) is None
+
+
 def test_client_ids():
     assert [admission.client_id(x) for x in (None, " ", " a.b ")] == ["anonymous", "anonymous", "a.b"]
     for wrong in ("a b", "x" * 65, "é"):

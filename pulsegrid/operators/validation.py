@@ -32,7 +32,12 @@ def verdicts(events: DataFrame, now_ms: int, config: Config = DEFAULT) -> DataFr
     if "error" in events.columns:
         capacity = F.col("error").isin(FULL_SHARD, FULL_CLIENT)
         own = F.when(F.col("error").isNotNull() & ~capacity, F.col("error")).otherwise(F.coalesce(own, F.col("error")))
-    out = events.withColumn("error", own)
+    return marked(events, own)
+
+
+def marked(events: DataFrame, error: Column) -> DataFrame:
+    """``events`` with an error, and whether it is one of capacity."""
+    out = events.withColumn("error", error)
     return out.withColumn("retryable", F.coalesce(F.col("error").isin(FULL_SHARD, FULL_CLIENT), F.lit(False)))
 
 

@@ -25,12 +25,16 @@ def fold(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
     )
 
 
-def sketch(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """``events(name, value, ts)`` as sketch rows: name, bucket_start, sign, idx, n, with at most
-    ``config.sketch_buckets`` of each sign in a bucket."""
+def index_counts(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """``events(name, value, ts)`` as sketch rows: name, bucket_start, sign, idx, n, with every index its values have."""
     value = F.col("value")
     keyed = events.select("name", C.bucket_start(F.col("ts"), config.bucket_s).alias("bucket_start"), C.sign(value).alias("sign"), C.index(value).alias("idx"))
-    return collapse(keyed.groupBy("name", "bucket_start", "sign", "idx").agg(F.count("*").alias("n")), config.sketch_buckets)
+    return keyed.groupBy("name", "bucket_start", "sign", "idx").agg(F.count("*").alias("n"))
+
+
+def sketch(events: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """The same with at most ``config.sketch_buckets`` of each sign in a bucket."""
+    return collapse(index_counts(events, config), config.sketch_buckets)
 
 
 def collapse(rows: DataFrame, most: int) -> DataFrame:

@@ -19,8 +19,9 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from pulsegrid.llm.common import bitmap, connected_components, give_back, in_bit
 WORDS, PERCENT = 3, 90
 #: Sets that one task holds of each side, and their codes, both on average.
 BLOCK, BLOCK_CODES = 512, 2_000_000
+#: Sets of a group that is not split.
+WHOLE = 64
 #: Keys that linked sets share, at most, and the codes that one of them takes.
 NEED, PER_NEED = 32, 3
 BITS = 2048
@@ -40,16 +43,28 @@ LEAF, FAN = 8, 8
 STEP = 0.6
 
 
-def shingles(word: np.ndarray, n: int) -> np.ndarray:
-    """Distinct codes of ``n`` consecutive words, ascending; of fewer words, the whole sequence as one."""
-    if not len(word):
-        return word
-    if len(word) < n:
-        n = len(word)
+#: Odd factors of a shingle's words.
+_FACTORS = tc.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def _runs(word: np.ndarray, n: int) -> np.ndarray:
+    """Codes of all runs of ``n`` words, in their order."""
     out = np.zeros(len(word) - n + 1, np.uint64)
     for k in range(n):
-        out = tc.mix(out * np.uint64(0x9E3779B97F4A7C15) + word[k : len(word) - n + 1 + k])
-    return np.unique(out + np.uint64(n))
+        if k and k % len(_FACTORS) == 0:
+            out = tc.mix(out)
+        out += word[k : len(word) - n + 1 + k] * _FACTORS[k % len(_FACTORS)]
+    return tc.mix(out) + np.uint64(n)
+
+
+def _distinct(code: np.ndarray) -> np.ndarray:
+    code = np.sort(code)
+    return code[np.concatenate(([True], code[1:] != code[:-1]))]
+
+
+def shingles(word: np.ndarray, n: int) -> np.ndarray:
+    """Distinct codes of ``n`` consecutive words, ascending; of fewer words, the whole sequence as one."""
+    return _distinct(_runs(word, min(n, len(word)))) if len(word) else word
 
 
 def _bounds(percent: int) -> np.ndarray:
@@ -77,6 +92,7 @@ def _differ(size: np.ndarray, partner: np.ndarray, percent: int) -> np.ndarray:
     return (size + partner) * (100 - percent) // (100 + percent)
 
 
+@functools.cache
 def _parts(lower: int, upper: int, percent: int) -> int:
     """Parts for sets of ``lower`` to ``upper`` codes: nearly all fill as many of them as their keys take."""
     size = np.array([lower, upper])
@@ -117,17 +133,13 @@ def keys_and_needs(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.n
         every = np.concatenate([sets[i] for i in for_class])
         mine = size[for_class]
         owner = np.repeat(np.arange(len(for_class)), mine)
-        high = tc.mix(every) >> np.uint64(32)
-        part = ((high * parts[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        at = base[owner] + part
-        mixed = tc.mix(every + np.uint64(0x51ED270B))
-        lo = np.bincount(at, (mixed & np.uint64(0xFFFFFFFF)).astype(np.float64), base[-1]).astype(np.uint64)
-        hi = np.bincount(at, (mixed >> np.uint64(32)).astype(np.float64), base[-1]).astype(np.uint64)
-        filled = np.bincount(at, minlength=base[-1]) > 0
+        mixed = tc.mix(every)
+        part = (((mixed >> np.uint64(32)) * parts[owner].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        # Equal parts hold equal codes in the same order, so their sums round alike.
+        total = np.bincount(base[owner] + part, (mixed & np.uint64((1 << 53) - 1)).astype(np.float64) + 1, base[-1])
+        filled = total > 0
         of = np.repeat(np.arange(len(for_class)), parts)
         index = np.arange(base[-1]) - base[of]
-        tag = tc.mix(c[for_class][of].astype(np.uint64) * np.uint64(1 << 40) + index.astype(np.uint64))
-        key = tc.mix(tag + tc.mix(lo + (hi << np.uint64(32))) + filled.astype(np.uint64))
         differ = _differ(mine, bounds[c[for_class]] if level else mine * 100 // percent, percent)
         target = differ + _needed(mine)
         reach = parts if level else np.minimum(_reach(mine, target, parts), parts)
@@ -137,9 +149,12 @@ def keys_and_needs(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.n
         # the smallest partner needs the fewest
         need = np.where(lacking, np.minimum(_needed(mine), np.maximum(1, parts - differ)), _needed(mine))
         need = np.minimum(need, _needed(mine * percent // 100))
-        which.append(for_class[of[use]])
-        out.append(key[use])
-        needs.append((2 * need - level)[of[use]].astype(np.int32))
+        used = np.flatnonzero(use)
+        of = of[used]
+        tag = tc.mix(c[for_class][of].astype(np.uint64) * np.uint64(1 << 40) + index[used].astype(np.uint64))
+        which.append(for_class[of])
+        out.append(tc.mix(tag + tc.mix(total[used].view(np.uint64)) + filled[used].astype(np.uint64)))
+        needs.append((2 * need - level)[of].astype(np.int32))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
     return np.concatenate(which), np.concatenate(out), np.concatenate(needs)
@@ -148,7 +163,9 @@ def keys_and_needs(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.n
 def _sets(column, words: int):
     for lo, _, buf, at in tc.chunks(column):
         code, first = tc.text_words(buf, at, tc.SPACED)
-        yield lo, [shingles(code[first[i] : first[i + 1]], words) for i in range(len(at))]
+        run = _runs(code, words) if len(code) >= words else code[:0]
+        spans = zip(first[:-1].tolist(), first[1:].tolist(), strict=True)
+        yield lo, [_distinct(run[i : j - words + 1]) if j - i >= words else shingles(code[i:j], words) for i, j in spans]
 
 
 def set_code(s: np.ndarray) -> int:
@@ -352,7 +369,7 @@ def _candidates(slim: DataFrame, words: int, percent: int) -> DataFrame:
     in common do not chain groups together.
     """
     band, need = F.shiftright("mark", 8), F.col("mark").bitwiseAND(255)
-    keyed = _keyed(slim, words, percent).select("key", "code", band.alias("band"), need.alias("need"))
+    keyed = _shared(_keyed(slim, words, percent).select("key", "code", band.alias("band"), need.alias("need"))).drop("low", "times")
     # The pair of bands from a set's own one up is for links within it and with the next one, the pair from the one
     # below for links with that one only.
     near = Window.partitionBy("key").orderBy("band")
@@ -370,61 +387,119 @@ def _candidates(slim: DataFrame, words: int, percent: int) -> DataFrame:
     ).alias("pair")
     paired = counted.select("key", "code", "need", pair)
     left = _shared(paired.select(F.xxhash64("key", "pair").alias("key"), _node("code", F.col("pair")).alias("code"), "need"))
-    able = left.drop("low").withColumn("n", F.count("*").over(mine)).where(F.col("n") >= least).select("key", "code")
+    return _edges(left, least)
+
+
+def _edges(shared: DataFrame, least: Column) -> DataFrame:
+    """Pairs (a, b) of sets that join those with a key in common which is not among the ``least`` - 1 commonest of
+    either. Sets that share ``least`` keys or more have such a key: the rarest of those they share."""
+    rank = F.dense_rank().over(Window.partitionBy("code", "need").orderBy(F.desc("times"), "key"))
+    able = shared.withColumn("rank", rank).where(F.col("rank") >= least).select("key", "code")
     return _shared(able).where("code <> low").select(F.col("code").alias("a"), F.col("low").alias("b"))
 
 
 def _shared(shown: DataFrame) -> DataFrame:
-    """The rows of ``shown`` whose key several sets have, with ``low``, the smallest of these sets' codes."""
+    """The rows of ``shown`` whose key several sets have, with ``low``, the smallest of these sets' codes, and how many
+    ``times`` the key comes."""
     same = Window.partitionBy("key")
-    both = shown.withColumns({"low": F.min("code").over(same), "high": F.max("code").over(same)})
+    both = shown.withColumns({"low": F.min("code").over(same), "high": F.max("code").over(same), "times": F.count("*").over(same)})
     return both.where("low < high").drop("high")
 
 
+def _texts(slim: DataFrame, members: DataFrame) -> DataFrame:
+    """(row, text) of the rows of ``members``, and a few others."""
+    wanted = bitmap(members, "row")
+
+    def those(batches):
+        for batch in batches:
+            hit = pa.array(in_bitmap(wanted.value, batch.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns], names=["row", "text"])
+
+    # Texts travel rather than sets, which are larger; of repeated rows one does.
+    return slim.select("row", "text").mapInArrow(those, "row long, text string").groupBy("row").agg(F.first("text").alias("text"))
+
+
+def _split(slim: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
+    """``named`` with its groups of more than ``WHOLE`` sets split: into sets that share one of their rarest shingles.
+
+    Lines that many texts have chain such groups together. A linked set has ``percent`` of a set's shingles, so the
+    two share one that is not among the set's commonest within the group. Sets that share none with any have no link.
+    """
+    large = written(named.join(named.groupBy("group").count().where(F.col("count") > WHOLE), "group", "left_semi"), "large")
+    if large.isEmpty():
+        return named
+
+    def show(batches):
+        for batch in batches:
+            codes = batch.column(1).to_numpy(zero_copy_only=False)
+            for lo, sets in _sets(batch.column(2), words):
+                right = [i for i, s in enumerate(sets) if set_code(s) == codes[lo + i]]
+                if not right:
+                    continue
+                size = np.array([len(sets[i]) for i in right], np.int64)
+                row = np.repeat(np.array(right, np.int64) + lo, size)
+                key = np.concatenate([sets[i] for i in right]).view(np.int64)
+                least = np.repeat(-(-size * percent // 100), size)
+                yield pa.RecordBatch.from_pydict({"group": batch.column(0).take(pa.array(row)), "key": pa.array(key), "code": pa.array(codes[row]), "need": pa.array(least)})
+            give_back()
+
+    texts = large.join(_texts(slim, large), "row").select("group", "code", "text")
+    shown = texts.mapInArrow(show, "group long, key long, code long, need long")
+    node = F.xxhash64("code", "group")
+    shared = _shared(shown.select(F.xxhash64("key", "group").alias("key"), node.alias("code"), "need"))
+    root = connected_components(_edges(shared, F.col("need")), "split")
+    parts = large.withColumn("node", node).join(root, "node").select(F.col("root").alias("group"), "code", "row", "n")
+    return named.join(large.select("group").distinct(), "group", "left_anti").unionByName(parts)
+
+
 def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """Links found in the groups, as pairs (a, b) of set codes."""
     # A set's text comes from one of its rows.
     of_row = seen.where("code <> 0").groupBy("code").agg(F.min("row").alias("row"), F.max("n_shingles").alias("n"))
     band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-6).cast("int")
     nodes = of_row.select("code", "row", "n", F.explode(F.array(band, band - 1)).alias("pair")).select("code", "row", "n", _node("code", F.col("pair")).alias("node"))
-    named = groups.withColumnRenamed("root", "group").join(nodes, "node").select("group", "code", "row", "n")
+    named = written(groups.withColumnRenamed("root", "group").join(nodes, "node").select("group", "code", "row", "n"), "named")
+    named = _split(slim, named, words, percent)
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_CODES))).cast("int")
     sizes = named.groupBy("group").agg(blocks.alias("blocks"))
     dealt = named.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
     dealt = written(dealt, "members")
-    wanted = bitmap(dealt, "row")
-
-    def members(batches):
-        for batch in batches:
-            hit = pa.array(in_bitmap(wanted.value, batch.column(0).to_numpy(zero_copy_only=False)))
-            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns], names=["row", "text"])
-
-    # Texts travel rather than sets, which are larger; of repeated rows one does.
-    texts = slim.select("row", "text").mapInArrow(members, "row long, text string").groupBy("row").agg(F.first("text").alias("text"))
-
-    def compare(pdf: pd.DataFrame, within: bool) -> pd.DataFrame:
-        sides = []
-        for k in (0, 1):
-            side = pdf[pdf["side"] == k]
-            sets = [x for _, some in _sets(pa.array(side["text"], pa.large_string()), words) for x in some]
-            mine = {c: s for c, s in zip(side["code"].tolist(), sets, strict=True) if set_code(s) == c}
-            code = sorted(mine)
-            sides.append((np.array(code, np.int64), Tree([mine[c] for c in code]) if code else None))
-        (of_left, left), (of_right, right) = sides
-        found = [(of_right, of_right, join(right, None, percent))] if within and right else []
-        if left and right:
-            found.append((of_left, of_right, join(left, right, percent)))
-        a = [x[i] for x, _, pairs in found for i, _ in pairs]
-        b = [y[j] for _, y, pairs in found for _, j in pairs]
-        return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+    texts = _texts(slim, dealt)
+
+    def compare(table: pa.Table, within: bool) -> pa.Table:
+        code, side, *place = (table.column(c).to_numpy() for c in ("code", "side", "j", "i", "group"))
+        text = table.column("text").cast(pa.large_string()).combine_chunks()
+        order = np.lexsort(place)
+        ends = np.flatnonzero(np.any([np.diff(c[order]) != 0 for c in place], axis=0)) + 1
+        a, b = [], []
+        for rows in np.split(order, ends):
+            sides = []
+            for k in (0, 1):
+                of = rows[side[rows] == k]
+                sets = [x for _, some in _sets(text.take(pa.array(of)), words) for x in some]
+                mine = {c: s for c, s in zip(code[of].tolist(), sets, strict=True) if set_code(s) == c}
+                own = sorted(mine)
+                sides.append((own, Tree([mine[c] for c in own]) if own else None))
+            (of_left, left), (of_right, right) = sides
+            found = [(of_right, of_right, join(right, None, percent))] if within and right else []
+            if left and right:
+                found.append((of_left, of_right, join(left, right, percent)))
+            a += [x[i] for x, _, pairs in found for i, _ in pairs]
+            b += [y[j] for _, y, pairs in found for _, j in pairs]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    # Groups of one block go to a task many at a time.
+    small = dealt.where("blocks = 1").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bins = max(1, -(-small[0] // BLOCK), -(-small[1] // BLOCK_CODES))
 
     def joined(places: DataFrame, within: bool, name: str) -> DataFrame:
-        tasks = places.join(texts, "row").groupBy("group", "i", "j")
-        return written(tasks.applyInPandas(lambda pdf: compare(pdf, within), "a long, b long").where("a <> b"), name)
+        bin_ = F.when(F.col("blocks") > 1, F.xxhash64("group", "i", "j")).otherwise(F.pmod(F.xxhash64("group"), F.lit(bins)))
+        tasks = places.withColumn("bin", bin_).drop("blocks").join(texts, "row").groupBy("bin")
+        return written(tasks.applyInArrow(lambda table: compare(table, within), "a long, b long").where("a <> b"), name)
 
     # Each block meets itself and, as the right side, the first block of its group.
     to = F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))).alias("j")
-    first = dealt.select("group", "code", "row", "block", to).withColumns({"i": F.lit(0), "side": (F.col("block") == F.col("j")).cast("int")})
+    first = dealt.select("group", "code", "row", "blocks", "block", to).withColumns({"i": F.lit(0), "side": (F.col("block") == F.col("j")).cast("int")})
     links = joined(first, True, "links")
     large = dealt.where("blocks > 1")
     if large.isEmpty():
@@ -438,8 +513,8 @@ def _links(slim: DataFrame, seen: DataFrame, groups: DataFrame, words: int, perc
     others = rest.groupBy("group").agg(blocks.alias("others"))
     i = F.pmod(F.xxhash64(F.lit(1), "code"), F.col("others")).cast("int").alias("i")
     count = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rest.join(others, "group").select("group", "code", "row", i, count("blocks").alias("j"), F.lit(0).alias("side"))
-    right = large.join(others, "group").select("group", "code", "row", count("others").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
+    left = rest.join(others, "group").select("group", "code", "row", "blocks", i, count("blocks").alias("j"), F.lit(0).alias("side"))
+    right = large.join(others, "group").select("group", "code", "row", "blocks", count("others").alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
     return links.union(joined(left.union(right), False, "links"))
 
 

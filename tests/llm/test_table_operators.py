@@ -106,6 +106,27 @@ def test_a_large_group_is_joined_whole(spark, monkeypatch):
     assert got == grouped(sets, links) and len(set(got.values())) < len(rows) - 30
 
 
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_common_lines_do_not_chain_groups(spark, monkeypatch, words, percent):
+    """Texts that share lines only are not compared; more copies than a group is left whole with stay together."""
+    monkeypatch.setattr(signature_tree, "WHOLE", 8, raising=False)
+    made = {}
+    write = signature_tree.written
+    monkeypatch.setattr(signature_tree, "written", lambda df, name: made.setdefault(name, write(df, name)) if name == "members" else write(df, name))
+    rng = random.Random(11)
+    own = lambda n: [f"w{rng.random()}" for _ in range(n)]
+    lines = [own(9) for _ in range(3)]
+    bases = [rng.choice(lines) + rng.choice(lines) + own(12 + i % 9) + rng.choice(lines) for i in range(60)]
+    texts = [w for b in bases for w in (b, [*b, "end"], b[:-1])]
+    texts += [[*bases[0], f"end{i}"] for i in range(12)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    sets = {i: {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} for i, w in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in signature_tree.jaccard_components(frame(spark, rows), words=words, percent=percent).collect()}
+    assert got == grouped(sets, links) and len(set(got.values())) < 70
+    assert max(r["count"] for r in made["members"].groupBy("group").count().collect()) <= 16
+
+
 def test_sets_without_an_id_are_joined(spark):
     rng = random.Random(6)
     base = [f"w{rng.random()}" for _ in range(40)]

@@ -9,6 +9,8 @@
    components are the groups that can hold a link. The graph has a part for each pair of neighbouring bands of
    sizes: linked sets meet in one of them, and unlike sizes don't chain. Sets that share fewer keys than a link
    takes are left out of it, such as those with only a passage in common. Keys travel once.
+   A set's keys that are too common to be needed join nothing, and a group of more than ``WHOLE`` sets is split by
+   the shingles that are rare in it: lines that many texts have don't chain groups.
 4. Sets meet in their group, a group larger than ``BLOCK`` sets in blocks: each block is joined within itself
    and with the group's first one. Only the sets that are then outside the group's largest class meet all its
    blocks, so that a large group of near copies is not joined pair by pair of its blocks. In a task, a tree's
